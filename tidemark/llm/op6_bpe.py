@@ -49,7 +49,7 @@ def byte_symbols() -> dict[str, int]:
 def code_classes() -> np.ndarray:
     """Of each code point: white space, letter, number or other."""
     kind = {"L": LETTER, "N": NUMBER}
-    out = np.fromiter((kind.get(unicodedata.category(chr(i))[0], OTHER) for i in range(sys.maxunicode + 1)), np.uint8)
+    out = np.array([kind.get(unicodedata.category(chr(i))[0], OTHER) for i in range(sys.maxunicode + 1)], np.uint8)
     out[list(WHITE)] = SPACE
     return out
 
@@ -108,10 +108,13 @@ class Bpe:
         keys = np.array([k for k, _ in pair], np.int64)
         by = np.argsort(keys, kind="stable")
         self.merge_keys, self.merge_rank, self.merge_into = keys[by], by, np.array([v for _, v in pair], np.int64)[by]
-        self.longest = max(map(len, vocab))
         #: The tokens that their own bytes merge to.
         tokens = list(vocab)
         self.own = {t: vocab[t] for t, got in zip(tokens, self.exact(tokens), strict=True) if got == [vocab[t]]}
+        #: By its first two bytes, how long such a token can be.
+        self.reach: dict[bytes, int] = {}
+        for t in self.own:
+            self.reach[t[:2]] = max(len(t), self.reach.get(t[:2], 0))
         self.sizes, self.begin, self.flat = self._table(self.bytes)
         self.decimal = self._table([b"%d," % i for i in range(self.n)])
         self.merged_exactly = 0
@@ -166,9 +169,9 @@ class Bpe:
 
     def greedy(self, word: bytes) -> list[int]:
         """Longest match from the left over tokens that stand for themselves."""
-        own, out, i, n = self.own, [], 0, len(word)
+        own, reach, out, i, n = self.own, self.reach, [], 0, len(word)
         while i < n:
-            j = min(n, i + self.longest)
+            j = min(n, i + reach.get(word[i : i + 2], 1))
             while (t := own.get(word[i:j])) is None:
                 j -= 1
             out.append(t)
