@@ -11,6 +11,9 @@ MODULES = (
     "op4_source_mix",
     "op5_exact_topk",
     "op6_bpe",
+    "op8_line_dedup",
+    "op9_secret_scan",
+    "op10_pii",
 )
 
 
