@@ -8,9 +8,13 @@ SQL can say the same, its DuckDB text in ``SQL``.
 from importlib import import_module
 
 MODULES = (
+    "op1_ngram_jaccard",
+    "op2_substring_dedup",
+    "op3_language_id",
     "op4_source_mix",
     "op5_exact_topk",
     "op6_bpe",
+    "op7_fingerprints",
     "op8_line_dedup",
     "op9_secret_scan",
     "op10_pii",

@@ -35,7 +35,7 @@ PATTERNS = {
     "phone": r"(?:\+?1[ .-]?)?(?:\(\d{3}\)[ ]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)",
 }
 #: A match starts where no part of a longer word or number stands before it.
-ANY = r"(?<![A-Za-z0-9._%+@-])(?:" + "|".join(f"(?:{PATTERNS[k]})" for k in KINDS) + ")|(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{PATTERNS[k]})" for k in KINDS) + ")"
+ANY = r"(?<![A-Za-z0-9])(?<!\d[.-])(?:" + "|".join(f"(?:{PATTERNS[k]})" for k in KINDS) + ")"
 #: Dates move within the 400-year cycle 1800 to 2199 of 189 * 773 days.
 FIRST_DAY, LAST_DAY, DAYS = "1800-01-01", "2199-12-31", (189, 773)
 
