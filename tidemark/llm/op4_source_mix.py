@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,9 +98,9 @@ def _balance(last: bool):
     return run
 
 
-def sized(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without the text, with ``size``: its number of words."""
-    keep = [f for f in docs.schema.fields if f.name != text]
+def sized(docs: DataFrame, text: str = "text", with_text: bool = False) -> DataFrame:
+    """``docs`` with ``size``, the number of words of its text, and without the text unless asked."""
+    keep = [f for f in docs.schema.fields if (with_text or f.name != text) and f.name != "size"]
     schema = T.StructType([*keep, T.StructField("size", T.LongType())])
 
     def count(batches):
@@ -110,7 +110,8 @@ def sized(docs: DataFrame, text: str = "text") -> DataFrame:
                 n[t.first : t.first + len(t)] = np.diff(shared.word_bounds(t)[2])
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), pa.array(n)], names=schema.names)
 
-    return docs.select(*(f.name for f in keep), text).mapInArrow(count, schema)
+    rest = [f.name for f in keep if f.name != text]
+    return docs.select(*(f.name for f in keep if f.name != text), text).mapInArrow(count, schema)
 
 
 def plan(sizes: DataFrame, weights=WEIGHTS, share: float = 1.0, cap: float = CAP) -> DataFrame:
@@ -155,6 +156,18 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, cap: float = CAP,
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.round("p").cast("long")).alias("copies"))
 
 
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as ``mix`` takes it; equal keys are dealt their copies in order."""
+    doc, source = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.coalesce("source", F.lit("\0"))
+    key = [doc.alias("_d"), source.alias("_s")]
+    names = ["_d", "_s", "size"]
+    got = mix(docs, **how).select(*key, "size", "copies").groupBy(*names).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies"))
+    rows = sized(docs, with_text=True).select("*", *key)
+    rows = rows.withColumn("_i", F.row_number().over(Window.partitionBy(*names).orderBy(F.xxhash64("text"))))
+    out = rows.join(got, names).withColumn("_n", F.element_at("_copies", F.col("_i")).cast("int"))
+    return out.withColumn("_k", F.explode(F.array_repeat(F.lit(0), F.col("_n")))).select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op4: doc_id, size, source_size, target, taken; more: source, copies."""
     got = mix(shared.table(spark, sf_dir, "documents"))
