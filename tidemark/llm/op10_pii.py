@@ -40,8 +40,13 @@ ANY = r"(?<![A-Za-z0-9])(?<!\d[.-])(?:" + "|".join(f"(?:{PATTERNS[k]})" for k in
 FIRST_DAY, LAST_DAY, DAYS = "1800-01-01", "2199-12-31", (189, 773)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)``, with the value worked out once however often it stands in there."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def feistel(v: Column, m: Column, kind: str, key: str = KEY, rounds: int = ROUNDS) -> Column:
-    """Permute vectors ``v`` of integers below the moduli ``m`` (both array<bigint>, of equal length); one place is shifted by a digest of the key alone."""
+    """Permute vectors ``v`` of integers below the moduli ``m`` (both array<bigint>, of equal length); a single place is shifted by a digest of the key alone."""
 
     def one(acc: Column, r: Column) -> Column:
         n = F.size(acc)
@@ -49,16 +54,20 @@ def feistel(v: Column, m: Column, kind: str, key: str = KEY, rounds: int = ROUND
         left = F.pmod(r, F.lit(2)) == 1
         other = F.when(left, F.slice(acc, half + 1, n)).otherwise(F.slice(acc, F.lit(1), half))
         said = F.array_join(other.cast("array<string>"), ",")
+        # one digest gives the shifts of four places
+        digests = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / F.lit(4)).cast("int")), lambda j: F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), n, r, j, said), 256))
 
-        def place(x: Column, i: Column) -> Column:
-            active = F.when(left, i < half).otherwise(i >= half)
-            digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), n, r, F.floor(i / F.lit(4)), said), 256)
-            part = F.conv(F.substr(digest, F.pmod(i, F.lit(4)) * 15 + 1, F.lit(15)), 16, 10).cast("bigint")
-            return F.when(active, F.pmod(x + part, F.element_at(m, i + 1))).otherwise(x)
+        def moved(d: Column) -> Column:
+            def place(x: Column, i: Column) -> Column:
+                active = F.when(left, i < half).otherwise(i >= half)
+                part = F.conv(F.substr(F.element_at(d, F.floor(i / F.lit(4)).cast("int") + 1), F.pmod(i, F.lit(4)) * 15 + 1, F.lit(15)), 16, 10).cast("bigint")
+                return F.when(active, F.pmod(x + part, F.element_at(m, i + 1))).otherwise(x)
 
-        return F.transform(acc, place)
+            return F.transform(acc, place)
 
-    return F.when(F.size(v) > 0, F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), v, one)).otherwise(v)
+        return let(digests, moved)
+
+    return F.aggregate(F.sequence(F.lit(1), F.when(F.size(v) > 0, rounds).otherwise(0), F.when(F.size(v) > 0, 1).otherwise(-1)), v, lambda acc, r: F.when(F.size(acc) > 0, one(acc, r)).otherwise(acc))
 
 
 def chars(s: Column) -> Column:
@@ -84,32 +93,44 @@ def luhn(v: Column) -> Column:
     return F.pmod(10 - F.pmod(F.aggregate(doubled, F.lit(0).cast("bigint"), lambda a, x: a + x), F.lit(10)), F.lit(10))
 
 
+def _digit(x: int) -> Column:
+    return F.lit(x).cast("bigint")
+
+
 def _card(s: Column, key: str) -> tuple[Column, Column]:
-    v = digits(s)
-    ok = (F.element_at(v, -1) == luhn(v)) & (F.array_max(v) > 0)
-    body = feistel(F.slice(v, F.lit(1), F.size(v) - 1), F.transform(v, lambda x: F.lit(10).cast("bigint")), "card", key)
-    return ok, refilled(s, F.concat(body, F.array(luhn(F.concat(body, F.array(F.lit(0).cast("bigint")))))))
+    ok = let(digits(s), lambda v: (F.element_at(v, -1) == luhn(v)) & (F.array_max(v) > 0))
+
+    def moved(v: Column) -> Column:
+        return feistel(F.slice(v, F.lit(1), F.size(v) - 1), F.transform(v, lambda x: _digit(10)), "card", key)
+
+    full = let(let(digits(s), moved), lambda body: F.concat(body, F.array(luhn(F.concat(body, F.array(_digit(0)))))))
+    return ok, let(full, lambda v: refilled(s, v))
 
 
 def _phone(s: Column, key: str) -> tuple[Column, Column]:
     # ten national digits, the first of area and exchange from 2 to 9; a country code of 1 stays
-    v = digits(s)
-    lead = F.slice(v, F.lit(1), F.size(v) - 10)
-    own = F.slice(v, F.size(v) - 9, F.lit(10))
-    low = F.array(*(F.lit(2 if i in (0, 3) else 0).cast("bigint") for i in range(10)))
-    m = F.array(*(F.lit(8 if i in (0, 3) else 10).cast("bigint") for i in range(10)))
-    ok = (F.element_at(own, 1) >= 2) & (F.element_at(own, 4) >= 2)
-    moved = feistel(F.zip_with(own, low, lambda x, y: x - y), m, "phone", key)
-    return ok, refilled(s, F.concat(lead, F.zip_with(moved, low, lambda x, y: x + y)))
+    low = F.array(*(_digit(2 if i in (0, 3) else 0) for i in range(10)))
+    m = F.array(*(_digit(8 if i in (0, 3) else 10) for i in range(10)))
+    ok = let(digits(s), lambda v: (F.element_at(v, -10) >= 2) & (F.element_at(v, -7) >= 2))
+
+    def moved(v: Column) -> Column:
+        own = F.zip_with(F.slice(v, F.size(v) - 9, F.lit(10)), low, lambda x, y: x - y)
+        return F.concat(F.slice(v, F.lit(1), F.size(v) - 10), F.zip_with(feistel(own, m, "phone", key), low, lambda x, y: x + y))
+
+    return ok, let(let(digits(s), moved), lambda v: refilled(s, v))
 
 
 def _ssn(s: Column, key: str) -> tuple[Column, Column]:
     area, group, serial = (F.substr(s, F.lit(a), F.lit(n)).cast("bigint") for a, n in ((1, 3), (5, 2), (8, 4)))
     ok = (area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0)
     v = F.array(F.when(area > 666, area - 2).otherwise(area - 1), group - 1, serial - 1)
-    moved = feistel(v, F.array(*(F.lit(x).cast("bigint") for x in (898, 99, 9999))), "ssn", key)
-    a = F.element_at(moved, 1)
-    return ok, F.format_string("%03d-%02d-%04d", F.when(a >= 665, a + 2).otherwise(a + 1), F.element_at(moved, 2) + 1, F.element_at(moved, 3) + 1)
+    moved = feistel(v, F.array(*(_digit(x) for x in (898, 99, 9999))), "ssn", key)
+
+    def written(x: Column) -> Column:
+        a = F.element_at(x, 1)
+        return F.format_string("%03d-%02d-%04d", F.when(a >= 665, a + 2).otherwise(a + 1), F.element_at(x, 2) + 1, F.element_at(x, 3) + 1)
+
+    return ok, let(moved, written)
 
 
 def _ip(s: Column, key: str) -> tuple[Column, Column]:
@@ -130,12 +151,19 @@ def _date(s: Column, key: str) -> tuple[Column, Column]:
     at = F.concat_ws("-", year, month, day).try_cast("date")
     n = F.datediff(at, F.lit(FIRST_DAY).cast("date")).cast("bigint")
     v = F.array(F.floor(n / F.lit(DAYS[1])).cast("bigint"), F.pmod(n, F.lit(DAYS[1])).cast("bigint"))
-    moved = feistel(v, F.array(*(F.lit(x).cast("bigint") for x in DAYS)), "date", key)
-    new = F.date_add(F.lit(FIRST_DAY).cast("date"), (F.element_at(moved, 1) * DAYS[1] + F.element_at(moved, 2)).cast("int"))
+    moved = feistel(v, F.array(*(_digit(x) for x in DAYS)), "date", key)
+    new = let(moved, lambda x: F.date_add(F.lit(FIRST_DAY).cast("date"), (F.element_at(x, 1) * DAYS[1] + F.element_at(x, 2)).cast("int")))
     ok = at.isNotNull() & at.between(F.lit(FIRST_DAY).cast("date"), F.lit(LAST_DAY).cast("date"))
-    y, mo, d = F.date_format(new, "yyyy"), F.date_format(new, "MM"), F.date_format(new, "dd")
-    written = F.when(format_ == "yyyy-MM-dd", F.concat_ws("-", y, mo, d)).when(format_ == "yyyy/MM/dd", F.concat_ws("/", y, mo, d)).when(format_ == "dd.MM.yyyy", F.concat_ws(".", d, mo, y)).when(format_ == "MM/dd/yyyy", F.concat_ws("/", mo, d, y)).otherwise(F.concat_ws("/", d, mo, y))
-    return F.coalesce(ok, F.lit(False)), written
+
+    def written(x: Column) -> Column:
+        y, mo, d = F.date_format(x, "yyyy"), F.date_format(x, "MM"), F.date_format(x, "dd")
+        forms = {"yyyy-MM-dd": ("-", y, mo, d), "yyyy/MM/dd": ("/", y, mo, d), "dd.MM.yyyy": (".", d, mo, y), "MM/dd/yyyy": ("/", mo, d, y)}
+        out = F.concat_ws("/", d, mo, y)
+        for name, parts in forms.items():
+            out = F.when(format_ == name, F.concat_ws(*parts)).otherwise(out)
+        return out
+
+    return F.coalesce(ok, F.lit(False)), let(new, written)
 
 
 def _email(s: Column, key: str) -> tuple[Column, Column]:
@@ -143,11 +171,14 @@ def _email(s: Column, key: str) -> tuple[Column, Column]:
     tail = F.length(F.substring_index(s, ".", -1)) + 1
     head = F.substr(s, F.lit(1), F.length(s) - tail)
     code = F.transform(chars(head), lambda c: F.ascii(c).cast("bigint"))
-    low = F.transform(code, lambda c: F.when(c.between(48, 57), F.lit(48)).when(c.between(65, 90), F.lit(65)).when(c.between(97, 122), F.lit(97)).otherwise(c).cast("bigint"))
-    m = F.transform(low, lambda c: F.when(c == 48, F.lit(10)).when((c == 65) | (c == 97), F.lit(26)).otherwise(F.lit(1)).cast("bigint"))
-    moved = feistel(F.zip_with(code, low, lambda x, y: x - y), m, "email", key)
-    new = F.array_join(F.zip_with(moved, low, lambda x, y: F.chr(x + y)), "")
-    return F.lit(True), F.concat(new, F.substr(s, F.length(s) - tail + 1, tail))
+    low = lambda c: F.when(c.between(48, 57), 48).when(c.between(65, 90), 65).when(c.between(97, 122), 97).otherwise(c).cast("bigint")
+    size = lambda c: F.when(c.between(48, 57), 10).when(c.between(65, 90) | c.between(97, 122), 26).otherwise(1).cast("bigint")
+
+    def moved(code: Column) -> Column:
+        v = feistel(F.transform(code, lambda c: c - low(c)), F.transform(code, size), "email", key)
+        return F.array_join(F.zip_with(v, F.transform(code, low), lambda x, y: F.chr(x + y)), "")
+
+    return F.lit(True), F.concat(let(code, moved), F.substr(s, F.length(s) - tail + 1, tail))
 
 
 _MAKERS = {"email": _email, "date": _date, "ip": _ip, "ssn": _ssn, "card": _card, "phone": _phone}
@@ -155,14 +186,12 @@ _MAKERS = {"email": _email, "date": _date, "ip": _ip, "ssn": _ssn, "card": _card
 
 def pseudonym(s: Column, key: str = KEY) -> Column:
     """Of a match: struct(kind, to), kind the number in ``KINDS`` or null where no kind's validation holds (``to`` is the match then)."""
-    kind, to = F.lit(None).cast("int"), s
+    out = F.struct(F.lit(None).cast("int").alias("kind"), s.alias("to"))
     for i, name in reversed(list(enumerate(KINDS))):
         ok, new = _MAKERS[name](s, key)
-        here = s.rlike(f"^(?:{PATTERNS[name]})$")
-        valid = F.when(here, ok).otherwise(F.lit(False))
-        kind = F.when(valid, F.lit(i)).otherwise(kind)
-        to = F.when(valid, new).otherwise(to)
-    return F.struct(kind.alias("kind"), to.alias("to"))
+        valid = F.when(s.rlike(f"^(?:{PATTERNS[name]})$"), ok).otherwise(F.lit(False))
+        out = F.when(valid, F.struct(F.lit(i).alias("kind"), new.alias("to"))).otherwise(out)
+    return out
 
 
 def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
