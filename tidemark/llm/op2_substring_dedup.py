@@ -1,11 +1,12 @@
 """Substring dedup by hashing units of lines.
 
-A unit is a run of whole sentences of one line, from any sentence start, just
-long enough to hold ``MIN_WORDS`` words; a line with fewer words has none.
+Lines are cut after sentence ends and before capitalised words.  A unit is a
+run of such pieces of one line, from any cut, just long enough to hold
+``MIN_WORDS`` words; a line with fewer words has none.
 Units are normalised (A-Z lower-cased, blanks between words made one) and
 hashed; digests are grouped over all documents, the occurrence of smallest
 (doc_id, start) is kept and every other one is removed.  As a unit may start
-at every sentence, a passage is found wherever it stands in a line, and
+at every cut, a passage is found wherever it stands in a line, and
 what is removed of a document is the union of its repeated units, in offsets
 of the original text.
 
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from tidemark.llm import shared
 
 MIN_WORDS = 8
-#: A sentence ends after . ! or ? before a blank.
-ENDS = re.compile(rb"[.!?](?=[ \t\x0b\x0c\r])")
+#: A line is cut after . ! or ? before a blank, and before a word that starts with A-Z or an upper-case letter of Latin-1.
+CUTS = re.compile(rb"(?<=[.!?])(?=[ \t\x0b\x0c\r])|(?<=[ \t\x0b\x0c\r])(?=[A-Z]|\xc3[\x80-\x9e])")
 _KEY = ["h1", "h2"]
 
 
@@ -40,7 +41,7 @@ def units(text: bytes, least: int = MIN_WORDS) -> list[tuple[bytes, int, int]]:
     for line in text.split(b"\n"):
         if len(line) >= 2 * least - 1:
             cuts = [0]
-            cuts += [m.end() for m in ENDS.finditer(line)]
+            cuts += [m.start() for m in CUTS.finditer(line) if m.start()]
             if cuts[-1] < len(line):
                 cuts.append(len(line))
             words = [line[a:b].lower().split() for a, b in zip(cuts, cuts[1:], strict=False)]
