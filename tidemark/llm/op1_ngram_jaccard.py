@@ -156,7 +156,8 @@ class _Join:
         buckets = shared.partitions(self.spark)
         path = f"{shared.shared_dir(self.spark)}/{self.name}"
         sets = mine.select("doc_id", "text").mapInArrow(_sets(words), "rep long, tokens array<long>")
-        sets.repartition(buckets, "rep").write.format("parquet").bucketBy(buckets, "rep").sortBy("rep").option("path", path).saveAsTable(self.name)
+        with shared.freeing(self.spark):
+            sets.repartition(buckets, "rep").write.format("parquet").bucketBy(buckets, "rep").sortBy("rep").option("path", path).saveAsTable(self.name)
         self.posts = cand.select("rep", "n", F.explode("q1").alias("t"))
         self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
@@ -205,8 +206,9 @@ class _Join:
             pairs = pairs.filter(F.arrays_overlap(f"a{k}", f"b{k}"))
         pairs = pairs.select("a", "b")
         sets = self.spark.table(self.name)
-        pairs = pairs.join(sets.select(F.col("rep").alias("b"), F.col("tokens").alias("tb")), "b")
-        pairs = pairs.join(sets.select(F.col("rep").alias("a"), F.col("tokens").alias("ta")), "a")
+        # the sets' own column is the key, so their buckets stay where they are
+        pairs = pairs.withColumnRenamed("b", "rep").join(sets, "rep").withColumnsRenamed({"rep": "b", "tokens": "tb"})
+        pairs = pairs.withColumnRenamed("a", "rep").join(sets, "rep").withColumnsRenamed({"rep": "a", "tokens": "ta"})
         both = F.size(F.array_intersect("ta", "tb"))
         links = pairs.filter(both * self.den >= (F.size("ta") + F.size("tb") - both) * self.num).select("a", "b")
         links = shared.checkpoint(links)

@@ -68,7 +68,8 @@ class Runs:
     def _write(self, keys: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
         at = f"{shared.shared_dir(self.spark)}/{name}"
-        keys.select(*_KEY).repartition(self.buckets, *_KEY).write.format("parquet").bucketBy(self.buckets, *_KEY).sortBy(*_KEY).option("path", at).saveAsTable(name)
+        with shared.freeing(self.spark):
+            keys.select(*_KEY).repartition(self.buckets, *_KEY).write.format("parquet").bucketBy(self.buckets, *_KEY).sortBy(*_KEY).option("path", at).saveAsTable(name)
         return name
 
     def add(self, keys: DataFrame) -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -35,16 +36,30 @@ def shared_dir(spark: SparkSession) -> str:
     return set_to
 
 
-def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
+@contextmanager
+def freeing(spark: SparkSession):
+    """Steps run in here give back their shuffle files as they end: what they made stands in the shared folder."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder; the plan starts anew from its files."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager)
+    with freeing(df.sparkSession):
+        return df.select("*").checkpoint()  # a new plan, made while freeing is on
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Write to a Parquet table in the shared folder and read that back, so later plans can prune columns."""
     path = f"{shared_dir(df.sparkSession)}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with freeing(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
