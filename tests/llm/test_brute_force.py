@@ -101,7 +101,7 @@ def test_repeats(spark):
     s = [f"Sentence number {i} has quite a few words of its own inside." for i in range(40)]
     short = "Too short. And this. So too."
     docs = [
-        (1, " ".join(s[:5])), (2, "mid line words stand before it " + " ".join(s[1:4]) + " and after"), (3, s[6] + "\n" + s[7] + "\n" + short), (4, short + "\n" + s[7].upper()),
+        (1, " ".join(s[:5])), (2, "mid line words stand before it " + " ".join(s[1:4]) + " and after"), (3, s[6] + "\n" + s[7] + "\n" + short), (4, short + "\n" + s[7].replace(" ", "  ").replace("quite", "quITE")),
         (5, "clean text that no other document has, with enough words to be a unit."), (6, s[8] + " " + s[8]), (7, "é. " + s[20] + "\n" + s[21]), (8, "ß ß. " + s[20]), (None, s[7]), (9, None),
     ]
     df = spark.createDataFrame(docs, "doc_id long, text string")
