@@ -13,7 +13,9 @@ filtered by several:
 * over the same tokens by two more hashes.
 
 A candidate pair must share a prefix token under the last three orders,
-intersected, before its whole sets are fetched and compared exactly.
+intersected, before its whole sets are fetched and compared exactly.  Tokens
+of a candidate's whole set that no other candidate has are counted once; a
+pair is a candidate only if both sets have enough other tokens.
 
 Posting lists are never expanded into all pairs at once.  Two rounds compare
 every set with one leader of its lists, the components of the links found
@@ -158,7 +160,13 @@ class _Join:
         sets = mine.select("doc_id", "text").mapInArrow(_sets(words), "rep long, tokens array<long>")
         with shared.freeing(self.spark):
             sets.repartition(buckets, "rep").write.format("parquet").bucketBy(buckets, "rep").sortBy("rep").option("path", path).saveAsTable(self.name)
-        self.posts = cand.select("rep", "n", F.explode("q1").alias("t"))
+        # tokens that no other candidate has can't be shared: ``m`` counts the others
+        own = self.spark.table(self.name).select("rep", F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("df"), F.min("rep").alias("rep"))
+        alone = own.filter("df = 1").groupBy("rep").agg(F.count("*").alias("alone"))
+        posts = cand.join(alone, "rep", "left").withColumn("m", F.col("n") - F.coalesce("alone", F.lit(0)))
+        # a set must share this many tokens with any similar one
+        posts = posts.filter(F.col("m") * den >= F.col("n") * num)
+        self.posts = shared.checkpoint(posts.select("rep", "n", "m", F.explode("q1").alias("t")))
         self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
 
@@ -167,7 +175,7 @@ class _Join:
         self.spark.sql(f"DROP TABLE {self.name}")
 
     def labelled(self) -> DataFrame:
-        """Posting lists (t, rep, n, comp) that hold several components."""
+        """Posting lists (t, rep, n, m, comp) that hold several components."""
         posts = self.posts
         if self.labels is None:
             posts = posts.withColumn("comp", F.col("rep"))
@@ -180,8 +188,8 @@ class _Join:
     def leader_pairs(self, salt: int) -> DataFrame:
         """Every set with one leader of its lists, the one that leads most of them."""
         posts = shared.checkpoint(self.labelled())
-        lead = posts.groupBy("t").agg(F.min_by(F.struct("rep", "n", "comp"), F.struct(F.xxhash64("rep", F.lit(salt)) if salt else F.col("rep"), "rep")).alias("l"))
-        met = posts.join(lead, "t").filter((F.col("l.comp") != F.col("comp")) & self._sizes(F.col("n"), F.col("l.n")))
+        lead = posts.groupBy("t").agg(F.min_by(F.struct("rep", "n", "m", "comp"), F.struct(F.xxhash64("rep", F.lit(salt)) if salt else F.col("rep"), "rep")).alias("l"))
+        met = posts.join(lead, "t").filter((F.col("l.comp") != F.col("comp")) & self._sizes("n", "m", "l.n", "l.m"))
         met = met.groupBy("rep", F.col("l.rep").alias("a")).agg(F.count("*").alias("c"))
         best = met.groupBy("rep").agg(F.max_by("a", F.struct(F.col("c"), -F.col("a"))).alias("a"))
         return best.select("a", F.col("rep").alias("b"))
@@ -189,13 +197,14 @@ class _Join:
     def rest(self) -> DataFrame:
         """All candidate pairs between different components."""
         posts = shared.checkpoint(self.labelled())
-        x = posts.select("t", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-        y = posts.select("t", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-        on = (x["t"] == y["t"]) & (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & self._sizes(F.col("na"), F.col("nb"))
+        x = posts.select("t", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("comp").alias("ca"))
+        y = posts.select("t", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb"), F.col("comp").alias("cb"))
+        on = (x["t"] == y["t"]) & (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & self._sizes("na", "ma", "nb", "mb")
         return x.join(y, on).select("a", "b").distinct()
 
-    def _sizes(self, m: Column, n: Column) -> Column:
-        return F.least(m, n) * self.den >= F.greatest(m, n) * self.num
+    def _sizes(self, na: str, ma: str, nb: str, mb: str) -> Column:
+        """Whether two sets have enough tokens that they could share: similar ones share num / (num + den) of both sizes together."""
+        return F.least(ma, mb) * (self.num + self.den) >= (F.col(na) + F.col(nb)) * self.num
 
     def verify(self, pairs: DataFrame) -> bool:
         """Intersect the other orders' filters, then compare whole sets; returns whether any new link was found."""
