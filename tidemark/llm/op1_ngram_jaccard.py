@@ -195,11 +195,13 @@ class _Join:
         return best.select("a", F.col("rep").alias("b"))
 
     def rest(self) -> DataFrame:
-        """All candidate pairs between different components."""
-        posts = shared.checkpoint(self.labelled())
-        x = posts.select("t", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("comp").alias("ca"))
-        y = posts.select("t", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb"), F.col("comp").alias("cb"))
-        on = (x["t"] == y["t"]) & (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & self._sizes("na", "ma", "nb", "mb")
+        """All candidate pairs between different components, each from the first token that both prefixes hold."""
+        posts = self.labelled().join(self.cand.select("rep", "q1"), "rep")
+        before = F.slice("q1", F.lit(1), (F.array_position("q1", F.col("t")) - 1).cast("int"))
+        posts = shared.checkpoint(posts.select("t", "rep", "n", "m", "comp", before.alias("before")))
+        x = posts.select("t", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("comp").alias("ca"), F.col("before").alias("ba"))
+        y = posts.select("t", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb"), F.col("comp").alias("cb"), F.col("before").alias("bb"))
+        on = (x["t"] == y["t"]) & (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & self._sizes("na", "ma", "nb", "mb") & ~F.arrays_overlap("ba", "bb")
         return x.join(y, on).select("a", "b").distinct()
 
     def _sizes(self, na: str, ma: str, nb: str, mb: str) -> Column:
