@@ -126,6 +126,30 @@ def test_repeats(spark):
     assert kept[8]["text"] == "ß ß. " and kept[6]["text"].count("Sentence") == 1
 
 
+def test_passages(spark):
+    rng = np.random.default_rng(2)
+    word = lambda n: [f"w{x}é" for x in rng.integers(1_000_000, size=n)]
+    a, b, c = word(50), word(90), word(49)
+    docs = [
+        (1, " ".join(word(20) + a + word(20) + b + c)), (2, " ".join(word(7) + a + word(9))), (3, "\n".join([" ".join(word(3) + b[:31]), " ".join(b[31:]).upper().replace("É", "é"), " ".join(word(30))])),
+        (4, " ".join(word(60) + c + word(2))), (5, " ".join(["so", "it", "goes"] * 80)), (6, " ".join(b[20:] + word(1) + b[:49])), (7, None), (None, " ".join(a)),
+    ]
+    seen, want = {}, {}
+    for d, t in docs:
+        if d is not None and t:
+            w = [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"\S+", t)]
+            for i in range(len(w) - 49):
+                key, start, end = " ".join(x[0] for x in w[i : i + 50]), w[i][1], w[i + 49][2]
+                if key not in seen:
+                    seen[key] = (d, end)
+                else:
+                    want.setdefault(d, set()).update(range(max(start, seen[key][1]) if d == seen[key][0] else start, end))
+    got = {}
+    for r in sub.repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect():
+        got.setdefault(r["doc_id"], set()).update(range(r["start"], r["end"]))
+    assert got == want and set(want) == {2, 3, 5, 6}
+
+
 def test_flight_keeps_totals():
     rng = np.random.default_rng(1)
     size = [float(x) for x in rng.integers(1, 900, 400)]

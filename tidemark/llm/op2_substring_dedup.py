@@ -1,14 +1,22 @@
-"""Substring dedup by hashing units of lines.
+"""Substring dedup by hashing units of lines and passages of words.
 
 Lines are cut after sentence ends and before capitalised words.  A unit is a
 run of such pieces of one line, from any cut, just long enough to hold
-``MIN_WORDS`` words; a line with fewer words has none.
-Units are normalised (A-Z lower-cased, blanks between words made one) and
+``MIN_WORDS`` words; a line with fewer words has none.  A passage is any
+``PASSAGE`` consecutive words of a text, whatever its cuts, line breaks and
+neighbours.
+Both are normalised (A-Z lower-cased, blanks between words made one) and
 hashed; digests are grouped over all documents, the occurrence of smallest
-(doc_id, start) is kept and every other one is removed.  As a unit may start
-at every cut, a passage is found wherever it stands in a line, and
-what is removed of a document is the union of its repeated units, in offsets
-of the original text.
+(doc_id, start) is kept and every other one is removed, of a passage only
+what it doesn't share with the kept one.  So a repeat of ``PASSAGE`` words or more is
+removed whole wherever it stands, a shorter one as far as units cover it.
+What is removed of a document is the union of both, in offsets of the
+original text.
+
+Passages are hashed in two steps, neither of which loses any.  The anchor of
+a passage is the least hash of ``SHINGLE`` words in it, so equal passages have
+equal anchors; anchors number about one in thirteen words.  Only passages
+whose anchor stands in two places or more are hashed themselves.
 
 Defined cases: null and empty texts have no units; documents without a
 doc_id take no part; rows that share a doc_id are one document, of which the
@@ -30,6 +38,8 @@ from pyspark.sql import functions as F
 from tidemark.llm import shared
 
 MIN_WORDS = 8
+#: Words of a passage, and of the shingles of which the least is its anchor.
+PASSAGE, SHINGLE = 50, 25
 #: A line is cut after . ! or ? before a blank, and before a word that starts with A-Z or an upper-case letter of Latin-1.
 CUTS = re.compile(rb"(?<=[.!?])(?=[ \t\x0b\x0c\r])|(?<=[ \t\x0b\x0c\r])(?=[A-Z]|\xc3[\x80-\x9e])")
 _KEY = ["h1", "h2"]
@@ -91,16 +101,126 @@ def _units_of(least: int):
     return run
 
 
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of two runs of words as one hash."""
+    return shared.mixed(a * np.uint64(0xD1342543DE82EF95) + b)
+
+
+def _least(g: np.ndarray, n: int) -> np.ndarray:
+    """For each n consecutive hashes the place of the least, the leftmost of equal ones."""
+    value, at, have = g, np.arange(len(g)), 1
+    while have < n:
+        step = min(have, n - have)
+        left = value[:-step] <= value[step:]
+        value, at = np.where(left, value[:-step], value[step:]), np.where(left, at[:-step], at[step:])
+        have += step
+    return at
+
+
+def _passages(t: shared.Texts) -> tuple[np.ndarray, ...]:
+    """Of every passage: text number, start and end (bytes in ``t.buf``), hash, anchor, and the anchor's word in the text."""
+    starts, ends, first = shared.word_bounds(t)
+    n = len(starts) - PASSAGE + 1
+    if n < 1:
+        return tuple(np.zeros(0, x) for x in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64))
+    g = word = shared.span_hashes(shared.lowered(t.buf), starts, ends)
+    for bit in f"{SHINGLE:b}"[1:]:
+        have = len(word) - len(g) + 1
+        g = _joined(g[:-have], g[have:])
+        if bit == "1":
+            g = _joined(g[:-1], word[2 * have :])
+    at = _least(g, PASSAGE - SHINGLE + 1)
+    text = np.repeat(np.arange(len(t)), np.diff(first))
+    i = np.flatnonzero(text[:n] == text[PASSAGE - 1 :])
+    text, at = text[i], at[i]
+    return text, starts[i], ends[i + PASSAGE - 1], _joined(g[i], g[i + PASSAGE - SHINGLE]), g[at], at - first[text]
+
+
+def _begins(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """True where another anchor begins."""
+    new = np.ones(len(at), bool)
+    new[1:] = (text[1:] != text[:-1]) | (at[1:] != at[:-1])
+    return new
+
+
+def _anchors(batches):
+    for batch in batches:
+        for t in shared.chunks(batch.column("text")):
+            text, _, _, _, anchor, at = _passages(t)
+            new = _begins(text, at)
+            ids = batch.column("doc_id").slice(t.first, len(t)).take(pa.array(text[new]))
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), ids, pa.array(at[new].astype(np.int32))], names=["anchor", "doc_id", "at"])
+
+
+def _runs(batches):
+    """Of each anchor in ``wanted`` the passages around it: their hashes, starts and ends (code points)."""
+    for batch in batches:
+        wanted = np.unique(np.asarray(batch.column("wanted").flatten()).astype(np.int64).view(np.uint64))
+        for t in shared.chunks(batch.column("text")):
+            text, start, end, hashes, anchor, at = _passages(t)
+            if not len(wanted) or not len(text):
+                continue
+            i = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, anchor), len(wanted) - 1)] == anchor)
+            # bytes to code points
+            points = np.append(0, np.cumsum((t.buf & 0xC0) != 0x80))
+            base = points[t.starts[text[i]]]
+            new = i[_begins(text[i], at[i])]
+            cut = pa.array(np.append(np.searchsorted(i, new), len(i)).astype(np.int32))
+            inner = [pa.array(hashes[i].view(np.int64)), *(pa.array((points[x[i]] - base).astype(np.int32)) for x in (start, end))]
+            ids = batch.column("doc_id").slice(t.first, len(t)).take(pa.array(text[new]))
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), ids, pa.array(at[new].astype(np.int32)), *(pa.ListArray.from_arrays(cut, x) for x in inner)], names=["anchor", "doc_id", "at", "hashes", "starts", "ends"])
+
+
+def _again(batches):
+    """Spans of passages seen before, from runs in the order of anchor, doc_id and place; one anchor's passages are held at a time."""
+    last, seen = None, {}
+    for batch in batches:
+        out = []
+        for anchor, d, hashes, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc_id", "hashes", "starts", "ends")), strict=True):
+            if anchor != last:
+                last, seen = anchor, {}
+            span = None
+            for h, start, end in zip(hashes, starts, ends, strict=True):
+                first = seen.setdefault(h, (d, start, end))
+                if first[0] == d:
+                    # the kept occurrence stays whole where another one overlaps it
+                    start = max(start, first[2]) if start > first[1] else end
+                if start >= end:
+                    continue
+                if span and span[3] == first[0] and span[1] <= start <= span[2]:
+                    span[2] = max(span[2], end)
+                else:
+                    span = [d, start, end, first[0]]
+                    out.append(span)
+        cols = list(zip(*out, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["doc_id", "start", "end", "first_doc_id"])
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """Spans of the passages that stand at a smaller (doc_id, start) too."""
+    docs = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    anchors = shared.stored(docs.mapInArrow(_anchors, "anchor long, doc_id long, at int"))
+    place = F.struct("doc_id", "at")
+    twice = anchors.groupBy("anchor").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(F.col("first") < F.col("last")).select("anchor")
+    wanted = shared.stored(anchors.join(twice, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("wanted")))
+    shared.removed(anchors)
+    runs = docs.join(wanted, "doc_id").mapInArrow(_runs, "anchor long, doc_id long, at int, hashes array<long>, starts array<int>, ends array<int>")
+    got = shared.stored(runs.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "at").mapInArrow(_again, "doc_id long, start int, end int, first_doc_id long"))
+    shared.removed(wanted)
+    return got
+
+
 def repeats(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """Removed spans: doc_id, start, end (code points, end exclusive), first_doc_id (of the first unit's kept occurrence)."""
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_units_of(least), "doc_id long, h1 long, h2 long, start int, end int")
-    found = shared.stored(found)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    longer = passages(docs)
+    found = shared.stored(docs.mapInArrow(_units_of(least), "doc_id long, h1 long, h2 long, start int, end int"))
     place = F.struct("doc_id", "start")
     # partial sums first, so a unit of a third of all documents is one row a task; only repeated digests go on
     first = found.groupBy(*_KEY).agg(F.min(place).alias("first"), F.max(place).alias("last"))
     first = first.filter(F.col("first") < F.col("last")).select(*_KEY, "first")
     gone = found.join(first, _KEY).filter(F.struct("doc_id", "start") > F.col("first"))
-    gone = gone.select("doc_id", "start", "end", F.col("first.doc_id").alias("first_doc_id")).distinct()
+    gone = gone.select("doc_id", "start", "end", F.col("first.doc_id").alias("first_doc_id")).unionByName(longer).distinct()
     # merge what overlaps or touches within a document
     by_start = Window.partitionBy("doc_id").orderBy("start", "end", "first_doc_id")
     reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
