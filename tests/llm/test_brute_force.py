@@ -126,6 +126,19 @@ def test_repeats(spark):
     assert kept[8]["text"] == "ß ß. " and kept[6]["text"].count("Sentence") == 1
 
 
+def test_whole_lines(spark):
+    tail = "one long piece of a line with more than eight words in it. And a tail."
+    docs = [
+        (1, "Too few words\nThese own words begin the line of document one alone. " + tail), (2, "  too  FEW words\r\nsome other start. " + tail),
+        (3, "这是一个没有空格的长句子\nshort"), (4, "Short\n这是一个没有空格的长句子"), (5, "九个字的行不是单位\n123456789"), (6, "九个字的行不是单位\n123456789"),
+    ]
+    got = {}
+    for r in sub.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        got[r["doc_id"]] = r["text"]
+    assert got.pop(2).split() == ["some", "other", "start."] and got.pop(4) == "Short\n"
+    assert got == {d: t for d, t in docs if d not in (2, 4)}
+
+
 def test_passages(spark):
     rng = np.random.default_rng(2)
     word = lambda n: [f"w{x}é" for x in rng.integers(1_000_000, size=n)]

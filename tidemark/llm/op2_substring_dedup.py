@@ -2,7 +2,8 @@
 
 Lines are cut after sentence ends and before capitalised words.  A unit is a
 run of such pieces of one line, from any cut, just long enough to hold
-``MIN_WORDS`` words; a line with fewer words has none.  A passage is any
+``MIN_WORDS`` words, the last one up to the line's end; a whole line of
+``MIN_CHARS`` characters or more is one too, however few its words.  A passage is any
 ``PASSAGE`` consecutive words of a text, whatever its cuts, line breaks and
 neighbours.
 Both are normalised (A-Z lower-cased, blanks between words made one) and
@@ -38,6 +39,8 @@ from pyspark.sql import functions as F
 from tidemark.llm import shared
 
 MIN_WORDS = 8
+#: Characters of a line, blanks between words made one, from which it is a unit.
+MIN_CHARS = 10
 #: Words of a passage, and of the shingles of which the least is its anchor.
 PASSAGE, SHINGLE = 50, 25
 #: A line is cut after . ! or ? before a blank, and before a word that starts with A-Z or an upper-case letter of Latin-1.
@@ -49,25 +52,34 @@ def units(text: bytes, least: int = MIN_WORDS) -> list[tuple[bytes, int, int]]:
     """(digest, start, end) in bytes of every unit of a text."""
     out, at = [], 0
     for line in text.split(b"\n"):
-        if len(line) >= 2 * least - 1:
+        if len(line) >= min(MIN_CHARS, 2 * least - 1):
             cuts = [0]
             cuts += [m.start() for m in CUTS.finditer(line) if m.start()]
             if cuts[-1] < len(line):
                 cuts.append(len(line))
             words = [line[a:b].lower().split() for a, b in zip(cuts, cuts[1:], strict=False)]
-            j, n = 0, 0
+            runs, j, n = [], 0, 0
             for i in range(len(words)):
                 while n < least and j < len(words):
                     n += len(words[j])
                     j += 1
                 if n < least:
                     break
-                raw = line[cuts[i] : cuts[j]]
-                lead = len(raw) - len(raw.lstrip(shared.BLANKS))
                 if words[i]:
-                    joined = b" ".join([w for s in words[i:j] for w in s])
-                    out.append((xxhash.xxh3_128_digest(joined), at + cuts[i] + lead, at + cuts[j]))
+                    runs.append((i, j))
                 n -= len(words[i])
+            if runs and runs[-1][1] < len(words):
+                runs.append((runs[-1][0], len(words)))
+            own = next((i for i, w in enumerate(words) if w), None)
+            whole = (own, len(words))
+            if own is not None and whole not in runs[:1] + runs[-1:]:
+                if runs or len(b" ".join([w for s in words for w in s]).decode(errors="replace")) >= MIN_CHARS:
+                    runs.append(whole)
+            for i, j in runs:
+                raw = line[cuts[i] : cuts[j]]
+                lead = len(raw) - len(raw.lstrip(shared.BLANKS))
+                joined = b" ".join([w for s in words[i:j] for w in s])
+                out.append((xxhash.xxh3_128_digest(joined), at + cuts[i] + lead, at + cuts[j]))
         at += len(line) + 1
     return out
 
