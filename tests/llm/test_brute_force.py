@@ -281,6 +281,22 @@ def test_pseudonyms(spark):
     assert re.fullmatch(r"on \d{4}-\d\d-\d\d or \d\d/\d\d/\d{4}, ssn \d{3}-\d\d-\d{4}, call \+1 \([2-9]\d\d\) [2-9]\d\d-\d{4}", got[1])
 
 
+def test_adjacent_numbers(spark):
+    c, p, d = "4111111111111111", "555-234-5678", "2024-01-02"
+    spaced, dashed = "4111 1111 1111 1111", "4111-1111-1111-1111"
+    texts = [f"{c} {c}", f"{spaced} 123", f"{c} 12/25", f"12 {dashed}", f"{p} {d}", f"{c} {p}", f"{spaced} 10.1.2.3", f"{c} {d} {spaced}", f"{c} 12a@b.com", f"{spaced} 4111111111111112", f"{dashed}-123", f"12 {spaced}, {p} {p}"]
+    kinds = ["cc", "c", "c", "c", "pd", "cp", "ci", "cdc", "ce", "c", "", "cpp"]
+    got = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    name = {"c": "card", "p": "phone", "d": "date", "i": "ip", "e": "email"}
+    for r, was, want in zip(got, texts, kinds, strict=True):
+        assert {k: r[f"n_{k}"] for k in pii.KINDS} == {k: want.count(x) for x, k in name.items()} | {"ssn": 0}, was
+        assert re.sub("[0-9a-z]+", "x", r["text"]) == re.sub("[0-9a-z]+", "x", was)
+        assert all(x not in r["text"] for x in (c, spaced, p, d, "10.1.2.3", "a@b"))
+    new = got[0]["text"].split()[0]
+    assert got[0]["text"] == f"{new} {new}" and got[2]["text"] == f"{new} 12/25" and got[3]["text"].startswith("12 ") and got[10]["text"] == texts[10]
+    assert got[1]["text"].replace(" ", "") == new + "123" and luhn_ok(new)
+
+
 def test_pseudonyms_are_one_to_one(spark):
     v = spark.range(898 * 99).select(F.array((F.col("id") % 898).cast("bigint"), F.floor(F.col("id") / 898).cast("bigint")).alias("v"))
     m = F.array(F.lit(898).cast("bigint"), F.lit(99).cast("bigint"))

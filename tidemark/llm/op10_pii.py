@@ -8,6 +8,12 @@ place) permutes all vectors of that format.  So a value keeps its format and
 its validity (Luhn digit, calendar, ranges), and equal values become equal
 pseudonyms in every document.
 
+At every place where a match may start each kind is tried, and the first that
+passes its validation counts, so a number next to another one isn't lost: a
+card ends before a blank and a new number.  Cards in other groups than 4-4-4-4
+and 4-6-5 count only where the run of numbers ends and no other match starts
+in them.
+
 Defined cases: a null text stays null and has no findings; matches that fail
 validation stay as they are; texts of any length are scanned whole; repeated
 rows are masked each, alike; an empty table gives an empty result; extra
@@ -34,8 +40,16 @@ PATTERNS = {
     "card": r"\d(?:[ -]?\d){12,18}(?![ -]?\d)",
     "phone": r"(?:\+?1[ .-]?)?(?:\(\d{3}\)[ ]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)",
 }
+#: Cards in their usual groups, or unbroken, may stand next to other numbers.
+SHAPED = r"(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})(?!-?\d)"
+#: What is tried at a place, in this order; the first that is valid counts.
+TRIES = [*((k, PATTERNS[k]) for k in KINDS[:4]), ("card", SHAPED), ("phone", PATTERNS["phone"]), ("card", PATTERNS["card"])]
 #: A match starts where no part of a longer word or number stands before it.
-ANY = r"(?<![A-Za-z0-9])(?<!\d[.-])(?:" + "|".join(f"(?:{PATTERNS[k]})" for k in KINDS) + ")"
+START = r"(?<![A-Za-z0-9])(?<!\d[.-])(?=" + "|".join(f"(?:{x})" for x in (*PATTERNS.values(), SHAPED)) + ")"
+#: From a start on to where no match can go on: past characters of no kind, or a blank that isn't between numbers.
+CLUSTER = START + r"(?:[A-Za-z0-9._%+@()/-]++(?: (?<=[\d)] )(?=[\d(]))?+)++"
+#: No match is longer than REACH characters or has more than STARTS starts in it.
+REACH, STARTS = 700, 80
 #: Dates move within the 400-year cycle 1800 to 2199 of 189 * 773 days.
 FIRST_DAY, LAST_DAY, DAYS = "1800-01-01", "2199-12-31", (189, 773)
 
@@ -184,13 +198,53 @@ def _email(s: Column, key: str) -> tuple[Column, Column]:
 _MAKERS = {"email": _email, "date": _date, "ip": _ip, "ssn": _ssn, "card": _card, "phone": _phone}
 
 
-def pseudonym(s: Column, key: str = KEY) -> Column:
-    """Of a match: struct(kind, to), kind the number in ``KINDS`` or null where no kind's validation holds (``to`` is the match then)."""
-    out = F.struct(F.lit(None).cast("int").alias("kind"), s.alias("to"))
-    for i, name in reversed(list(enumerate(KINDS))):
-        ok, new = _MAKERS[name](s, key)
-        valid = F.when(s.rlike(f"^(?:{PATTERNS[name]})$"), ok).otherwise(F.lit(False))
-        out = F.when(valid, F.struct(F.lit(i).alias("kind"), new.alias("to"))).otherwise(out)
+def matches(cluster: Column, key: str = KEY) -> Column:
+    """A cluster in pieces, array of struct(kind, s): kind the number in ``KINDS`` of a valid match, null for what stands between."""
+
+    def tried(p: Column, k: Column) -> Column:
+        rest = F.substr(F.array_join(F.slice(p, k + 1, F.lit(STARTS)), ""), F.lit(1), F.lit(REACH))
+
+        def first(rest: Column) -> Column:
+            out = F.struct(F.lit(None).cast("int").alias("kind"), F.lit("").alias("s"), F.lit(False).alias("loose"))
+            for i, (name, pattern) in reversed(list(enumerate(TRIES))):
+                s = F.regexp_extract(rest, f"^(?:{pattern})", 0)
+                valid = F.when(s != "", let(s, lambda x: _MAKERS[name](x, key)[0])).otherwise(F.lit(False))  # noqa: B023
+                out = F.when(valid, F.struct(F.lit(KINDS.index(name)).alias("kind"), s.alias("s"), F.lit(i == len(TRIES) - 1).alias("loose"))).otherwise(out)
+            return out
+
+        return let(rest, first)
+
+    def walked(p: Column, found: Column) -> Column:
+        piece = lambda kind, s: F.array(F.struct(kind.cast("int").alias("kind"), s.alias("s")))
+        none = F.lit(None).cast("int")
+
+        def step(a: Column, k: Column) -> Column:
+            own, x = F.element_at(p, k + 1), F.element_at(found, k + 1)
+            n, size = F.length(own), F.length(x["s"])
+            # a card in unusual groups gives way to any other match that starts in it
+            other = F.exists(F.sequence(F.lit(1), F.lit(19)), lambda d: F.coalesce(F.get(found, k + d)["kind"].isNotNull() & ~F.get(found, k + d)["loose"], F.lit(False)) & (F.length(F.array_join(F.slice(p, k + 1, d), "")) < size))
+            free = (a["skip"] == 0) & x["kind"].isNotNull()
+            take = F.when(free, F.when(x["loose"], ~other).otherwise(F.lit(True))).otherwise(F.lit(False))
+
+            def with_skip(take: Column) -> Column:
+                skip = F.when(take, size).otherwise(a["skip"])
+                new = F.when(take, piece(x["kind"], x["s"])).otherwise(F.slice(piece(none, F.lit("")), F.lit(1), F.lit(0)))
+                left = F.when(n > skip, piece(none, F.substr(own, skip + 1, n))).otherwise(F.slice(piece(none, F.lit("")), F.lit(1), F.lit(0)))
+                return F.struct(F.greatest(skip - n, F.lit(0)).alias("skip"), F.concat(a["out"], new, left).alias("out"))
+
+            return let(take, with_skip)
+
+        start = F.struct(F.lit(0).alias("skip"), F.array().cast("array<struct<kind:int,s:string>>").alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(p) - 1), start, step, lambda a: a["out"])
+
+    return let(F.split(cluster, START, -1), lambda p: let(F.transform(F.sequence(F.lit(0), F.size(p) - 1), lambda k: tried(p, k)), lambda found: walked(p, found)))
+
+
+def pseudonym(kind: Column, s: Column, key: str = KEY) -> Column:
+    """What stands for a match of a kind; ``s`` itself where kind is null."""
+    out = s
+    for i, name in enumerate(KINDS):
+        out = F.when(kind == i, _MAKERS[name](s, key)[1]).otherwise(out)
     return out
 
 
@@ -199,12 +253,12 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     own = [*(f"n_{k}" for k in KINDS), "n_pii"]
     docs = docs.select(*(c for c in docs.columns if c not in own))
     text = F.col("text")
-    hits = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    hits = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(CLUSTER), F.lit(0))).otherwise(F.array().cast("array<string>"))
     with_hits = docs.withColumn("_hits", F.coalesce(hits, F.array().cast("array<string>")))
-    done = with_hits.withColumn("_to", F.transform("_hits", lambda s: pseudonym(s, key)))
-    gaps = F.split(text, ANY, -1)
-    masked = F.concat(F.array_join(F.zip_with(F.slice(gaps, F.lit(1), F.size("_to")), F.col("_to"), lambda g, x: F.concat(g, x["to"])), ""), F.element_at(gaps, -1))
-    counts = [F.size(F.filter("_to", lambda x: x["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    done = with_hits.withColumn("_to", F.transform("_hits", lambda c: F.transform(matches(c, key), lambda x: F.struct(x["kind"].alias("kind"), pseudonym(x["kind"], x["s"], key).alias("to")))))
+    gaps = F.split(text, CLUSTER, -1)
+    masked = F.concat(F.array_join(F.zip_with(F.slice(gaps, F.lit(1), F.size("_to")), F.col("_to"), lambda g, x: F.concat(g, F.array_join(F.transform(x, lambda y: y["to"]), ""))), ""), F.element_at(gaps, -1))
+    counts = [F.size(F.filter(F.flatten("_to"), lambda x: x["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     rest = [c for c in docs.columns if c != "text"]
     got = done.select(*rest, F.when(F.size("_to") > 0, masked).otherwise(text).alias("text"), *counts)
     return got.withColumn("n_pii", sum((F.col(f"n_{k}") for k in KINDS), F.lit(0).cast("long")))
