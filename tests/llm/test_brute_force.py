@@ -312,3 +312,13 @@ def test_language_backoff(spark):
     assert got[5]["lang_pred"] == "de" and got[5]["score"] == pytest.approx(0.5)
     nothing = lang.fit(spark.createDataFrame([], "doc_id long, text string, lang string"))
     assert lang.predict(spark.createDataFrame(asked, "doc_id long, text string"), nothing).first()["lang_pred"] == "und"
+
+
+def test_language_of_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(lang, "WORDS", 6)
+    docs = [(i, "the house and the street in this town", "en") for i in range(1500)] + [(10_000 + i, "domo kaj strato", "eo") for i in range(6)]
+    model = lang.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"), 40)
+    assert model.langs == ["en", "eo"]
+    own = lang.Words(next(lang.shared.chunks(lang.pa.array(["domo kaj strato"])))).hash
+    assert np.isin(own, model.hashes[0]).all()
+    assert lang.predict(spark.createDataFrame([(1, "kaj domo")], "doc_id long, text string"), model).first()["lang_pred"] == "eo"

@@ -3,9 +3,11 @@
 A known word adds its log frequency in each language; an unseen word is
 scored by its character n-grams, of the longest order of which any is known,
 falling back from 4 to 1.  The model is fitted on a bounded sample of
-labelled texts (``SAMPLE_DOCS``, drawn by a hash of doc_id), counted on the
-executors and cut to ``WORDS`` words and ``GRAMS`` n-grams of each order, so
-it can be sent to every task.  Prediction reads whole texts and nothing else.
+labelled texts (``SAMPLE_DOCS``, drawn by a hash of doc_id, evenly from all
+languages), counted on the executors and cut to the ``WORDS`` words and
+``GRAMS`` n-grams of each order that are most frequent, with as many again
+shared out to the languages' own most frequent, so it can be sent to every
+task.  Prediction reads whole texts and nothing else.
 
 Defined cases: a null text or one without a letter gives ``und`` and score
 0, as does every text if nothing could be learned; a null doc_id is not held
@@ -21,7 +23,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,12 +92,24 @@ def _counts(batches):
                 yield pa.RecordBatch.from_arrays(list(x), names=["lang", "n", "h", "c"])
 
 
+def _rates(sizes: dict[str, int], sample_docs: int) -> dict[str, float]:
+    """Share of each language's rows to take: equal numbers of rows, what small languages leave going to the larger."""
+    rates, left = {}, sample_docs
+    for i, (lang, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        want = min(n, max(1, left // (len(sizes) - i)))
+        rates[lang] = want / n
+        left -= want
+    return rates
+
+
 def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Fit on ``labelled`` (doc_id, text, lang), on all of it or on a sample of about ``sample_docs`` rows."""
+    """Fit on ``labelled`` (doc_id, text, lang), on all of it or on a sample of about ``sample_docs`` rows, dealt evenly to the languages."""
     labelled = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    n = labelled.select("doc_id").count()
-    rate = min(1.0, sample_docs / max(1, n))
-    sample = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(rate * 1_000_000)) if rate < 1 else labelled
+    rates = _rates({r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}, sample_docs)
+    sample = labelled
+    if any(x < 1 for x in rates.values()):
+        rate = F.create_map(*(F.lit(x) for pair in rates.items() for x in pair))[F.col("lang")]
+        sample = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.ceil(rate * (1 << 40)))
     counted = sample.select("text", "lang").mapInArrow(_counts, "lang string, n int, h long, c long").groupBy("lang", "n", "h").agg(F.sum("c").alias("c"))
     counted = shared.checkpoint(counted)
     total = counted.groupBy("n", "h").agg(F.sum("c").alias("all"))
@@ -103,6 +117,11 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     best = parts[0]
     for more in parts[1:]:
         best = best.unionByName(more)
+    # and each language's own most frequent, so that none falls below the common cut
+    rank = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("c"), "h"))
+    quota = F.when(F.col("n") == 0, WORDS // max(1, len(rates))).otherwise(GRAMS // max(1, len(rates)))
+    own = counted.join(total.filter(F.col("all") > 1), ["n", "h"]).withColumn("rank", rank).filter(F.col("rank") <= quota)
+    best = best.select("n", "h").unionByName(own.select("n", "h")).distinct()
     sums = {(r["lang"], r["n"]): r["c"] for r in counted.groupBy("lang", "n").agg(F.sum("c").alias("c")).collect()}
     rows = counted.join(best.select("n", "h"), ["n", "h"]).select("lang", "n", "h", "c").toPandas()
     model = Model(sorted({lang for lang, _ in sums}))
