@@ -322,3 +322,13 @@ def test_language_of_few_rows(spark, monkeypatch):
     own = lang.Words(next(lang.shared.chunks(lang.pa.array(["domo kaj strato"])))).hash
     assert np.isin(own, model.hashes[0]).all()
     assert lang.predict(spark.createDataFrame([(1, "kaj domo")], "doc_id long, text string"), model).first()["lang_pred"] == "eo"
+
+
+def test_ledger_of_clean_blobs(spark):
+    df = spark.createDataFrame([(1, "token: abcdef"), (2, "clean"), (3, "clean"), (4, None)], "doc_id long, text string")
+    found = lambda x: {r["doc_id"]: r["s"] for r in x.select("doc_id", secrets.text_of(F.col("found")).alias("s")).collect()}
+    got, ledger = secrets.scan(df)
+    assert ledger.count() == 3 * len(secrets.RULES)
+    more = df.unionByName(spark.createDataFrame([(5, "secret=abcdef")], df.schema))
+    again, new = secrets.scan(more, ledger=ledger)
+    assert new.count() == len(secrets.RULES) and found(again) == found(got) | {5: "assign:0:13"}

@@ -96,18 +96,19 @@ def text_of(found: Column, rules=RULES) -> Column:
 
 
 def scan(versions: DataFrame, rules=RULES, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """``versions`` (with ``text``) without the text but with ``blob`` and ``found``; and the new ledger rows that have findings.
+    """``versions`` (with ``text``) without the text but with ``blob`` and ``found``; and the new ledger rows, of all pairs scanned.
 
-    A caller that keeps a ledger appends ``scan_blobs`` of the pending blobs
-    to it; pairs without findings are kept there too.
+    A caller that keeps a ledger appends the new rows to it; pairs without
+    findings are among them, so that clean blobs aren't scanned again.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     addressed = versions.withColumn("blob", F.sha2(text, 256))
     # one text per blob: copies collapse before the shuffle
     blobs = addressed.select("blob", text.alias("text")).dropDuplicates(["blob"])
-    new = scan_blobs(blobs, rules, ledger).filter(F.size("found") > 0)
-    new = shared.checkpoint(new)
-    known = new if ledger is None else new.unionByName(ledger.filter(F.size("found") > 0).select("blob", "rule", "found"))
+    new = shared.stored(scan_blobs(blobs, rules, ledger))
+    known = new.filter(F.size("found") > 0)
+    if ledger is not None:
+        known = known.unionByName(ledger.filter(F.size("found") > 0).select("blob", "rule", "found"))
     per_blob = known.groupBy("blob").agg(F.flatten(F.collect_list("found")).alias("found"))
     if ledger is None:
         per_blob = shared.checkpoint(per_blob)
