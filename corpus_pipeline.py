@@ -61,9 +61,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = shared.table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = shared.stored(docs)
+            if i:  # nothing reads a stage's copy once the next one stands
+                shared.removed(before)
     return docs
 
 

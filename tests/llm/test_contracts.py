@@ -89,23 +89,28 @@ def test_bpe(spark, docs):
 
 
 def plain_fingerprint(text):
-    """Unit by unit, lane by lane."""
-    units = []
-    raw, start = text.encode(), 0
+    """Paragraph by paragraph, lane by lane: 64 bytes of BLAKE2b, as 4 little-endian words and 256 bits."""
+    units, raw, start = [], text.encode(), 0
     for i in range(len(raw)):
         if raw[i] == 10 or i and raw[i] == 32 and raw[i - 1] in b".!?":
             units.append(raw[start : i + 1])
             start = i + 1
     if start < len(raw):
         units.append(raw[start:])
-    small, wide = np.zeros(fp.LANES, np.uint16), np.zeros(fp.WIDE, np.uint64)
+    small, wide = [0] * 256, [0] * 4
     for u in units:
-        b = np.frombuffer(u, np.uint8)
-        h = fp.shared.span_hashes(b, np.array([0]), np.array([len(b)]))
-        s, w = fp.vectors(h)
-        small += s[0].view(np.uint16)
-        wide += w[0]
-    return fp.hex_of(small[None], wide[None])[0]
+        d = hashlib.blake2b(u).digest()
+        wide = [(x + int.from_bytes(d[8 * k : 8 * k + 8], "little")) % 2**64 for k, x in enumerate(wide)]
+        small = [(x + (1 if d[32 + k // 8] >> (7 - k % 8) & 1 else -1)) % 2**16 for k, x in enumerate(small)]
+    return "".join(f"{x:016x}" for x in wide) + "".join(f"{x:04x}" for x in small)
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    x, y = ([(int(s[i : i + 4], 16) + 2**15) % 2**16 - 2**15 for i in range(64, len(s), 4)] for s in (a, b))
+    both = sum(i * i for i in x) + sum(i * i for i in y)
+    return min(1 - 1 / 64, max(0.0, 1 - sum((i - j) ** 2 for i, j in zip(x, y, strict=True)) / both)) if both else 0.0
 
 
 def test_fingerprints(spark, docs):
@@ -119,12 +124,20 @@ def test_fingerprints(spark, docs):
         edited = text[: len(text) - half] + after[:half]
         assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         assert r["fingerprint"] == plain_fingerprint(text) and r["edited_fingerprint"] == plain_fingerprint(edited)
-        assert 0 <= r["near_next"] <= 1 and 0 <= r["near_edited"] <= 1
+        assert r["near_edited"] == pytest.approx(plain_likeness(plain_fingerprint(text), plain_fingerprint(edited)))
+        assert r["near_next"] == pytest.approx(plain_likeness(plain_fingerprint(text), plain_fingerprint(after)))
         if len(text) > 1500 and after != text:
             near.append(r["near_edited"] - r["near_next"])
     assert np.mean(near) > 0.2
 
 
+def test_ranges(spark, docs):
+    """Small ranges, ids that repeat and rows without an id."""
+    df = spark.createDataFrame([(d, t) for d, t, _, _ in docs] + [(5, "again"), (5, "once more"), (None, "x"), (None, "y"), (None, "x")], "doc_id long, text string").repartition(4)
+    one, many = (sorted(map(str, fp.fingerprints(df, n).collect())) for n in (1 << 40, 20_000))
+    assert one == many and len(one) == len(docs) + 5
+
+
 def test_fingerprint_algebra():
     a, b = "One.\nTwo.\n", "Three four.\n"
     assert plain_fingerprint(a + b) == plain_fingerprint(b + a) == fp.added(plain_fingerprint(a), plain_fingerprint(b))

@@ -21,7 +21,9 @@ Posting lists are never expanded into all pairs at once.  Two rounds compare
 every set with one leader of its lists, the components of the links found
 are labelled, and then only lists that still hold several components give
 pairs, and only between different components.  A link inside a component
-can't change the result, and no other candidate is left out.
+can't change the result, and no other candidate is left out.  Long lists are
+joined apart or in parts of ``LIST`` postings, and so are the pairs of a set
+that has very many, so no token and no leader meets in one task.
 
 Defined cases: a null or empty text, or one without words, has the empty set
 and no links; with fewer words than a shingle the whole sequence is one
@@ -46,6 +48,10 @@ from tidemark.llm import shared
 BROADCAST_IDS = 1_000_000
 #: Salts of the two further token orders.
 ORDERS = (2, 3)
+#: Postings of a list, and pairs of a set, that one task joins; longer ones are split.
+LIST = 1000
+#: First prefix tokens by which a pair that an earlier token gives already is known; later repeats are dropped afterwards.
+HEAD = 64
 
 
 def _place(j: int) -> np.uint64:
@@ -155,59 +161,81 @@ class _Join:
         few = cand.count() <= BROADCAST_IDS
         mine = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
         self.name = f"shingle_sets_{uuid.uuid4().hex}"
+        self.links: DataFrame | None = None
+        self.labels: DataFrame | None = None
         buckets = shared.partitions(self.spark)
         path = f"{shared.shared_dir(self.spark)}/{self.name}"
-        sets = mine.select("doc_id", "text").mapInArrow(_sets(words), "rep long, tokens array<long>")
+        sets = shared.mapped(mine.select("doc_id", "text"), _sets(words), "rep long, tokens array<long>")
         with shared.freeing(self.spark):
             sets.repartition(buckets, "rep").write.format("parquet").bucketBy(buckets, "rep").sortBy("rep").option("path", path).saveAsTable(self.name)
+
+    def count_tokens(self) -> None:
+        """The posting lists of sets that have enough tokens in common with others."""
         # tokens that no other candidate has can't be shared: ``m`` counts the others
         own = self.spark.table(self.name).select("rep", F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("df"), F.min("rep").alias("rep"))
         alone = own.filter("df = 1").groupBy("rep").agg(F.count("*").alias("alone"))
-        posts = cand.join(alone, "rep", "left").withColumn("m", F.col("n") - F.coalesce("alone", F.lit(0)))
+        posts = self.cand.join(alone, "rep", "left").withColumn("m", F.col("n") - F.coalesce("alone", F.lit(0)))
         # a set must share this many tokens with any similar one
-        posts = posts.filter(F.col("m") * den >= F.col("n") * num)
-        self.posts = shared.checkpoint(posts.select("rep", "n", "m", F.explode("q1").alias("t")))
-        self.links: DataFrame | None = None
-        self.labels: DataFrame | None = None
+        posts = posts.filter(F.col("m") * self.den >= F.col("n") * self.num)
+        self.posts = shared.stored(posts.select("rep", "n", "m", F.posexplode("q1").alias("place", "t")))
 
     def close(self) -> None:
         shared.removed(self.spark.table(self.name))
         self.spark.sql(f"DROP TABLE {self.name}")
 
-    def labelled(self) -> DataFrame:
-        """Posting lists (t, rep, n, m, comp) that hold several components."""
+    def lists(self, salt: int) -> tuple[DataFrame, DataFrame]:
+        """Postings with their components, and the lists that hold several: t, size, and a leader ``l``."""
         posts = self.posts
         if self.labels is None:
             posts = posts.withColumn("comp", F.col("rep"))
         else:
             known = self.labels.withColumnRenamed("node", "rep")
-            posts = posts.join(known, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        mixed = posts.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("t")
-        return posts.join(mixed, "t")
+            posts = shared.stored(posts.join(known, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")))
+        by = F.struct(F.xxhash64("rep", F.lit(salt)) if salt else F.col("rep"), "rep")
+        each = posts.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.min_by(F.struct("rep", "n", "m", "comp"), by).alias("l"))
+        return posts, shared.stored(each.filter("lo < hi").drop("lo", "hi"))
 
     def leader_pairs(self, salt: int) -> DataFrame:
         """Every set with one leader of its lists, the one that leads most of them."""
-        posts = shared.checkpoint(self.labelled())
-        lead = posts.groupBy("t").agg(F.min_by(F.struct("rep", "n", "m", "comp"), F.struct(F.xxhash64("rep", F.lit(salt)) if salt else F.col("rep"), "rep")).alias("l"))
-        met = posts.join(lead, "t").filter((F.col("l.comp") != F.col("comp")) & self._sizes("n", "m", "l.n", "l.m"))
+        posts, lists = self.lists(salt)
+        met = shared.join_by_key(posts, lists, ["t"], "size").filter((F.col("l.comp") != F.col("comp")) & self._sizes("n", "m", "l.n", "l.m"))
         met = met.groupBy("rep", F.col("l.rep").alias("a")).agg(F.count("*").alias("c"))
         best = met.groupBy("rep").agg(F.max_by("a", F.struct(F.col("c"), -F.col("a"))).alias("a"))
         return best.select("a", F.col("rep").alias("b"))
 
     def rest(self) -> DataFrame:
-        """All candidate pairs between different components, each from the first token that both prefixes hold."""
-        posts = self.labelled().join(self.cand.select("rep", "q1"), "rep")
-        before = F.slice("q1", F.lit(1), (F.array_position("q1", F.col("t")) - 1).cast("int"))
-        posts = shared.checkpoint(posts.select("t", "rep", "n", "m", "comp", before.alias("before")))
-        x = posts.select("t", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("comp").alias("ca"), F.col("before").alias("ba"))
-        y = posts.select("t", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb"), F.col("comp").alias("cb"), F.col("before").alias("bb"))
-        on = (x["t"] == y["t"]) & (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & self._sizes("na", "ma", "nb", "mb") & ~F.arrays_overlap("ba", "bb")
+        """All candidate pairs between different components, most of them only from the first token that both prefixes hold."""
+        posts, lists = self.lists(0)
+        parts = lists.select("t", "size", F.ceil(F.col("size") / F.lit(LIST)).cast("int").alias("parts"))
+        posts = shared.join_by_key(posts, parts, ["t"], "size").join(self.cand.select("rep", F.slice("q1", F.lit(1), F.lit(HEAD)).alias("head")), "rep")
+        before = F.slice("head", F.lit(1), F.least("place", F.lit(HEAD)))
+        posts = shared.stored(posts.select("t", "rep", "n", "m", "comp", "parts", before.alias("before")))
+        # one side of a long list is dealt to its parts, the other goes to each
+        x = posts.select("t", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("comp").alias("ca"), F.col("before").alias("ba"))
+        y = posts.select("t", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb"), F.col("comp").alias("cb"), F.col("before").alias("bb"))
+        on = (x["t"] == y["t"]) & (x["part"] == y["part"]) & (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & self._sizes("na", "ma", "nb", "mb") & ~F.arrays_overlap("ba", "bb")
         return x.join(y, on).select("a", "b").distinct()
 
     def _sizes(self, na: str, ma: str, nb: str, mb: str) -> Column:
         """Whether two sets have enough tokens that they could share: similar ones share num / (num + den) of both sizes together."""
         return F.least(ma, mb) * (self.num + self.den) >= (F.col(na) + F.col(nb)) * self.num
 
+    def _many(self, pairs: DataFrame, side: str) -> DataFrame:
+        """The sets with more than ``LIST`` pairs, and into how many parts these are split."""
+        return pairs.groupBy(side).count().filter(F.col("count") > LIST).select(F.col(side).alias("rep"), F.ceil(F.col("count") / F.lit(LIST)).cast("int").alias("parts"))
+
+    def _with_sets(self, pairs: DataFrame, side: str, tokens: str, many: DataFrame) -> DataFrame:
+        """``pairs`` with the whole sets of one side; of a set with very many pairs copies go to several tasks."""
+        sets = self.spark.table(self.name)
+        pairs = pairs.withColumnRenamed(side, "rep")
+        # the sets' own column is the key, so their buckets stay where they are
+        if many.isEmpty():
+            return pairs.join(sets, "rep").withColumnsRenamed({"rep": side, "tokens": tokens})
+        few = pairs.join(many, "rep", "left_anti").join(sets, "rep")
+        dealt = pairs.join(many, "rep").withColumn("part", F.pmod(F.xxhash64("a" if side == "b" else "b"), F.col("parts")).cast("int")).drop("parts")
+        copies = sets.join(many, "rep").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        return few.unionByName(dealt.join(copies, ["rep", "part"]).drop("part")).withColumnsRenamed({"rep": side, "tokens": tokens})
+
     def verify(self, pairs: DataFrame) -> bool:
         """Intersect the other orders' filters, then compare whole sets; returns whether any new link was found."""
         own = self.cand.select("rep", *(f"q{k}" for k in ORDERS))
@@ -215,13 +243,11 @@ class _Join:
             pairs = pairs.join(own.select(F.col("rep").alias(side), *(F.col(f"q{k}").alias(f"{side}{k}") for k in ORDERS)), side)
         for k in ORDERS:
             pairs = pairs.filter(F.arrays_overlap(f"a{k}", f"b{k}"))
-        pairs = pairs.select("a", "b")
-        sets = self.spark.table(self.name)
-        # the sets' own column is the key, so their buckets stay where they are
-        pairs = pairs.withColumnRenamed("b", "rep").join(sets, "rep").withColumnsRenamed({"rep": "b", "tokens": "tb"})
-        pairs = pairs.withColumnRenamed("a", "rep").join(sets, "rep").withColumnsRenamed({"rep": "a", "tokens": "ta"})
+        pairs = shared.stored(pairs.select("a", "b"))
+        many = {side: shared.checkpoint(self._many(pairs, side)) for side in ("a", "b")}
+        full = self._with_sets(self._with_sets(pairs, "b", "tb", many["b"]), "a", "ta", many["a"])
         both = F.size(F.array_intersect("ta", "tb"))
-        links = pairs.filter(both * self.den >= (F.size("ta") + F.size("tb") - both) * self.num).select("a", "b")
+        links = full.filter(both * self.den >= (F.size("ta") + F.size("tb") - both) * self.num).select("a", "b")
         links = shared.checkpoint(links)
         if links.isEmpty():
             return False
@@ -233,11 +259,14 @@ class _Join:
 def similar(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of ``docs`` (doc_id, text); linked are sets of similarity num / den or more."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sig = shared.stored(docs.mapInArrow(_signatures(words, num, den), "doc_id long, n int, d1 long, d2 long, ext array<long>"))
+    sig = shared.stored(shared.mapped(docs, _signatures(words, num, den), "doc_id long, n int, d1 long, d2 long, ext array<long>"))
+    ids = shared.stored(sig.select("doc_id", "n", "d1", "d2"))
     reps = sig.filter((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.first("ext").alias("ext"))
+    reps = shared.stored(reps.select("rep", "n", "ext"))
+    shared.removed(sig)
     posts = reps.select("rep", "n", F.explode("ext").alias("t"))
-    several = posts.groupBy("t").agg(F.count("*").alias("df")).filter("df > 1")
-    mine = posts.join(several, "t").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("l"))
+    several = shared.stored(posts.groupBy("t").agg(F.count("*").alias("df")).filter("df > 1"))
+    mine = shared.join_by_key(posts, several.withColumn("size", F.col("df")), ["t"], "size").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("l"))
     quota = F.size("l") - _least(F.col("n"), num, den) + 1
     cand = mine.withColumn("k", quota).filter("k > 0")
 
@@ -246,22 +275,27 @@ def similar(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> D
         return F.transform(F.slice(salted, F.lit(1), F.col("k")), lambda x: x["t"]).alias(f"q{order}")
 
     first = F.transform(F.slice("l", F.lit(1), F.col("k")), lambda x: x["t"]).alias("q1")
-    cand = shared.checkpoint(cand.select("rep", "n", first, *(prefix(k) for k in ORDERS)))
+    cand = shared.stored(cand.select("rep", "n", first, *(prefix(k) for k in ORDERS)))
+    shared.removed(reps, several)
     join = _Join(docs, cand, words, num, den)
-    for salt in (0, 1):
-        join.verify(join.leader_pairs(salt))
-    join.verify(join.rest())
-    ids = sig.select("doc_id", "n", "d1", "d2")
-    by_set = ids.filter((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
+    try:
+        join.count_tokens()
+        for salt in (0, 1):
+            join.verify(join.leader_pairs(salt))
+        join.verify(join.rest())
+    finally:
+        join.close()
+    shared.removed(cand, join.posts)
+    by_set = ids.filter((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
     if join.labels is not None:
         by_set = by_set.join(join.labels.withColumnRenamed("node", "rep"), "rep", "left")
     else:
         by_set = by_set.withColumn("comp", F.lit(None).cast("long"))
-    by_set = shared.checkpoint(by_set.select("d1", "d2", F.coalesce("comp", "rep").alias("component_id")))
-    join.close()
-    out = ids.join(by_set, ["d1", "d2"], "left")
-    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
+    by_set = shared.stored(by_set.select("d1", "d2", "size", F.coalesce("comp", "rep").alias("component_id")))
+    # copies of one set may be a third of all rows; a set of its own needs no table
+    out = shared.join_by_key(ids.filter("n > 0 AND doc_id IS NOT NULL"), by_set, ["d1", "d2"], "size").select("doc_id", "n", "component_id")
+    out = out.unionByName(ids.filter("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

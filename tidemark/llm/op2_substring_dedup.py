@@ -1,114 +1,83 @@
-"""Substring dedup by hashing units of lines and passages of words.
-
-Lines are cut after sentence ends and before capitalised words.  A unit is a
-run of such pieces of one line, from any cut, just long enough to hold
-``MIN_WORDS`` words, the last one up to the line's end; a whole line of
-``MIN_CHARS`` characters or more is one too, however few its words.  A passage is any
-``PASSAGE`` consecutive words of a text, whatever its cuts, line breaks and
-neighbours.
-Both are normalised (A-Z lower-cased, blanks between words made one) and
-hashed; digests are grouped over all documents, the occurrence of smallest
-(doc_id, start) is kept and every other one is removed, of a passage only
-what it doesn't share with the kept one.  So a repeat of ``PASSAGE`` words or more is
-removed whole wherever it stands, a shorter one as far as units cover it.
-What is removed of a document is the union of both, in offsets of the
-original text.
+"""Substring dedup by hashing lines and passages of words.
+
+A unit is a line (paragraph) of ``LINE_CHARS`` or more characters, or any
+``PASSAGE`` consecutive words of a text, whatever its line breaks and
+neighbours.  Units are normalised (A-Z lower-cased, blanks between words made
+one) and hashed; digests are grouped over all documents, the occurrence of
+smallest rank (doc_id, then hash of the text, then start) is kept and every
+other one is removed, of a passage only what it doesn't share with the kept
+one.  What is removed of a document is the union of both, in offsets of the
+original text.  Shorter lines, which clean documents share by chance or by
+custom, stay (``op8_line_dedup`` is there for them).
 
 Passages are hashed in two steps, neither of which loses any.  The anchor of
 a passage is the least hash of ``SHINGLE`` words in it, so equal passages have
 equal anchors; anchors number about one in thirteen words.  Only passages
-whose anchor stands in two places or more are hashed themselves.
+whose anchor stands in two places or more are hashed themselves.  Those of an
+anchor are compared in one task, unless the anchor holds more than one in
+``shared.hot_share`` places: its passages are grouped one by one.
 
 Defined cases: null and empty texts have no units; documents without a
-doc_id take no part; rows that share a doc_id are one document, of which the
-occurrences at the same offset are one; repeats within a document count; a
-repeat nested in another one is merged with it; an empty table gives an
-empty result; extra columns pass through ``dedup``.  Digests have 128 bits.
+doc_id take no part; rows that share doc_id and text are one document, those
+that share only the doc_id are several, and each is cut by its own spans;
+repeats within a document count; a repeat nested in another one is merged
+with it; an empty table gives an empty result; extra columns of any name pass
+through ``dedup``, one named ``removed`` is replaced.  Digests of lines have
+128 bits, those of passages 64.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import shared
 
-MIN_WORDS = 8
 #: Characters of a line, blanks between words made one, from which it is a unit.
-MIN_CHARS = 10
+LINE_CHARS = 200
 #: Words of a passage, and of the shingles of which the least is its anchor.
 PASSAGE, SHINGLE = 50, 25
-#: A line is cut after . ! or ? before a blank, and before a word that starts with A-Z or an upper-case letter of Latin-1.
-CUTS = re.compile(rb"(?<=[.!?])(?=[ \t\x0b\x0c\r])|(?<=[ \t\x0b\x0c\r])(?=[A-Z]|\xc3[\x80-\x9e])")
 _KEY = ["h1", "h2"]
+#: What ranks documents: the id, and a hash of the text for rows that share it.
+_DOC = ["doc_id", "tie"]
 
 
-def units(text: bytes, least: int = MIN_WORDS) -> list[tuple[bytes, int, int]]:
-    """(digest, start, end) in bytes of every unit of a text."""
+def units(text: bytes, least: int = LINE_CHARS) -> list[tuple[bytes, int, int]]:
+    """(digest, start, end) in bytes of every line that is a unit."""
     out, at = [], 0
     for line in text.split(b"\n"):
-        if len(line) >= min(MIN_CHARS, 2 * least - 1):
-            cuts = [0]
-            cuts += [m.start() for m in CUTS.finditer(line) if m.start()]
-            if cuts[-1] < len(line):
-                cuts.append(len(line))
-            words = [line[a:b].lower().split() for a, b in zip(cuts, cuts[1:], strict=False)]
-            runs, j, n = [], 0, 0
-            for i in range(len(words)):
-                while n < least and j < len(words):
-                    n += len(words[j])
-                    j += 1
-                if n < least:
-                    break
-                if words[i]:
-                    runs.append((i, j))
-                n -= len(words[i])
-            if runs and runs[-1][1] < len(words):
-                runs.append((runs[-1][0], len(words)))
-            own = next((i for i, w in enumerate(words) if w), None)
-            whole = (own, len(words))
-            if own is not None and whole not in runs[:1] + runs[-1:]:
-                if runs or len(b" ".join([w for s in words for w in s]).decode(errors="replace")) >= MIN_CHARS:
-                    runs.append(whole)
-            for i, j in runs:
-                raw = line[cuts[i] : cuts[j]]
-                lead = len(raw) - len(raw.lstrip(shared.BLANKS))
-                joined = b" ".join([w for s in words[i:j] for w in s])
-                out.append((xxhash.xxh3_128_digest(joined), at + cuts[i] + lead, at + cuts[j]))
+        if len(line) >= least:
+            joined = b" ".join(line.lower().split())
+            if len(joined) >= 4 * least or len(joined.decode(errors="replace")) >= least:
+                lead = len(line) - len(line.lstrip(shared.BLANKS))
+                out.append((xxhash.xxh3_128_digest(joined), at + lead, at + len(line)))
         at += len(line) + 1
     return out
 
 
-def _units_of(least: int):
+def _points(raw: bytes | np.ndarray) -> np.ndarray:
+    """Code points before each byte."""
+    return np.append(0, np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80))
+
+
+def _lines_of(least: int):
     def run(batches):
         for batch in batches:
             for t in shared.chunks(batch.column("text")):
-                ids = batch.column("doc_id").slice(t.first, len(t)).to_pylist()
-                doc, key, starts, ends = [], [], [], []
-                for i, d in enumerate(ids):
-                    if d is None:
-                        continue
+                of, key, spans = [], [], [np.zeros((0, 2), np.int64)]
+                for i in range(len(t)):
                     raw = t.raw(i)
-                    found = units(raw, least)
-                    if not found:
-                        continue
-                    # bytes to code points
-                    at = np.array([x[1:] for x in found], np.int64)
-                    if not raw.isascii():
-                        points = np.append(0, np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80))
-                        at = points[at]
-                    doc += [d] * len(found)
-                    key += [x[0] for x in found]
-                    starts.append(at[:, 0])
-                    ends.append(at[:, 1])
-                h = np.frombuffer(b"".join(key), np.int64).reshape(-1, 2)
-                cat = lambda x: pa.array(np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), cat(starts), cat(ends)], names=["doc_id", *_KEY, "start", "end"])
+                    if found := units(raw, least):
+                        at = np.array([x[1:] for x in found], np.int64)
+                        spans.append(at if raw.isascii() else _points(raw)[at])
+                        of += [i] * len(found)
+                        key += [x[0] for x in found]
+                h, span, own = np.frombuffer(b"".join(key), np.int64).reshape(-1, 2), np.concatenate(spans).astype(np.int32), pa.array(of, pa.int64())
+                ids = [batch.column(c).slice(t.first, len(t)).take(own) for c in _DOC]
+                yield pa.RecordBatch.from_arrays([*ids, *(pa.array(x.copy()) for x in (h[:, 0], h[:, 1], span[:, 0], span[:, 1]))], names=[*_DOC, *_KEY, "start", "end"])
 
     return run
 
@@ -160,8 +129,8 @@ def _anchors(batches):
         for t in shared.chunks(batch.column("text")):
             text, _, _, _, anchor, at = _passages(t)
             new = _begins(text, at)
-            ids = batch.column("doc_id").slice(t.first, len(t)).take(pa.array(text[new]))
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), ids, pa.array(at[new].astype(np.int32))], names=["anchor", "doc_id", "at"])
+            ids = [batch.column(c).slice(t.first, len(t)).take(pa.array(text[new])) for c in _DOC]
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), *ids, pa.array(at[new].astype(np.int32))], names=["anchor", *_DOC, "at"])
 
 
 def _runs(batches):
@@ -174,86 +143,119 @@ def _runs(batches):
                 continue
             i = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, anchor), len(wanted) - 1)] == anchor)
             # bytes to code points
-            points = np.append(0, np.cumsum((t.buf & 0xC0) != 0x80))
+            points = _points(t.buf)
             base = points[t.starts[text[i]]]
             new = i[_begins(text[i], at[i])]
             cut = pa.array(np.append(np.searchsorted(i, new), len(i)).astype(np.int32))
             inner = [pa.array(hashes[i].view(np.int64)), *(pa.array((points[x[i]] - base).astype(np.int32)) for x in (start, end))]
-            ids = batch.column("doc_id").slice(t.first, len(t)).take(pa.array(text[new]))
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), ids, pa.array(at[new].astype(np.int32)), *(pa.ListArray.from_arrays(cut, x) for x in inner)], names=["anchor", "doc_id", "at", "hashes", "starts", "ends"])
+            ids = [batch.column(c).slice(t.first, len(t)).take(pa.array(text[new])) for c in _DOC]
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), *ids, pa.array(at[new].astype(np.int32)), *(pa.ListArray.from_arrays(cut, x) for x in inner)], names=["anchor", *_DOC, "at", "hashes", "starts", "ends"])
+
+
+_SPANS = "doc_id long, tie long, start int, end int, first_doc_id long"
 
 
 def _again(batches):
-    """Spans of passages seen before, from runs in the order of anchor, doc_id and place; one anchor's passages are held at a time."""
+    """Spans of passages seen before, from runs in the order of anchor, document and place; one anchor's passages are held at a time."""
     last, seen = None, {}
     for batch in batches:
         out = []
-        for anchor, d, hashes, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc_id", "hashes", "starts", "ends")), strict=True):
+        for anchor, d, tie, hashes, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("anchor", *_DOC, "hashes", "starts", "ends")), strict=True):
             if anchor != last:
                 last, seen = anchor, {}
             span = None
             for h, start, end in zip(hashes, starts, ends, strict=True):
-                first = seen.setdefault(h, (d, start, end))
-                if first[0] == d:
+                first = seen.setdefault(h, (d, tie, start, end))
+                if first[0] == d and first[1] == tie:
                     # the kept occurrence stays whole where another one overlaps it
-                    start = max(start, first[2]) if start > first[1] else end
+                    start = max(start, first[3]) if start > first[2] else end
                 if start >= end:
                     continue
-                if span and span[3] == first[0] and span[1] <= start <= span[2]:
-                    span[2] = max(span[2], end)
+                if span and span[4] == first[0] and span[2] <= start <= span[3]:
+                    span[3] = max(span[3], end)
                 else:
-                    span = [d, start, end, first[0]]
+                    span = [d, tie, start, end, first[0]]
                     out.append(span)
-        cols = list(zip(*out, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["doc_id", "start", "end", "first_doc_id"])
+        cols = list(zip(*out, strict=True)) or [()] * 5
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, kinds, strict=True)], names=[*_DOC, "start", "end", "first_doc_id"])
+
+
+def _place() -> Column:
+    return F.struct(*_DOC, "start")
+
+
+def _not_first(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Spans of ``rows`` (stored; doc_id, tie, start, end and a digest) whose digest stands at a smaller place too."""
+    # partial sums first, so a unit of a third of all documents is one row a task; only repeated digests go on
+    first = rows.groupBy(*keys).agg(F.min(_place()).alias("first"), F.max(_place()).alias("last"), F.min_by("end", _place()).alias("first_end"), F.count("*").alias("n"))
+    first = shared.stored(first.filter(F.col("first") < F.col("last")).select(*keys, "first", "first_end", "n"))
+    gone = shared.join_by_key(rows, first, keys, "n").filter(_place() > F.col("first"))
+    # within one document the kept occurrence stays whole where another one overlaps it
+    own = (F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.tie") == F.col("tie"))
+    start = F.when(own, F.greatest("start", "first_end")).otherwise(F.col("start"))
+    return gone.select(*_DOC, start.alias("start"), "end", F.col("first.doc_id").alias("first_doc_id")).filter("start < end")
 
 
 def passages(docs: DataFrame) -> DataFrame:
-    """Spans of the passages that stand at a smaller (doc_id, start) too."""
-    docs = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    anchors = shared.stored(docs.mapInArrow(_anchors, "anchor long, doc_id long, at int"))
-    place = F.struct("doc_id", "at")
-    twice = anchors.groupBy("anchor").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(F.col("first") < F.col("last")).select("anchor")
-    wanted = shared.stored(anchors.join(twice, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("wanted")))
+    """Spans of the passages of ``docs`` (doc_id, tie, text; none null) that stand at a smaller place too."""
+    anchors = shared.stored(shared.mapped(docs, _anchors, "anchor long, doc_id long, tie long, at int"))
+    place = F.struct(*_DOC, "at")
+    twice = anchors.groupBy("anchor").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).filter(F.col("first") < F.col("last"))
+    twice = shared.stored(twice.select("anchor", "n"))
+    hot = shared.stored(twice.filter(F.col("n") * shared.hot_share(docs.sparkSession) > (twice.agg(F.sum("n")).first()[0] or 0)).select("anchor"))
+    wanted = shared.stored(shared.join_by_key(anchors, twice, ["anchor"], "n").groupBy(*_DOC).agg(F.collect_set("anchor").alias("wanted")))
     shared.removed(anchors)
-    runs = docs.join(wanted, "doc_id").mapInArrow(_runs, "anchor long, doc_id long, at int, hashes array<long>, starts array<int>, ends array<int>")
-    got = shared.stored(runs.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "at").mapInArrow(_again, "doc_id long, start int, end int, first_doc_id long"))
-    shared.removed(wanted)
-    return got
+    runs = shared.mapped(docs.join(wanted, _DOC), _runs, "anchor long, doc_id long, tie long, at int, hashes array<long>, starts array<int>, ends array<int>")
+    if hot.isEmpty():
+        return shared.stored(shared.mapped(_in_order(runs), _again, _SPANS))
+    runs = shared.stored(runs)
+    cold = shared.stored(shared.mapped(_in_order(runs.join(F.broadcast(hot), "anchor", "left_anti")), _again, _SPANS))
+    each = runs.join(F.broadcast(hot), "anchor").select(*_DOC, F.explode(F.arrays_zip("hashes", "starts", "ends")).alias("x"))
+    each = shared.stored(each.select(*_DOC, F.col("x.hashes").alias("h"), F.col("x.starts").alias("start"), F.col("x.ends").alias("end")))
+    shared.removed(runs)
+    return cold.unionByName(_not_first(each, ["h"]))
 
 
-def repeats(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """Removed spans: doc_id, start, end (code points, end exclusive), first_doc_id (of the first unit's kept occurrence)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _in_order(runs: DataFrame) -> DataFrame:
+    return runs.repartition("anchor").sortWithinPartitions("anchor", *_DOC, "at")
+
+
+def _repeats(docs: DataFrame, least: int) -> DataFrame:
+    """Spans to remove by document (doc_id, tie), merged where they overlap or touch."""
+    docs = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(*_DOC, "text")
     longer = passages(docs)
-    found = shared.stored(docs.mapInArrow(_units_of(least), "doc_id long, h1 long, h2 long, start int, end int"))
-    place = F.struct("doc_id", "start")
-    # partial sums first, so a unit of a third of all documents is one row a task; only repeated digests go on
-    first = found.groupBy(*_KEY).agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    first = first.filter(F.col("first") < F.col("last")).select(*_KEY, "first")
-    gone = found.join(first, _KEY).filter(F.struct("doc_id", "start") > F.col("first"))
-    gone = gone.select("doc_id", "start", "end", F.col("first.doc_id").alias("first_doc_id")).unionByName(longer).distinct()
-    # merge what overlaps or touches within a document
-    by_start = Window.partitionBy("doc_id").orderBy("start", "end", "first_doc_id")
+    lines = shared.stored(shared.mapped(docs, _lines_of(least), "doc_id long, tie long, h1 long, h2 long, start int, end int"))
+    gone = _not_first(lines, _KEY).unionByName(longer).distinct()
+    by_start = Window.partitionBy(*_DOC).orderBy("start", "end", "first_doc_id")
     reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     merged = gone.withColumn("reach", reach).withColumn("new", F.when(F.col("reach").isNull() | (F.col("start") > F.col("reach") + 1), 1).otherwise(0))
     merged = merged.withColumn("island", F.sum("new").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
-    return merged.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("first_doc_id", F.struct("start", "end", "first_doc_id")).alias("first_doc_id")).drop("island")
+    return merged.groupBy(*_DOC, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("first_doc_id", F.struct("start", "end", "first_doc_id")).alias("first_doc_id")).drop("island")
+
+
+def _ranked(docs: DataFrame, *more: Column) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text", *more)
+
+
+def repeats(docs: DataFrame, least: int = LINE_CHARS) -> DataFrame:
+    """Removed spans: doc_id, start, end (code points, end exclusive), first_doc_id (of the first unit's kept occurrence)."""
+    return _repeats(_ranked(docs), least).drop("tie")
 
 
-def dedup(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, least: int = LINE_CHARS) -> DataFrame:
     """``docs`` with ``text`` freed of repeats, and ``removed``: the original offsets (start, end) cut out."""
-    spans = repeats(docs, least).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
-    docs = docs.drop("removed")
-    got = docs.join(spans, "doc_id", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<struct<start:int,end:int>>")))
-    text = F.col("text")
-    walk = F.aggregate(
-        "removed",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, x: F.struct(x["end"].alias("at"), F.concat(a["out"], F.substr(text, a["at"] + 1, x["start"] - a["at"])).alias("out")),
-        lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1)),
-    )
-    return got.withColumn("text", F.when(F.size("removed") > 0, walk).otherwise(text)).select(*docs.columns, "removed")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", "removed")]
+    # the caller's columns travel in one, so that none of their names can clash
+    rows = _ranked(docs, F.struct(*(f"`{c}`" for c in rest)).alias("row") if rest else F.lit(0).alias("row"))
+    spans = _repeats(rows, least).groupBy(*_DOC).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
+    got = rows.join(spans, _DOC, "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<struct<start:int,end:int>>")))
+    # what stands before each span, and after the last
+    left = F.transform("removed", lambda x, i: F.substr(F.col("text"), F.when(i > 0, F.get("removed", i - 1)["end"]).otherwise(0) + 1, x["start"] - F.when(i > 0, F.get("removed", i - 1)["end"]).otherwise(0)))
+    text = F.concat(F.array_join(left, ""), F.substr(F.col("text"), F.element_at("removed", -1)["end"] + 1))
+    text = F.when(F.size("removed") > 0, text).otherwise(F.col("text"))
+    columns = {"doc_id": F.col("doc_id"), "text": text.alias("text")} | {c: F.col("row").getField(c).alias(c) for c in rest}
+    return got.select(*(columns[c] for c in docs.columns if c != "removed"), "removed")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

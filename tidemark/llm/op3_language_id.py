@@ -3,11 +3,11 @@
 A known word adds its log frequency in each language; an unseen word is
 scored by its character n-grams, of the longest order of which any is known,
 falling back from 4 to 1.  The model is fitted on a bounded sample of
-labelled texts (``SAMPLE_DOCS``, drawn by a hash of doc_id, evenly from all
-languages), counted on the executors and cut to the ``WORDS`` words and
-``GRAMS`` n-grams of each order that are most frequent, with as many again
-shared out to the languages' own most frequent, so it can be sent to every
-task.  Prediction reads whole texts and nothing else.
+labelled texts (``SAMPLE_DOCS`` rows and ``SAMPLE_CHARS`` characters, drawn by
+a hash of doc_id, evenly from all languages) and keeps every word and n-gram
+of that sample; so the sample bounds what is counted on the executors and
+sent to every task.  ``least`` can leave out what occurs less often.
+Prediction reads whole texts and nothing else.
 
 Defined cases: a null text or one without a letter gives ``und`` and score
 0, as does every text if nothing could be learned; a null doc_id is not held
@@ -23,15 +23,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import shared
 from tidemark.llm.op6_bpe import LETTER, code_classes
 
-SAMPLE_DOCS = 20_000
-WORDS, GRAMS, ORDERS = 60_000, 15_000, (4, 3, 2, 1)
+#: Bounds of the sample of labelled rows, about.
+SAMPLE_DOCS, SAMPLE_CHARS = 20_000, 40_000_000
+ORDERS = (4, 3, 2, 1)
 FOLDS = 5
 NONE = "und"
 
@@ -82,57 +83,49 @@ def _counts(batches):
             w = Words(t)
             langs = np.array(batch.column("lang").slice(t.first, len(t)).to_pylist(), object)
             of = np.repeat(np.arange(len(t)), np.diff(w.first))
-            out: list[tuple] = []
             for lang in sorted(set(langs)):
                 mine = np.flatnonzero((langs == lang)[of])
                 for order in (0, *ORDERS):
                     h, n = np.unique(w.hash[mine] if order == 0 else w.grams(mine, order)[0], return_counts=True)
-                    out.append((pa.array([lang] * len(h), pa.string()), pa.array(np.full(len(h), order, np.int32)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))))
-            for x in out:
-                yield pa.RecordBatch.from_arrays(list(x), names=["lang", "n", "h", "c"])
-
-
-def _rates(sizes: dict[str, int], sample_docs: int) -> dict[str, float]:
-    """Share of each language's rows to take: equal numbers of rows, what small languages leave going to the larger."""
-    rates, left = {}, sample_docs
-    for i, (lang, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
-        want = min(n, max(1, left // (len(sizes) - i)))
-        rates[lang] = want / n
-        left -= want
+                    out = [pa.array([lang] * len(h), pa.string()), pa.array(np.full(len(h), order, np.int32)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(out, names=["lang", "n", "h", "c"])
+
+
+def _rates(sizes: dict[str, tuple[int, int]], sample_docs: int, sample_chars: int) -> dict[str, float]:
+    """Share of each language's rows to take, of sizes (rows, characters): as many rows and characters of each, what small languages leave going to the larger."""
+    rates = dict.fromkeys(sizes, 1.0)
+    for k, left in enumerate((sample_docs, sample_chars)):
+        for i, (lang, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1][k], x[0]))):
+            want = min(n[k], max(1, left // (len(sizes) - i)))
+            rates[lang] = min(rates[lang], want / max(1, n[k]) if n[k] else 1.0)
+            left -= want
     return rates
 
 
-def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Fit on ``labelled`` (doc_id, text, lang), on all of it or on a sample of about ``sample_docs`` rows, dealt evenly to the languages."""
+def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, least: int = 1) -> Model:
+    """Fit on ``labelled`` (doc_id, text, lang), on all of it or on a sample of about that size, dealt evenly to the languages."""
     labelled = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    rates = _rates({r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}, sample_docs)
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("chars"))
+    rates = _rates({r["lang"]: (r["n"], r["chars"]) for r in sizes.collect()}, sample_docs, sample_chars)
     sample = labelled
     if any(x < 1 for x in rates.values()):
         rate = F.create_map(*(F.lit(x) for pair in rates.items() for x in pair))[F.col("lang")]
         sample = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.ceil(rate * (1 << 40)))
-    counted = sample.select("text", "lang").mapInArrow(_counts, "lang string, n int, h long, c long").groupBy("lang", "n", "h").agg(F.sum("c").alias("c"))
-    counted = shared.checkpoint(counted)
-    total = counted.groupBy("n", "h").agg(F.sum("c").alias("all"))
-    parts = [total.filter((F.col("n") == order) & (F.col("all") > 1)).orderBy(F.desc("all"), "h").limit(GRAMS if order else WORDS) for order in (0, *ORDERS)]
-    best = parts[0]
-    for more in parts[1:]:
-        best = best.unionByName(more)
-    # and each language's own most frequent, so that none falls below the common cut
-    rank = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("c"), "h"))
-    quota = F.when(F.col("n") == 0, WORDS // max(1, len(rates))).otherwise(GRAMS // max(1, len(rates)))
-    own = counted.join(total.filter(F.col("all") > 1), ["n", "h"]).withColumn("rank", rank).filter(F.col("rank") <= quota)
-    best = best.select("n", "h").unionByName(own.select("n", "h")).distinct()
+    counted = shared.mapped(sample.select("text", "lang"), _counts, "lang string, n int, h long, c long").groupBy("lang", "n", "h").agg(F.sum("c").alias("c"))
+    counted = shared.stored(counted)
     sums = {(r["lang"], r["n"]): r["c"] for r in counted.groupBy("lang", "n").agg(F.sum("c").alias("c")).collect()}
-    rows = counted.join(best.select("n", "h"), ["n", "h"]).select("lang", "n", "h", "c").toPandas()
+    rows = counted if least < 2 else counted.join(counted.groupBy("n", "h").agg(F.sum("c").alias("all")).filter(F.col("all") >= least).select("n", "h"), ["n", "h"]).select(*counted.columns)
     model = Model(sorted({lang for lang, _ in sums}))
     at = {lang: i for i, lang in enumerate(model.langs)}
     for order in (0, *ORDERS):
-        x = rows[rows["n"] == order]
-        h, back = np.unique(x["h"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
+        x = rows.filter(F.col("n") == order).select("lang", "h", "c").toArrow()
+        of = np.array([at[lang] for lang in x["lang"].unique().to_pylist()], np.int64)[np.asarray(x["lang"].combine_chunks().dictionary_encode().indices)] if len(x) else np.zeros(0, np.int64)
+        h, back = np.unique(x["h"].to_numpy().view(np.uint64), return_inverse=True)
         c = np.full((len(h), len(at)), 0.5)
-        np.add.at(c, (back, x["lang"].map(at).to_numpy(np.int64)), x["c"].to_numpy(np.float64))
+        np.add.at(c, (back, of), x["c"].to_numpy().astype(np.float64))
         every = np.array([sums.get((lang, order), 0) for lang in model.langs], np.float64) + 0.5 * max(1, len(h))
-        model.hashes[order], model.logs[order] = h, np.log(c / every)
+        model.hashes[order], model.logs[order] = h, np.log(c / every).astype(np.float32)
+    shared.removed(counted)
     return model
 
 
@@ -169,7 +162,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     own = ["lang_pred", "score"]
     keep = [f for f in docs.schema.fields if f.name not in own]
     schema = T.StructType([*keep, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most WORDS + 4 * GRAMS rows
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # no more than the sample's words and n-grams
 
     def run(batches):
         m = sent.value
@@ -189,7 +182,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                         lang[i], score[i] = m.langs[k], x
                 yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), pa.array(lang, pa.string()), pa.array(score)], names=schema.names)
 
-    return docs.select(*(f.name for f in keep)).mapInArrow(run, schema)
+    return shared.mapped(docs.select(*(f"`{f.name}`" for f in keep)), run, schema)
 
 
 def held_out():

@@ -6,7 +6,8 @@ gives exactly if every token stands for itself and every adjacent pair,
 merged alone, falls into the same two tokens.  So all adjacent pairs of all
 new words of a batch are tested at once against a table of pairs that grows
 as new ones are met; words with a failing pair, and only those, are merged
-exactly.  Decoding gathers the bytes of the ids.
+exactly.  Words met before are looked up by hash and compared byte by byte, so
+the ids don't rest on the hash.  Decoding gathers the bytes of the ids.
 
 Defined cases: a null text counts as empty and has no tokens; the special
 token's string in a text becomes its id; repeated rows are encoded each;
@@ -35,7 +36,7 @@ SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")
 WHITE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 SPACE, LETTER, NUMBER, OTHER = range(4)
 #: Words and pairs kept per worker before the tables of known ones start anew.
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 400_000
 
 
 def byte_symbols() -> dict[str, int]:
@@ -130,14 +131,27 @@ class Bpe:
         self.pairs, self.fit = np.zeros(0, np.int64), np.zeros(0, bool)
 
     def forget_words(self) -> None:
-        """Start the table of known words anew: hashes (sorted), where each word's ids are, and the ids."""
-        words = list(self.special)
-        raw = np.frombuffer(b"".join(words), np.uint8)
-        ends = np.cumsum([len(w) for w in words]).astype(np.int64)
-        h = shared.span_hashes(raw, ends - [len(w) for w in words], ends) if words else np.zeros(0, np.uint64)
-        by = np.argsort(h)
-        self.known, self.at, self.count = h[by], by.astype(np.int64), np.ones(len(by), np.int64)
-        self.ids = np.array([self.special[w] for w in words], np.int32)
+        """Start the table of known words anew: hashes (sorted), of each word the place of its ids and bytes, and those."""
+        self.known, self.at, self.count, self.raw_at, self.raw_size = (np.zeros(0, x) for x in (np.uint64, *[np.int64] * 4))
+        self.ids, self.raw = np.zeros(0, np.int32), np.zeros(0, np.uint8)
+
+    def learn(self, words: list[bytes], hashes: np.ndarray) -> None:
+        """Encode new words (of ascending, distinct hashes) and add them to the table."""
+        got = self.propose_and_verify(words)
+        count, size = np.array([len(g) for g in got], np.int64), np.array([len(w) for w in words], np.int64)
+        into = np.searchsorted(self.known, hashes)
+        new = (hashes, len(self.ids) + np.cumsum(count) - count, count, len(self.raw) + np.cumsum(size) - size, size)
+        old = (self.known, self.at, self.count, self.raw_at, self.raw_size)
+        self.known, self.at, self.count, self.raw_at, self.raw_size = (np.insert(x, into, y) for x, y in zip(old, new, strict=True))
+        self.ids = np.concatenate([self.ids, np.array([x for g in got for x in g], np.int32)])
+        self.raw = np.concatenate([self.raw, np.frombuffer(b"".join(words), np.uint8)])
+
+    def unlike(self, buf: np.ndarray, begins: np.ndarray, sizes: np.ndarray, pos: np.ndarray) -> np.ndarray:
+        """Which words differ from the known ones at ``pos``, whose hashes they have."""
+        size = np.where(self.raw_size[pos] == sizes, sizes, 0)
+        differs = _gathered(buf, begins, size) != _gathered(self.raw, self.raw_at[pos], size)
+        of = np.searchsorted(np.cumsum(size), np.flatnonzero(differs), side="right")
+        return np.union1d(of, np.flatnonzero(self.raw_size[pos] != sizes))
 
     def exact(self, words: list[bytes]) -> list[list[int]]:
         """Merge rank by rank, many words at a time: in each round every word merges its leftmost pair of lowest rank."""
@@ -192,6 +206,8 @@ class Bpe:
 
     def propose_and_verify(self, words: list[bytes]) -> list[list[int]]:
         """Propose by longest match, test every adjacent pair at once, merge the failing words exactly."""
+        if not words:
+            return []
         if len(self.pairs) > KNOWN_WORDS:
             self.forget_pairs()
         got = [self.greedy(w) for w in words]
@@ -235,19 +251,25 @@ class Bpe:
         if len(self.known) > KNOWN_WORDS:
             self.forget_words()
         unique, where, back = np.unique(h, return_index=True, return_inverse=True)
-        pos = np.minimum(np.searchsorted(self.known, unique), max(0, len(self.known) - 1))
-        new = np.flatnonzero(self.known[pos] != unique) if len(self.known) else np.arange(len(unique))
+        new = np.flatnonzero(~np.isin(unique, self.known, assume_unique=True))
+        raw = buf.tobytes()
+
+        def words(which: np.ndarray) -> list[bytes]:
+            return [raw[a:b] for a, b in zip(begins[which].tolist(), ends[which].tolist(), strict=True)]
+
         if len(new):
-            raw = buf.tobytes()
-            got = self.propose_and_verify([raw[a:b] for a, b in zip(begins[where[new]].tolist(), ends[where[new]].tolist(), strict=True)])
-            count = np.array([len(g) for g in got], np.int64)
-            at = len(self.ids) + np.cumsum(count) - count
-            self.ids = np.concatenate([self.ids, np.array([x for g in got for x in g], np.int32)])
-            into = np.searchsorted(self.known, unique[new])
-            self.known, self.at, self.count = np.insert(self.known, into, unique[new]), np.insert(self.at, into, at), np.insert(self.count, into, count)
-            pos = np.searchsorted(self.known, unique)
-        count = self.count[pos][back]
-        ids = _gathered(self.ids, self.at[pos][back], count)
+            self.learn(words(where[new]), unique[new])
+        pos = np.searchsorted(self.known, unique)[back]
+        at, count, table = self.at[pos], self.count[pos], self.ids
+        special = np.flatnonzero(np.isin(begins, [lo for lo, _ in spans])) if spans else np.zeros(0, np.int64)
+        alone = np.setdiff1d(self.unlike(buf, begins, ends - begins, pos), special)
+        own = [*((i, [self.special[w]]) for i, w in zip(special.tolist(), words(special), strict=True)), *zip(alone.tolist(), self.propose_and_verify(words(alone)), strict=True)]
+        if own:
+            count[[i for i, _ in own]] = [len(g) for _, g in own]
+            sizes = np.array([len(g) for _, g in own], np.int64)
+            at[[i for i, _ in own]] = len(table) + np.cumsum(sizes) - sizes
+            table = np.concatenate([table, np.array([x for _, g in own for x in g], np.int32)])
+        ids = _gathered(table, at, count)
         of = np.searchsorted(begins, t.starts)
         of_end = np.searchsorted(begins, t.ends)
         total = np.append(0, np.cumsum(count))
@@ -317,7 +339,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: bool = False) ->
                     out.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(flat, pa.int32())))
                 yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
-    return docs.select(*(F.col(f.name) for f in keep), text).mapInArrow(run, schema)
+    return shared.mapped(docs.select(*(F.col(f.name) for f in keep), text), run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,12 +7,16 @@ sorted by hash, so that later batches join it without moving it.  When a
 level holds ``FANOUT`` runs they are compacted into one of the next level.
 Since batches ascend, the first holder of a key has the smallest doc_id.
 
+A caller that keeps a ``Runs`` can dedup later documents, of larger doc_ids,
+against all that it has seen.
+
 Defined cases: a null or empty text is one empty line; documents without a
 doc_id are left as they are and make no key known; rows that share a doc_id
 count as one document; a line may be of any length; lines with fewer than
 ``MIN_POINTS`` code points after stripping always stay; an empty table gives
-an empty result; extra columns pass through ``dedup``, those named like its
-own outputs are replaced.  Keys are told apart by 128-bit hashes.
+an empty result; extra columns of any name pass through ``dedup``, those
+named like its own outputs are replaced.  Keys are told apart by 128-bit
+hashes.  A key of very many documents is joined apart (``join_by_key``).
 """
 
 from __future__ import annotations
@@ -57,7 +61,7 @@ def _keys(batches):
 
 
 class Runs:
-    """Levels of sorted runs; every key is in one run only."""
+    """Levels of sorted runs; every key is in one run only.  ``close`` deletes them."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.levels, self.buckets = spark, [[]], shared.partitions(spark)
@@ -98,32 +102,37 @@ class Runs:
         self._drop(self.all())
 
     def marked(self, own: DataFrame) -> DataFrame:
-        """``own`` keys with ``seen``: whether a run has them."""
+        """``own`` (h1, h2, owner, n) with ``seen``: whether a run has the key."""
         flags = []
         for i, name in enumerate(self.all()):
             own = own.join(self.spark.table(name).withColumn(f"s{i}", F.lit(True)), _KEY, "left")
             flags.append(F.col(f"s{i}"))
-        return own.select(*_KEY, "owner", F.coalesce(*flags, F.lit(False)).alias("seen"))
+        return own.select(*_KEY, "owner", "n", F.coalesce(*flags, F.lit(False)).alias("seen"))
 
 
-def drops(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """(doc_id, h1, h2) of the lines to drop."""
+def drops(docs: DataFrame, batches: int = BATCHES, runs: Runs | None = None) -> DataFrame:
+    """(doc_id, h1, h2) of the lines to drop; what ``docs`` hold is added to ``runs`` if given."""
     spark = docs.sparkSession
-    lines = docs.select("doc_id", "text").mapInArrow(_keys, "doc_id long, h1 long, h2 long")
+    lines = shared.mapped(docs.select("doc_id", "text"), _keys, "doc_id long, h1 long, h2 long")
     cuts = docs.select("doc_id").approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
     cuts = sorted({int(c) for c in cuts})
     batch = sum(((F.col("doc_id") > c).cast("int") for c in cuts), F.lit(0))
     lines = shared.stored(lines.withColumn("batch", batch))
-    runs, found = Runs(spark), []
-    for b in range(len(cuts) + 1):
-        here = lines.filter(F.col("batch") == b)
-        own = here.groupBy(*_KEY).agg(F.min("doc_id").alias("owner"))
-        marked = shared.checkpoint(runs.marked(own))
-        if b < len(cuts):
-            runs.add(marked.filter(~F.col("seen")))
-        lost = here.select("doc_id", *_KEY).join(marked, _KEY).filter(F.col("seen") | (F.col("owner") < F.col("doc_id"))).select("doc_id", *_KEY)
-        found.append(shared.checkpoint(lost.distinct()))
-    runs.close()
+    known, found = runs or Runs(spark), []
+    try:
+        for b in range(len(cuts) + 1):
+            here = lines.filter(F.col("batch") == b).select("doc_id", *_KEY)
+            own = here.groupBy(*_KEY).agg(F.min("doc_id").alias("owner"), F.count("*").alias("n"))
+            marked = shared.stored(known.marked(own))
+            if runs or b < len(cuts):
+                known.add(marked.filter(~F.col("seen")))
+            # a key with one line here that no run has loses nothing
+            lost = shared.join_by_key(here, marked.filter(F.col("seen") | (F.col("n") > 1)), _KEY, "n").filter(F.col("seen") | (F.col("owner") < F.col("doc_id")))
+            found.append(shared.stored(lost.select("doc_id", *_KEY).distinct()))
+            shared.removed(marked)
+    finally:
+        if runs is None:
+            known.close()
     shared.removed(lines)
     out = found[0]
     for more in found[1:]:
@@ -131,22 +140,23 @@ def drops(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     return out
 
 
-def dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+def dedup(docs: DataFrame, batches: int = BATCHES, runs: Runs | None = None) -> DataFrame:
     """``docs`` with repeated lines dropped from ``text``, and n_lines (before) and n_dropped."""
     own = ["n_lines", "n_dropped"]
     keep = [f for f in docs.schema.fields if f.name not in own]
-    schema = T.StructType([*keep, *(T.StructField(n, T.LongType()) for n in own)])
-    docs = docs.select(*(f.name for f in keep)).withColumn("doc_id", F.col("doc_id").cast("long"))
-    schema["doc_id"].dataType = T.LongType()
-    lost = drops(docs, batches).groupBy("doc_id").agg(F.collect_list(F.struct(*_KEY)).alias("_lost"))
-    joined = docs.join(lost, "doc_id", "left").select(*(f.name for f in keep), "_lost")
+    rest = [f"`{f.name}`" for f in keep if f.name not in ("doc_id", "text")]
+    # the caller's columns travel in one, so that none of their names can clash
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*rest).alias("row") if rest else F.lit(None).cast("string").alias("row"))
+    lost = drops(docs, batches, runs).groupBy("doc_id").agg(F.collect_list(F.struct(*_KEY)).alias("lost"))
+    joined = docs.join(lost, "doc_id", "left").select("doc_id", "row", "text", "lost")
+    schema = T.StructType([*(f for f in joined.schema.fields if f.name != "lost"), *(T.StructField(n, T.LongType()) for n in own)])
 
     def run(batches):
         for whole in batches:
             for t in shared.chunks(whole.column("text")):
                 batch = whole.slice(t.first, len(t))
                 text, n, d = [], [], []
-                for i, lost in enumerate(batch.column("_lost").to_pylist()):
+                for i, lost in enumerate(batch.column("lost").to_pylist()):
                     lines = t.raw(i).split(b"\n")
                     stay = lines
                     if lost:
@@ -155,10 +165,10 @@ def dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
                     text.append(b"\n".join(stay))
                     n.append(len(lines))
                     d.append(len(lines) - len(stay))
-                new = {"text": pa.array(text, pa.binary()).cast(pa.string()), "n_lines": pa.array(n, pa.int64()), "n_dropped": pa.array(d, pa.int64())}
-                yield pa.RecordBatch.from_arrays([new[f.name] if f.name in new else batch.column(f.name) for f in schema], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(text, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(d, pa.int64())], names=schema.names)
 
-    return joined.mapInArrow(run, schema)
+    got = shared.mapped(joined, run, schema)
+    return got.select(*(F.col(f.name) if f.name in ("doc_id", "text") else F.col("row").getField(f.name).alias(f.name) for f in keep), *own)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

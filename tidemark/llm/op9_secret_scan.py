@@ -1,20 +1,22 @@
 """Secret scan over an incremental blob ledger, in DataFrame functions only.
 
-Every version of every document is addressed by the SHA-256 of its text.  A
-ledger holds, for each (blob, rule version) ever scanned, the spans found.
-A scan takes only the pairs that the ledger lacks, one text per blob, and
-joins what it found, with what the ledger knew, back to all paths.
+Every version of every document is addressed by the SHA-256 of its text.  The
+ledger is a table in the shared folder that holds, for each (blob, rule
+version) ever scanned, the spans found.  A scan takes only the pairs that the
+ledger lacks, one text per blob, appends all of them to the ledger, those
+without findings included, and joins what the ledger knows back to all paths.
 
 Defined cases: a null text is the empty blob; equal texts are scanned once
 and every row of theirs gets the findings; texts of any length are scanned
 whole; a match that fails its length test is dropped but still consumes its
 characters, as in one leftmost pass; an empty table gives an empty result;
-extra columns pass through ``scan``, those named like its outputs are
-replaced.
+extra columns of any name pass through ``scan``, those named like its outputs
+are replaced.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,6 +56,7 @@ MORE = (
 )
 RULES = BASE + MORE
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
+_LEDGER = f"blob string, rule string, found {_SPAN}"
 
 
 def spans(text: Column, rule: Rule, kind: int) -> Column:
@@ -76,12 +79,11 @@ def spans(text: Column, rule: Rule, kind: int) -> Column:
     return F.when(F.size(hits) > 0, walked).otherwise(F.array().cast(_SPAN))
 
 
-def scan_blobs(blobs: DataFrame, rules=RULES, ledger: DataFrame | None = None) -> DataFrame:
+def scan_blobs(blobs: DataFrame, rules, ledger: DataFrame) -> DataFrame:
     """(blob, rule, found) for the pairs of ``blobs`` (blob, text) and rule versions that ``ledger`` (blob, rule, ...) lacks."""
     keys = F.array(*(F.lit(r.key) for r in rules))
-    if ledger is None:
-        todo = blobs.withColumn("todo", keys)
-    else:
+    todo = blobs.withColumn("todo", keys)
+    if not ledger.isEmpty():
         have = ledger.groupBy("blob").agg(F.collect_set("rule").alias("have"))
         todo = blobs.join(have, "blob", "left").withColumn("todo", F.array_except(keys, F.coalesce("have", F.array().cast("array<string>"))))
         todo = todo.filter(F.size("todo") > 0)
@@ -95,31 +97,46 @@ def text_of(found: Column, rules=RULES) -> Column:
     return F.array_join(F.transform(F.array_sort(found), lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"], x["end"])), ",")
 
 
-def scan(versions: DataFrame, rules=RULES, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """``versions`` (with ``text``) without the text but with ``blob`` and ``found``; and the new ledger rows, of all pairs scanned.
+class Ledger:
+    """Scanned (blob, rule) pairs in Parquet files of one folder; later scans may open it again by its path."""
 
-    A caller that keeps a ledger appends the new rows to it; pairs without
-    findings are among them, so that clean blobs aren't scanned again.
-    """
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark, self.path = spark, path or f"{shared.shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+
+    def rows(self) -> DataFrame:
+        """(blob, rule, found) of all pairs scanned so far."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            return self.spark.createDataFrame([], _LEDGER)
+        return self.spark.read.schema(_LEDGER).parquet(self.path)
+
+    def add(self, new: DataFrame) -> None:
+        with shared.freeing(self.spark):
+            new.write.mode("append").parquet(self.path)
+
+
+def scan(versions: DataFrame, rules=RULES, ledger: Ledger | None = None) -> DataFrame:
+    """``versions`` (with ``text``) without the text but with ``blob`` and ``found``; pairs that ``ledger`` (None: a new one) lacks are scanned and added to it."""
+    ledger = ledger or Ledger(versions.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
-    addressed = versions.withColumn("blob", F.sha2(text, 256))
+    rest = [c for c in versions.columns if c not in ("text", "blob", "found")]
+    # the caller's columns travel in one, so that none of their names can clash
+    addressed = versions.select(F.struct(*(f"`{c}`" for c in rest)).alias("row") if rest else F.lit(0).alias("row"), F.sha2(text, 256).alias("blob"), text.alias("text"))
     # one text per blob: copies collapse before the shuffle
-    blobs = addressed.select("blob", text.alias("text")).dropDuplicates(["blob"])
-    new = shared.stored(scan_blobs(blobs, rules, ledger))
-    known = new.filter(F.size("found") > 0)
-    if ledger is not None:
-        known = known.unionByName(ledger.filter(F.size("found") > 0).select("blob", "rule", "found"))
-    per_blob = known.groupBy("blob").agg(F.flatten(F.collect_list("found")).alias("found"))
-    if ledger is None:
-        per_blob = shared.checkpoint(per_blob)
-    out = addressed.drop("text", "found").join(per_blob, "blob", "left")
-    return out.withColumn("found", F.coalesce("found", F.array().cast(_SPAN))), new
+    ledger.add(scan_blobs(addressed.select("blob", "text").dropDuplicates(["blob"]), rules, ledger.rows()))
+    keys = [r.key for r in rules]
+    known = ledger.rows().filter((F.size("found") > 0) & F.col("rule").isin(keys))
+    place = F.create_map(*(F.lit(x) for i, k in enumerate(keys) for x in (k, i)))
+    renumbered = F.transform("found", lambda x: F.struct(x["start"].alias("start"), F.element_at(place, F.col("rule")).alias("kind"), x["end"].alias("end")))
+    per_blob = known.groupBy("blob").agg(F.flatten(F.collect_list(renumbered)).alias("found"))
+    out = addressed.select("row", "blob").join(per_blob, "blob", "left")
+    return out.select(*(F.col("row").getField(c).alias(c) for c in rest), "blob", F.coalesce("found", F.array().cast(_SPAN)).alias("found"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
     docs = shared.table(spark, sf_dir, "documents").select("doc_id", "text")
-    got, _ = scan(docs)
+    got = scan(docs)
     base = F.filter("found", lambda x: x["kind"] < len(BASE))
 
     def count(i: int) -> Column:

@@ -4,19 +4,24 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes that the contracts count as white space: space and \t \n \v \f \r.
 BLANKS = b" \t\n\x0b\x0c\r"
 _IS_BLANK = np.zeros(256, bool)
 _IS_BLANK[list(BLANKS)] = True
-#: Bytes of text worked on at once; bounds the numpy temporaries to some tens of MB.
-CHUNK_BYTES = 2_000_000
+#: Bytes of text worked on at once, and of an Arrow batch between Spark and Python; they bound a worker's memory.
+CHUNK_BYTES = 1 << 19
+ARROW_BYTES = 4 << 20
+#: A key with more than one in so many rows, or more than half a partition's share of them, is joined apart.
+HOT_SHARE = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one made here if that is unset (tests)."""
+    """The folder that driver and executors share, ``spark.checkpoint.dir``; only a local session may do without it and gets one made here."""
     context = spark.sparkContext
     set_to = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not set_to:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         set_to = tempfile.mkdtemp(prefix="tidemark-")
         context.setCheckpointDir(set_to)
     elif context.getCheckpointDir() is None:
@@ -63,12 +70,43 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def removed(df: DataFrame) -> None:
-    """Delete a table that ``stored`` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    for path in {name.rpartition("/")[0] for name in df.inputFiles()}:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def removed(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote, once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {name.rpartition("/")[0] for name in df.inputFiles()}:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow``; batches are bounded by bytes unless the session says how, as texts differ too much to be counted."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(df.sparkSession.conf.get(name).rstrip("b")) == 64 << 20:  # Spark's own default
+        df.sparkSession.conf.set(name, str(ARROW_BYTES))
+    return df.mapInArrow(run, schema)
+
+
+def hot_share(spark: SparkSession) -> int:
+    """A key is hot with more than one in so many rows; there are no more hot keys than this."""
+    return max(HOT_SHARE, 2 * partitions(spark))
+
+
+def join_by_key(rows: DataFrame, per_key: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """``rows`` joined with ``per_key`` (one row a key, ``count`` of them in ``rows``), without a key meeting in one task.
+
+    Keys that hold more than one in ``hot_share`` rows, at most that many,
+    are broadcast and their rows stay where they are; the others are
+    shuffled.  Both frames are read twice, so they should be stored.
+    """
+    total = per_key.agg(F.sum(count)).first()[0] or 0
+    is_hot = F.col(count) * hot_share(rows.sparkSession) > total
+    hot = per_key.filter(is_hot)
+    if hot.isEmpty():
+        return rows.join(per_key.drop(count), keys)
+    known = F.broadcast(hot.drop(count))
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(per_key.filter(~is_hot).drop(count), keys)
+    return cold.unionByName(rows.join(known, keys))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -142,23 +180,31 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BACK = pow(_BASE, -1, 1 << 64)
-_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    if len(_POWERS.get(base, ())) < n:
-        steps = np.full(max(n, 1 << 16), base, np.uint64)
-        steps[0] = 1
-        _POWERS[base] = np.multiply.accumulate(steps)
-    return _POWERS[base][:n]
+#: Spans of up to this many bytes are hashed together, eight bytes of each at a time.
+_SHORT = 64
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(8)], np.uint64)
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, from prefix sums of one polynomial; equal bytes give equal hashes wherever they stand."""
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE[buf] * _powers(_BASE, len(buf)), out=sums[1:])
-    value = (sums[ends] - sums[starts]) * _powers(_BACK, len(buf) + 1)[starts]
-    return mixed(value + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    """A 64-bit hash of each byte span; equal bytes give equal hashes wherever they stand.
+
+    Short spans are chained in words of eight bytes through ``mixed``, longer
+    ones are hashed one by one with XXH3.
+    """
+    n = ends - starts
+    words = np.ndarray(len(buf) + 1, "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]), strides=(1,))
+    h = mixed(n.astype(np.uint64) * _STEP + np.uint64(0xA24BAED4963EE407))
+    of = np.flatnonzero(n <= _SHORT)
+    at, left = starts[of], n[of]
+    while len(of):
+        more = left > 0
+        of, at, left = of[more], at[more], left[more]
+        word = words[at]
+        part = left < 8
+        word[part] &= _KEEP[left[part]]
+        h[of] = mixed((h[of] ^ word) + _STEP)
+        at, left = at + 8, left - 8
+    for i in np.flatnonzero(n > _SHORT).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(buf[starts[i] : ends[i]])
+    return h
