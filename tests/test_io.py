@@ -4,6 +4,7 @@ import datetime as dt
 import json
 
 import pyarrow as pa
+import pyarrow.parquet
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +69,11 @@ def test_config(tmp_path):
     assert config.load_publish(str(tmp_path / "p.json")) == [config.Feature("candle_stick", (1, 5))]
     (tmp_path / "s.json").write_text(json.dumps({"system": {"min_period": 60000, "collect_latency(ms)": 50, "port_begin": 1}, "mode": {"dump": True, "dump_dir": "x"}}))
     assert config.load_system(str(tmp_path / "s.json")).dump_dir == "x"
+    (tmp_path / "f.json").write_text(json.dumps({"debug_trade": ["amount", "count"]}))
+    assert config.load_feature_format(str(tmp_path / "f.json")) == {"debug_trade": ["amount", "count"]}
+    (tmp_path / "c.json").write_text(json.dumps(spec))
+    again, ports = config.load_period_call(str(tmp_path / "c.json"))
+    assert again == plan and ports[1, "candle_stick"] == 100 and len(ports) == 23
     (tmp_path / "u.json").write_text(json.dumps({"trade": {"sh": {"ip": "1.2.3.4", "port": 5, "channel": ""}}}))
     assert config.load_subscribe(str(tmp_path / "u.json"))["trade", "SH"].address == "tcp://1.2.3.4:5"
 
@@ -93,6 +99,7 @@ def test_run_features(spark):
         X.feature("nothing")
     X.register("mine", lambda t, grid=None: t.groupBy(*X.KEY).count())
     assert X.feature("mine")(B.keyed(all_trades(spark), [1])).count() == 3
+    assert run_features(all_trades(spark), small_universe(spark), [config.Feature("mine", (1, 5))])["mine"].count() == 6
 
 
 def test_sinks(spark, tmp_path):
@@ -104,10 +111,19 @@ def test_sinks(spark, tmp_path):
     assert table.num_rows == 3 and all(str(x) == "nan" for x in table["Sv"].to_pylist())
     assert sinks.publish(got, lambda b: False, retries=2) == -1
     sinks.deliver(got, "order_flow_min", path=str(tmp_path / "dump"))
-    back = spark.read.parquet(str(tmp_path / "dump"))
-    assert back.count() == 3 and back.filter(F.isnan("Sv")).count() == 3 and {r["stem"] for r in back.collect()} == {"09_32_00_000"}
+    sinks.deliver(got, "order_flow_min", path=str(tmp_path / "dump"))  # a rerun replaces the bar
+    assert (tmp_path / "dump/order_flow_min/period_1" / f"day={DAY}" / "stem=09_32_00_000").is_dir()
+    back = sinks.read_dump(spark, str(tmp_path / "dump"), "order_flow_min", 1)
+    assert back.count() == 3 and back.filter(F.isnan("Sv")).count() == 3 and back.columns == got.columns
+    assert {(r["security"], r["bar"]) for r in back.collect()} == {(r["security"], r["bar"]) for r in got.collect()}
+    assert table.schema.field("securityid").type == pa.binary(11) and table.schema.field("datetime").type == pa.timestamp("us")
+    # a single file of another writer, with ids of fixed size
+    (tmp_path / "one/x/period_5").mkdir(parents=True)
+    pa.parquet.write_table(pa.table({"securityid": pa.array([b"000001.XSHE"], pa.binary(11)), "datetime": pa.array([dt.datetime(2024, 1, 2, 9, 35)], pa.timestamp("us")), "v": [1.5]}), str(tmp_path / "one/x/period_5/09_35_00_000.parquet"))
+    assert [tuple(r) for r in sinks.read_dump(spark, str(tmp_path / "one"), "x", 5).collect()] == [(5, "000001.XSHE", dt.datetime(2024, 1, 2, 9, 35), 1.5)]
+    spark.sql("SELECT array(1) AS a").write.parquet(str(tmp_path / "odd"))
     with pytest.raises(ValueError, match="unsupported"):
-        trades.checked_parquet(spark, str(tmp_path / "dump"))
+        trades.checked_parquet(spark, str(tmp_path / "odd"))
     with pytest.raises(NotImplementedError):
         trades.read_orders()
     ids = [r["security"] for r in sinks.to_output(got, small_universe(spark)).collect()]
@@ -140,3 +156,28 @@ def test_late_goes_to_open_bar(spark, tmp_path):
     q.awaitTermination(120)
     got = [r["collected"].minute for r in spark.sql("SELECT * FROM late_rows ORDER BY seq").collect()]
     assert got == [2, 4, 4, 5]
+
+
+def test_live_late_trades_and_restart(spark, tmp_path):
+    from tidemark.sources.schemas import TRADE_SCHEMA
+
+    at = lambda t: dt.datetime.fromisoformat(f"{DAY} 10:{t}")
+    batch = lambda times: spark.createDataFrame([("000001.XSHE", "SZ", at(t), 1.0, 1.0, 1, 2, -1, 0) for t in times], TRADE_SCHEMA)
+    seen = []
+    make = lambda: live.LiveFeatures(small_universe(spark), [config.Feature("debug_trade", (1, 5))], str(tmp_path / "store"), lambda f, df: seen.extend((r["period"], r["bar"].strftime("%M"), r["count"]) for r in df.collect()))
+    run = make()
+    run.on_batch(batch(["01:30", "02:30", "03:00.100"]), 0)
+    assert sorted(seen) == [(1, "02", 1.0), (1, "03", 1.0)]
+    run = make()  # a restart knows from the store what was handed on
+    run.on_batch(batch(["01:40", "02:10", "04:30"]), 1)
+    run.on_batch(batch(["05:30"]), 2)
+    assert sorted(seen)[2:] == [(1, "04", 3.0), (1, "05", 1.0), (5, "05", 6.0)]
+    run.close(spark)
+    assert sorted(seen)[-2:] == [(5, "05", 6.0), (5, "10", 1.0)] and len(seen) == 7
+
+
+def test_arrival_is_by_time_then_line(spark):
+    day = F.lit(DAY).cast("date")
+    rows = ["_,_,_,5,1,000001,_,10.00,100,70,09:31:01.000", "_,_,_,5,1,000001,_,11.00,100,70,09:31:01.000", "_,_,_,5,1,000001,_,12.00,100,70,09:31:00.999"]
+    got = trades.parse_sz(lines(spark, rows).coalesce(1), day).orderBy("seq")
+    assert [r["price"] for r in got.collect()] == [12.0, 10.0, 11.0]

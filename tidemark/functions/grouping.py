@@ -11,7 +11,8 @@ KINDS = ("count", "sum", "max", "min", "first", "last", "mean")
 
 
 def _aggregate(kind: str, value: str, order: list[str]) -> Column:
-    by = F.struct(*order) if order else None
+    # one column of a plain type keeps the hash aggregate
+    by = F.col(order[0]) if len(order) == 1 else F.struct(*order) if order else None
     return {
         "count": lambda: F.count(F.lit(1)),
         "count_as_double": lambda: F.count(F.lit(1)).cast("double"),
@@ -51,7 +52,7 @@ def quantile_distinct(x: str, p: float, places: int = 8) -> Column:
 
 
 def quantile_mod(x: str, p: float) -> Column:
-    """Index n p counted from 1: the mean of two neighbours at a whole index, else the next value."""
+    """Index n p counted from 1: the mean of two neighbours at a whole index, else the next value.  Holds the group in memory, so for bars, not for whole tables."""
     v = f"array_sort(collect_list({x}))"
     n = f"size({v}) * {p}"
     return F.expr(f"CASE WHEN size({v}) = 0 THEN 0D WHEN floor({n}) < 1 THEN element_at({v}, 1) WHEN {n} = floor({n}) AND floor({n}) < size({v}) THEN (element_at({v}, cast({n} as int)) + element_at({v}, cast({n} as int) + 1)) / 2 ELSE element_at({v}, cast(ceil({n}) as int)) END")
@@ -72,9 +73,9 @@ def slope(y: Name, x: Name) -> Column:
     return F.when(F.var_samp(col(y)) > 0, F.regr_slope(col(y), col(x)))
 
 
-def at_max(out: Name, by: Name) -> Column:
-    """``out`` where ``by`` is largest; of several the smallest ``out``."""
-    return F.max_by(col(out), F.struct(col(by), -col(out)))
+def at_max(out: Name, by: Name, largest: Name) -> Column:
+    """``out`` where ``by`` is ``largest`` (its maximum in the group, by a window); of several the smallest ``out``."""
+    return F.min(F.when(col(by) == col(largest), col(out)))
 
 
 def outer_merge(left: DataFrame, right: DataFrame, key: str, fill: float | None = 0.0) -> DataFrame:

@@ -118,6 +118,16 @@ def at_time(day: Name, text: Name) -> Column:
     return F.timestamp_add("MILLISECOND", time_of_day(text), col(day).cast("timestamp_ntz"))
 
 
+#: Bits of an arrival number that count rows; the milliseconds of the day stand above them.
+ROW_BITS = 36
+
+
+def arrival(at: Name, row: Name) -> Column:
+    """Order of arrival as one long: the time of day in milliseconds, then the row number (modulo 2**36)."""
+    day = F.date_trunc("DAY", col(at)).cast("timestamp_ntz")
+    return F.timestamp_diff("MILLISECOND", day, col(at)) * (1 << ROW_BITS) + F.pmod(col(row), F.lit(1 << ROW_BITS))
+
+
 def file_stem(at: Name) -> Column:
     """``HH_MM_SS_mmm``."""
     return F.date_format(col(at), "HH_mm_ss_SSS")

@@ -51,7 +51,7 @@ def keyed(trades: DataFrame, periods: list[int], bar: Column | None = None, phas
         got = got.withColumn("period", F.explode(F.lit(periods))).withColumn("bar", V.period_end("minute_bar", F.col("period")))
     else:
         ends = period_of(bars, periods, phase).select(F.col("bar").alias("minute_bar"), "period", F.col("period_end").alias("bar"))
-        got = got.join(F.broadcast(ends), "minute_bar")
+        got = got.join(ends, "minute_bar")
     if period_input == "last_minimum":
         got = got.filter(F.col("minute_bar") == F.col("bar"))
     return got.drop("minute_bar")
@@ -68,14 +68,19 @@ def gap_merged(bars: DataFrame, active: DataFrame, slots: int = 64) -> DataFrame
 
 
 def dense(features: DataFrame, universe: DataFrame, ends: DataFrame) -> DataFrame:
-    """Every security of the universe at every (period, bar) of ``ends``, with its features or NULLs."""
-    grid = ends.select("period", "bar").distinct().withColumn("_z", F.lit(1)).join(F.broadcast(universe.select("security", "prev_close", "row_no").withColumn("_z", F.lit(1))), "_z").drop("_z")
+    """Every security of the universe at every (period, bar) of ``ends``, with its features or NULLs.
+
+    The bars of a day, some hundreds, travel as one array to the universe, which stays where it is.
+    """
+    all_ends = ends.select("period", "bar").distinct().agg(F.collect_list(F.struct("period", "bar")).alias("_ends"))
+    each = universe.select("security", "prev_close", "row_no").crossJoin(all_ends)  # one row on the right
+    grid = each.select("security", "prev_close", "row_no", F.explode("_ends").alias("_e")).select("_e.period", "_e.bar", "security", "prev_close", "row_no")
     return grid.join(features, ["period", "security", "bar"], "left")
 
 
 def only_traced(trades: DataFrame, universe: DataFrame) -> DataFrame:
     """Trades of the universe's securities."""
-    return trades.join(F.broadcast(universe.select("security")), "security", "left_semi")
+    return trades.join(universe.select("security"), "security", "left_semi")
 
 
 def next_bar_if_late(events: DataFrame, keys: list[str], arrival: list[str], bar: str = "bar") -> DataFrame:

@@ -17,7 +17,8 @@ from tidemark.functions import vector as V
 from tidemark.sources.schemas import CANDLE_COLUMNS, ORDER_FLOW_COLUMNS, TRADE_AMOUNT_COLUMNS
 
 KEY = ["period", "security", "bar"]
-ORDER = ["trad_time", "seq"]
+#: Order of arrival, one long; plain types keep hash aggregates.
+ORDER = "seq"
 
 
 def _when(cond: Column, x) -> Column:
@@ -56,7 +57,6 @@ def candle_stick(trades: DataFrame, grid: DataFrame | None = None, price_filter:
         trades = trades.withColumns({"volume": F.when(ok, F.col("volume")).otherwise(0.0), "side": F.when(ok, F.col("side")).otherwise(0), "price": F.when(ok, F.col("price")).otherwise(0.0)})
     buy = F.col("side") == 1
     sell = ~buy if price_filter == "clean" else ~buy & ok
-    when = F.struct(*ORDER)
     amount = V.amount()
     got = trades.groupBy(*KEY).agg(
         F.count("*").cast("double").alias("cjb"),
@@ -70,8 +70,8 @@ def candle_stick(trades: DataFrame, grid: DataFrame | None = None, price_filter:
         _sum0(_when(sell, amount)).alias("samount"),
         F.min("price").alias("lowprice_nfq"),
         F.max("price").alias("highprice_nfq"),
-        F.min_by("price", when).alias("openprice_nfq"),
-        F.max_by("price", when).alias("closeprice_nfq"),
+        F.min_by("price", ORDER).alias("openprice_nfq"),
+        F.max_by("price", ORDER).alias("closeprice_nfq"),
     )
     if grid is None:
         return got
@@ -88,8 +88,8 @@ def log_returns(trades: DataFrame, first_logret: str = "price") -> DataFrame:
     Within a bar by a window; a bar's first trade takes the last price of the
     security's bar before, so no security is put in order as a whole.
     """
-    within = F.lag("price").over(Window.partitionBy(*KEY).orderBy(*ORDER))
-    ends = trades.groupBy(*KEY).agg(F.max_by("price", F.struct(*ORDER)).alias("_end"))
+    within = F.lag("price").over(Window.partitionBy(*KEY).orderBy(ORDER))
+    ends = trades.groupBy(*KEY).agg(F.max_by("price", ORDER).alias("_end"))
     before = F.lag("_end").over(Window.partitionBy("period", "security").orderBy("bar"))
     ends = ends.select(*KEY, before.alias("_before"))
     got = trades.withColumn("_in", within).join(ends, KEY)
@@ -142,12 +142,16 @@ def trade_amount(trades: DataFrame, kind: str, grid: DataFrame | None = None, do
 def large_orders(trades: DataFrame, p: float, threshold_base: str = "trade") -> DataFrame:
     """Trades of orders whose amount in the bar exceeds the quantile of the distinct trade (or order) amounts."""
     buy = F.col("side") == 1
-    t = trades.withColumns({"_buy": buy, "_no": F.when(buy, F.col("bid_seq")).otherwise(F.col("offer_seq")), "_amt": V.amount()})
-    per = t.groupBy(*KEY, "_buy", "_no").agg(F.sum("_amt").alias("_sum"))
-    base = t.select(*KEY, F.col("_amt").alias("_x")) if threshold_base == "trade" else per.select(*KEY, F.col("_sum").alias("_x"))
-    limit = base.groupBy(*KEY).agg(G.quantile_distinct("_x", p).alias("_limit"))
-    big = per.join(limit, KEY).filter(F.col("_sum") > F.col("_limit")).select(*KEY, "_buy", "_no")
-    return t.join(big, [*KEY, "_buy", "_no"], "left_semi").drop("_buy", "_no", "_amt")
+    no = F.when(buy, F.col("bid_seq")).otherwise(F.col("offer_seq"))
+    # one exchange, by security and bar (which also serves every period): the order's sum, the distinct amounts and their quantile are windows within it
+    t = trades.select(*KEY, "price", "volume", "side", buy.alias("_buy"), no.alias("_no"), V.amount().alias("_amt")).repartition("security", "bar")
+    t = t.withColumn("_sum", F.sum("_amt").over(Window.partitionBy(*KEY, "_buy", "_no")))
+    x = F.round(V.null_if_nan("_amt" if threshold_base == "trade" else "_sum"), 8)
+    t = t.withColumn("_x", x)
+    first = F.row_number().over(Window.partitionBy(*KEY, "_x").orderBy("_x")) == 1
+    t = t.withColumn("_x", F.when(first, F.col("_x")))
+    limit = F.percentile("_x", F.lit(p)).over(Window.partitionBy(*KEY))
+    return t.withColumn("_limit", limit).filter(F.col("_sum") > F.col("_limit")).select(*KEY, "price", "volume", "side")
 
 
 def levels(trades: DataFrame) -> DataFrame:
@@ -220,8 +224,11 @@ def order_flow(trades: DataFrame, size: str | None = None, grid: DataFrame | Non
             f"{name}_equilibrium_ratio": V.safe_divide(F.sum(f"f{name}"), F.count("*")),
             f"{name}_equilibrium_count": F.sum(f"run{name}").cast("double"),
         }
-    for name, x in (("POC", "v"), ("cjbsPOC", "c"), ("SPOC", "Sv"), ("ScjbsPOC", "Scjbs"), ("BPOC", "Bv"), ("BcjbsPOC", "Bcjbs")):
-        agg[name] = G.at_max("price", x)
+    peaks = (("POC", "v"), ("cjbsPOC", "c"), ("SPOC", "Sv"), ("ScjbsPOC", "Scjbs"), ("BPOC", "Bv"), ("BcjbsPOC", "Bcjbs"))
+    everything = Window.partitionBy(*KEY)
+    lv = lv.withColumns({f"_max_{x}": F.max(x).over(everything) for _, x in peaks})
+    for name, x in peaks:
+        agg[name] = G.at_max("price", x, f"_max_{x}")
     for name, x in (("S", "Sv"), ("Scjbs", "Scjbs"), ("D", "Bv"), ("Dcjbs", "Bcjbs")):
         top = name[0] == "D"
         first, second = (col("n") - 1, col("n") - 2) if top else (F.lit(0), F.lit(decay_nth))

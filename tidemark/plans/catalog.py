@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,9 +17,11 @@ from tidemark.functions import vector as V
 from tidemark.operators import bars as B
 from tidemark.operators import features as X
 from tidemark.plans import proxy as P
+from tidemark.plans import run
 from tidemark.sources import config as C
 from tidemark.sources import sinks, trades, universe
 from tidemark.sources.schemas import CANDLE_COLUMNS, DEBUG_COLUMNS, ORDER_FLOW_COLUMNS, TRADE_AMOUNT_COLUMNS
+from tidemark.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -161,7 +164,7 @@ _add("amount_project", T + f" SELECT security, trad_time, seq, {_q6(['volume * p
 )
 _add(
     "log_return",
-    T + f" SELECT security, trad_time, seq, {_q6(['ln(price + 1) - ln(coalesce(lag(price) OVER (PARTITION BY security ORDER BY trad_time, seq), 0) + 1)'], ['logret'])} FROM t",
+    T + f" SELECT security, trad_time, seq, {_q6(['ln(price + 1) - ln(coalesce(lag(price) OVER (PARTITION BY security ORDER BY seq), 0) + 1)'], ['logret'])} FROM t",
 )(lambda s, d: _r6(X.log_returns(_quarters(s, d)).select("security", "trad_time", "seq", "logret")))
 _add("safe_division", f"SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, {_q6(['CASE WHEN l_discount = 0 THEN NULL ELSE l_tax / l_discount END'], ['q'])} FROM lineitem")(
     lambda s, d: _r6(s.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", V.safe_divide("l_tax", "l_discount").alias("q")))
@@ -187,17 +190,17 @@ _add("vertical_concat", "SELECT c_custkey AS k, c_acctbal AS v FROM customer UNI
 
 # -- groups ------------------------------------------------------------------
 
-_AGGS = {"count": "count(*)", "sum": "sum(volume)", "max": "max(volume)", "min": "min(volume)", "first": "arg_min(volume, trad_time || seq)", "last": "arg_max(volume, trad_time || seq)", "mean": "avg(volume)"}
+_AGGS = {"count": "count(*)", "sum": "sum(volume)", "max": "max(volume)", "min": "min(volume)", "first": "arg_min(volume, seq)", "last": "arg_max(volume, seq)", "mean": "avg(volume)"}
 
 
 @_add("group_agg_all", T + " SELECT security, count(*) AS volume_count, " + _q6([_AGGS[k] for k in G.KINDS[1:]], [f"volume_{k}" for k in G.KINDS[1:]]) + " FROM t GROUP BY security")
 def group_agg_all(spark, d):
     """A1 to A10, A18 to A21."""
-    return _r6(G.aggregate(_quarters(spark, d), ["security"], "volume", ["trad_time", "seq"]))
+    return _r6(G.aggregate(_quarters(spark, d), ["security"], "volume", ["seq"]))
 
 
 _OVER = "OVER (PARTITION BY security, bar)"
-_FULL = "OVER (PARTITION BY security, bar ORDER BY trad_time, seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+_FULL = "OVER (PARTITION BY security, bar ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
 
 
 @_add(
@@ -207,11 +210,11 @@ _FULL = "OVER (PARTITION BY security, bar ORDER BY trad_time, seq ROWS BETWEEN U
 )
 def group_transform_all(spark, d):
     """A11 to A17."""
-    got = G.transform(_quarters(spark, d), ["security", "bar"], "volume", ["trad_time", "seq"])
+    got = G.transform(_quarters(spark, d), ["security", "bar"], "volume", ["seq"])
     return _r6(got, ["security", "bar", "trad_time", "seq", *(f"volume_{k}" for k in G.KINDS)])
 
 
-_IDX = "(SELECT *, row_number() OVER (PARTITION BY security, bar ORDER BY trad_time, seq) - 1 AS i FROM t)"
+_IDX = "(SELECT *, row_number() OVER (PARTITION BY security, bar ORDER BY seq) - 1 AS i FROM t)"
 
 
 @_add(
@@ -220,7 +223,7 @@ _IDX = "(SELECT *, row_number() OVER (PARTITION BY security, bar ORDER BY trad_t
 )
 def stats_std_corr_slope(spark, d):
     """A22, A23, A32, W9."""
-    i = F.row_number().over(Window.partitionBy("security", "bar").orderBy("trad_time", "seq")) - 1
+    i = F.row_number().over(Window.partitionBy("security", "bar").orderBy("seq")) - 1
     got = _quarters(spark, d).withColumn("i", i.cast("double")).groupBy("security", "bar")
     return _r6(got.agg(G.std("volume").alias("sd"), G.correlation("volume", "i").alias("r"), G.slope("volume", "i").alias("b")))
 
@@ -257,13 +260,13 @@ def level_outer_merge(spark, d):
 
 # -- windows -----------------------------------------------------------------
 
-_W = "OVER (PARTITION BY security, bar ORDER BY trad_time, seq)"
+_W = "OVER (PARTITION BY security, bar ORDER BY seq)"
 
 
 @_add("shift_lag_lead", T + f" SELECT security, trad_time, seq, lag(volume, 1, -1.0) {_W} AS before, lead(volume, 2) {_W} AS after FROM t")
 def shift_lag_lead(spark, d):
     """W1, W2."""
-    w = Window.partitionBy("security", "bar").orderBy("trad_time", "seq")
+    w = Window.partitionBy("security", "bar").orderBy("seq")
     return _quarters(spark, d).select("security", "trad_time", "seq", V.shifted("volume", 1, w, -1.0).alias("before"), V.shifted("volume", -2, w).alias("after"))
 
 
@@ -272,12 +275,12 @@ def shift_lag_lead(spark, d):
     T + f""", u AS (SELECT *, CASE WHEN side = 1 THEN 1 ELSE 0 END AS f FROM t),
 v AS (SELECT *, CASE WHEN f IS DISTINCT FROM lag(f) {_W} THEN 1 ELSE 0 END AS c FROM u),
 w AS (SELECT *, sum(c) {_W} AS isle FROM v)
-SELECT security, trad_time, seq, CAST(row_number() OVER (PARTITION BY security, bar, isle ORDER BY trad_time, seq) * f AS INT) AS run FROM w""",
+SELECT security, trad_time, seq, CAST(row_number() OVER (PARTITION BY security, bar, isle ORDER BY seq) * f AS INT) AS run FROM w""",
 )
 def run_length(spark, d):
     """W4."""
     t = _quarters(spark, d).withColumn("f", (F.col("side") == 1).cast("int"))
-    return V.with_runs(t, "f", ["security", "bar"], ["trad_time", "seq"], "run").select("security", "trad_time", "seq", "run")
+    return V.with_runs(t, "f", ["security", "bar"], ["seq"], "run").select("security", "trad_time", "seq", "run")
 
 
 @_add("cumulative_flow", T + ", b AS (SELECT security, bar, sum(volume * side) AS flow FROM t GROUP BY ALL) SELECT security, bar, " + _q6(["sum(flow) OVER (PARTITION BY security ORDER BY bar)"], ["cum"]) + " FROM b")
@@ -309,7 +312,7 @@ _CANDLE = {
     "cjb": "CAST(count(volume) AS DOUBLE)", "bcjb": "CAST(count(volume) FILTER (WHERE side = 1) AS DOUBLE)", "scjb": "CAST(count(volume) FILTER (WHERE side <> 1) AS DOUBLE)",
     "volume_nfq": "coalesce(sum(volume), 0)", "bvolume_nfq": "coalesce(sum(volume) FILTER (WHERE side = 1), 0)", "svolume_nfq": "coalesce(sum(volume) FILTER (WHERE side <> 1), 0)",
     "amount": "coalesce(sum(volume * price), 0)", "bamount": "coalesce(sum(volume * price) FILTER (WHERE side = 1), 0)", "samount": "coalesce(sum(volume * price) FILTER (WHERE side <> 1), 0)",
-    "lowprice_nfq": "min(price)", "highprice_nfq": "max(price)", "openprice_nfq": "arg_min(price, trad_time || seq)", "closeprice_nfq": "arg_max(price, trad_time || seq)",
+    "lowprice_nfq": "min(price)", "highprice_nfq": "max(price)", "openprice_nfq": "arg_min(price, seq)", "closeprice_nfq": "arg_max(price, seq)",
 }
 _CANDLE_AGG = ", ".join(f"{v} AS {k}" for k, v in _CANDLE.items())
 
@@ -334,11 +337,11 @@ def candle_empty_bars(spark, d):
     return _r6(X.candle_stick(t, grid), ["security", "bar", *CANDLE_COLUMNS])
 
 
-@_add("ffill_close", M + f", c AS (SELECT g.security, g.bar, g.prev_close, arg_max(price, trad_time || seq) AS closeprice_nfq FROM g LEFT JOIN t USING (security, bar) GROUP BY ALL) SELECT security, bar, {_q6([_FILL.format('NULL')], ['last_close'])} FROM c")
+@_add("ffill_close", M + f", c AS (SELECT g.security, g.bar, g.prev_close, arg_max(price, seq) AS closeprice_nfq FROM g LEFT JOIN t USING (security, bar) GROUP BY ALL) SELECT security, bar, {_q6([_FILL.format('NULL')], ['last_close'])} FROM c")
 def ffill_close(spark, d):
     """W6."""
     t, grid = _month_grid(spark, d)
-    ends = t.groupBy("period", "security", "bar").agg(F.max_by("price", F.struct("trad_time", "seq")).alias("close"))
+    ends = t.groupBy("period", "security", "bar").agg(F.max_by("price", "seq").alias("close"))
     got = grid.join(ends, ["period", "security", "bar"], "left")
     return _r6(got.select("security", "bar", F.coalesce(G.filled_forward("close", ["security"], ["bar"]), "prev_close").alias("last_close")))
 
@@ -360,7 +363,7 @@ def debug_trade(spark, d):
 def _orders_sql(volume: str) -> str:
     return f"""WITH t AS (SELECT * REPLACE ({volume} AS volume) FROM ({P.DUCK_TRADES})),
 r AS (SELECT *, side = 1 AS buy, CASE WHEN side = 1 THEN bid_seq ELSE offer_seq END AS no,
-      ln(price + 1) - ln(coalesce(lag(price) OVER (PARTITION BY security ORDER BY trad_time, seq), 0) + 1) AS lr FROM t WHERE price > 0),
+      ln(price + 1) - ln(coalesce(lag(price) OVER (PARTITION BY security ORDER BY seq), 0) + 1) AS lr FROM t WHERE price > 0),
 o AS (SELECT security, bar, buy, no, sum(volume * price) AS a, sum(lr) AS lr FROM r GROUP BY ALL)"""
 
 
@@ -513,8 +516,90 @@ def late_next_bar(spark, d):
     return B.next_bar_if_late(e, ["user_id"], ["arrival", "event_id"]).select("event_id", "collected")
 
 
-@_add("sink_roundtrip", T + f", c AS (SELECT security, bar, {_CANDLE_AGG} FROM t WHERE price > 0 GROUP BY security, bar) SELECT security, bar, {_q6(['closeprice_nfq', 'amount'])} FROM c")
+@_add("sink_roundtrip", T + f", c AS (SELECT security, bar, {_CANDLE_AGG} FROM t WHERE price > 0 GROUP BY security, bar) SELECT security, bar, {_q6(CANDLE_COLUMNS)} FROM c")
 def sink_roundtrip(spark, d):
-    """Candles in output form; writing and reading them back is tested on disk."""
-    got = sinks.to_output(X.candle_stick(_quarters(spark, d)))
-    return _r6(got, ["security", "bar", "closeprice_nfq", "amount"])
+    """Candles written in the dump's layout and read back."""
+    at = sinks.scratch(spark)
+    sinks.dump(X.candle_stick(_quarters(spark, d)), at, "candle_stick")
+    got = sinks.read_dump(spark, at, "candle_stick", 1)
+    return _r6(got.withColumn("security", F.col("security").cast("bigint")), ["security", "bar", *CANDLE_COLUMNS])
+
+
+_ONE_BAR = "1996-10-01"
+
+
+@_add("publish_ipc", T + f" SELECT security, bar, {_q6(['sum(volume * price)', 'CAST(count(*) AS DOUBLE)'], ['amount', 'count'])} FROM t WHERE bar = TIMESTAMP '{_ONE_BAR}' GROUP BY security, bar")
+def publish_ipc(spark, d):
+    """K2, K5, K6: one bar as the bytes of an Arrow stream, read again."""
+    t = _quarters(spark, d).filter(F.col("bar") == F.lit(_ONE_BAR).cast("timestamp_ntz"))
+    sent: list[bytes] = []
+    sinks.publish(X.debug_trade(t).drop("term_count"), lambda x: sent.append(x) or True)
+    table = pa.ipc.open_stream(sent[0]).read_all()
+    got = spark.createDataFrame(table.set_column(0, "securityid", table["securityid"].cast(pa.binary())))
+    security = F.regexp_replace(F.col("securityid").cast("string"), "\\x00+$", "").cast("bigint")
+    return _r6(got.select(security.alias("security"), F.col("datetime").alias("bar"), "amount", "count"))
+
+
+@_add("completed_bars", T + " SELECT DISTINCT CAST(1 AS INT) AS period, bar FROM t WHERE security % 9 = 0 AND price > 10 INTERSECT SELECT DISTINCT CAST(1 AS INT), bar FROM t WHERE security % 9 = 1 AND price > 10")
+def completed_bars(spark, d):
+    """The bars that both exchanges' frames have."""
+    t = _quarters(spark, d).filter("price > 10")
+    return run.completed([X.debug_trade(t.filter(f"security % 9 = {i}")) for i in (0, 1)])
+
+
+def _spread(trades: DataFrame, grid: DataFrame | None = None) -> DataFrame:
+    return trades.groupBy(*X.KEY).agg((F.max("price") - F.min("price")).alias("spread"))
+
+
+@_add("user_feature", T + f", s AS (SELECT t.* FROM t JOIN supplier ON s_suppkey = security WHERE s_acctbal > 0) SELECT security, bar, {_q6(['max(price) - min(price)'], ['spread'])} FROM s GROUP BY security, bar")
+def user_feature(spark, d):
+    """A registered feature through the plan."""
+    X.register("catalog_spread", _spread)
+    u = spark.read.parquet(f"{d}/supplier.parquet").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("security"))
+    t = _quarters(spark, d).drop("period").withColumnRenamed("bar", "quarter")
+    got = run.run_features(t, u, [C.Feature("catalog_spread", (1,))], bar=F.col("quarter"))["catalog_spread"]
+    return _r6(got.select("security", "bar", "spread"))
+
+
+_add("sum_of_arrays", f"SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, {_q6(['l_tax + 2 * l_discount', '2 * l_quantity'], ['a', 'b'])} FROM lineitem")(
+    lambda s, d: _r6(
+        s.read.parquet(f"{d}/lineitem.parquet")
+        .withColumn("v", V.sum_of_arrays([F.array("l_tax", "l_quantity"), F.array("l_discount", "l_quantity"), F.array(F.col("l_discount"), F.lit(0.0))]))
+        .select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", F.col("v")[0].alias("a"), F.col("v")[1].alias("b"))
+    )
+)
+_add("parser_registry", "SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'SZ' ELSE 'SH' END AS exchange, count(*) AS n FROM lineitem GROUP BY 1")(
+    lambda s, d: _registry(s, d).groupBy("exchange").agg(F.count("*").alias("n"))
+)
+
+
+def _registry(spark, d):
+    """Both exchanges' messages, each by its own parser."""
+    lines = spark.read.parquet(f"{d}/lineitem.parquet")
+    day = F.lit("2024-01-02").cast("date")
+    body = {
+        "SZ": ("l_linenumber % 2 = 0", "concat_ws(',', 'a', 'b', 'c', l_orderkey, l_partkey, lpad(l_suppkey, 6, '0'), 'd', l_extendedprice, l_quantity, '70', '09:31:00.000')"),
+        "SH": ("l_linenumber % 2 = 1", "concat_ws(',', 'a', 'b', 'c', lpad(l_suppkey, 6, '0'), '09:31:00.000', l_extendedprice, l_quantity, 'e', l_orderkey, l_partkey, 'B')"),
+    }
+    parts = [trades.PARSERS[e](lines.filter(cond).selectExpr(f"{text} AS value"), day) for e, (cond, text) in body.items()]
+    return parts[0].unionByName(parts[1])
+
+
+@_add("tumbling_bars", f"SELECT CAST({_MIN} AS TIMESTAMP) AS bar, user_id AS security, count(*) AS count, {_q6(['sum(value * 2)'], ['amount'])} FROM events GROUP BY 1, 2")
+def tumbling_bars(spark, d):
+    """Minute bars of a stream, by event-time windows; ``events`` comes as one micro-batch."""
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    ticks = stream.select(F.col("user_id").alias("security"), F.col("ts").alias("trad_time"), F.col("value").alias("price"), F.lit(2.0).alias("volume"))
+    at = sinks.scratch(spark)
+    put = lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{at}/{epoch}")
+    q = live.tumbling(ticks).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{at}-checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return _r6(spark.read.parquet(f"{at}/0"), ["bar", "security", "count", "amount"])
+
+
+@_add("sorted_union", "WITH u AS (SELECT s_nationkey AS k FROM supplier UNION SELECT c_nationkey FROM customer) SELECT k, CAST(row_number() OVER (ORDER BY k DESC) AS INT) AS place FROM u")
+def sorted_union(spark, d):
+    """2.8: union, distinct, sort."""
+    s, c = (spark.read.parquet(f"{d}/{t}.parquet").select(F.col(k).alias("k")) for t, k in (("supplier", "s_nationkey"), ("customer", "c_nationkey")))
+    return s.unionByName(c).distinct().withColumn("place", F.row_number().over(Window.orderBy(F.desc("k"))))

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ``lineitem`` as trades: eleven price levels, integral volumes, quarters as bars; seq is unique within a time.
+#: ``lineitem`` as trades: eleven price levels, integral volumes, quarters as bars; seq, the order of arrival, is one
+#: number (day, order, line, part), unique within a security.
 TRADES_SQL = """
 SELECT l_suppkey AS security, l_shipdate AS trad_time, round(1.0 + l_discount * 100, 2) AS price, l_quantity AS volume,
        l_orderkey % 32 AS bid_seq, l_partkey % 32 AS offer_seq, CASE WHEN l_orderkey % 32 > l_partkey % 32 THEN 1 ELSE -1 END AS side,
-       concat_ws('-', lpad(CAST(l_orderkey AS {text}), 12, '0'), lpad(CAST(l_linenumber AS {text}), 4, '0'), lpad(CAST(l_partkey AS {text}), 12, '0'),
-                 lpad(CAST(CAST(l_quantity AS BIGINT) AS {text}), 6, '0'), lpad(CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS {text}), 14, '0')) AS seq,
+       ((CAST({days} AS BIGINT) * 4194304 + l_orderkey % 4194304) * 8 + l_linenumber % 8) * 4194304 + l_partkey % 4194304 AS seq,
        {bar} AS bar
 FROM lineitem
 """
-DUCK_TRADES = TRADES_SQL.format(text="VARCHAR", bar="CAST(date_trunc('quarter', l_shipdate) AS TIMESTAMP)")
-DUCK_MONTHS = TRADES_SQL.format(text="VARCHAR", bar="CAST(date_trunc('month', l_shipdate) AS TIMESTAMP)")
+_DUCK_DAYS = "date_diff('day', DATE '1990-01-01', CAST(l_shipdate AS DATE))"
+DUCK_TRADES = TRADES_SQL.format(days=_DUCK_DAYS, bar="CAST(date_trunc('quarter', l_shipdate) AS TIMESTAMP)")
+DUCK_MONTHS = TRADES_SQL.format(days=_DUCK_DAYS, bar="CAST(date_trunc('month', l_shipdate) AS TIMESTAMP)")
 
 #: ``events`` as ticks.
 TICKS_SQL = """
@@ -29,7 +30,7 @@ def trades(spark: SparkSession, sf_dir: str, bar: str = "QUARTER", period: int =
     """Keyed trades of ``lineitem``; only the columns read are scanned."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     lines.createOrReplaceTempView("tidemark_lineitem")
-    sql = TRADES_SQL.format(text="STRING", bar=f"CAST(date_trunc('{bar}', l_shipdate) AS TIMESTAMP_NTZ)").replace("FROM lineitem", "FROM tidemark_lineitem")
+    sql = TRADES_SQL.format(days="datediff(l_shipdate, DATE'1990-01-01')", bar=f"CAST(date_trunc('{bar}', l_shipdate) AS TIMESTAMP_NTZ)").replace("FROM lineitem", "FROM tidemark_lineitem")
     return spark.sql(sql).withColumn("period", F.lit(period))
 
 

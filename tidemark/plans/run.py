@@ -14,9 +14,10 @@ def run_features(trades: DataFrame, universe: DataFrame, spec: list[Feature], ba
     """Feature name to rows (period, security, bar, columns), dense over the universe if ``bars`` (bar, bar_no) are given.
 
     ``options``: keyword arguments by feature name.  The periods of one
-    feature share one plan; trades outside the universe are dropped.
+    feature share one plan; trades outside the universe are dropped.  User
+    features count like any other once registered.
     """
-    plan = publish_plan(spec)
+    plan = publish_plan(spec, X.FEATURES)
     traced = B.only_traced(trades, universe)
     out: dict[str, DataFrame] = {}
     for f in spec:

@@ -58,10 +58,10 @@ def merged(lists: list[list[int]]) -> list[int]:
     return sorted({x for xs in lists for x in xs})
 
 
-def publish_plan(features: list[Feature]) -> Plan:
-    """Periods ascending, each with its open features in the order listed; an unknown feature is an error."""
+def publish_plan(features: list[Feature], known=FEATURE_COLUMNS) -> Plan:
+    """Periods ascending, each with its open features in the order listed; a feature that isn't ``known`` is an error."""
     for f in features:
-        if f.name not in FEATURE_COLUMNS:
+        if f.name not in known:
             raise ValueError(f"unknown feature {f.name}")
     on = [f for f in features if f.open]
     return Plan({p: [f.name for f in on if p in f.periods] for p in merged([sorted(f.periods) for f in on])})
@@ -84,6 +84,18 @@ def load_subscribe(path: str) -> dict[tuple[str, str], Endpoint]:
     return {(kind, e.upper()): Endpoint(x["ip"], x["port"], x.get("channel", "")) for kind, by in spec.items() for e, x in by.items()}
 
 
+def load_feature_format(path: str) -> dict[str, list[str]]:
+    """Feature to its columns in output order."""
+    return {name: list(columns) for name, columns in json.loads(Path(path).read_text()).items()}
+
+
+def load_period_call(path: str, kind: str = "trade") -> tuple[Plan, dict[tuple[int, str], int]]:
+    """The plan of a period_call file (what ``endpoints`` gives), and the port of each (period, feature)."""
+    spec = json.loads(Path(path).read_text())
+    plan = Plan({x["period"]: list(x["called_func"]) for x in spec[kind]})
+    return plan, {(x["period"], f): port for x in spec[kind] for f, port in zip(x["called_func"], x["port"], strict=True)}
+
+
 def endpoints(plan: Plan, port_begin: int, ip: str = "") -> dict:
     """One port for each output, counted up over periods and features."""
     out, port = [], port_begin

@@ -1,15 +1,19 @@
-"""Sinks: Parquet layout, Arrow IPC bytes, publishers."""
+"""Sinks: Parquet layout and its reader, Arrow IPC bytes, publishers."""
 
 from __future__ import annotations
 
+import tempfile
 import time
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RETRIES, WAIT_S = 5, 0.01
+#: Bytes of a security id in output tables.
+ID_BYTES = 11
 
 
 def to_output(df: DataFrame, universe: DataFrame | None = None) -> DataFrame:
@@ -17,28 +21,61 @@ def to_output(df: DataFrame, universe: DataFrame | None = None) -> DataFrame:
     doubles = [n for n, t in df.dtypes if t == "double"]
     df = df.select(*(F.coalesce(n, F.lit(float("nan"))).alias(n) if n in doubles else F.col(n) for n in df.columns))
     if universe is not None:
-        df = df.join(F.broadcast(universe.select("security", "row_no")), "security").orderBy("row_no").drop("row_no")
+        df = df.join(universe.select("security", "row_no"), "security").orderBy("row_no").drop("row_no")
     return df
 
 
+def to_table(df: DataFrame, universe: DataFrame | None = None) -> DataFrame:
+    """Output columns: ``securityid`` of fixed width, ``datetime``, and the feature's doubles."""
+    out = to_output(df, universe)
+    rest = [c for c in out.columns if c not in ("period", "security", "bar")]
+    ids = F.rpad(F.col("security").cast("string"), ID_BYTES, "\0").cast("binary")
+    return out.select(ids.alias("securityid"), F.col("bar").alias("datetime"), *rest)
+
+
 def dump(df: DataFrame, path: str, feature: str) -> None:
-    """Snappy Parquet under ``path``/feature=.../period=.../bar=HH_mm_ss_SSS."""
-    stem = F.date_format("bar", "HH_mm_ss_SSS").alias("stem")
-    out = to_output(df).withColumn("feature", F.lit(feature)).select("*", stem)
-    out.write.mode("append").option("compression", "snappy").partitionBy("feature", "period", "stem").parquet(path)
+    """Snappy Parquet at ``path``/feature/period_k/day=.../stem=HH_mm_ss_SSS; written again, a bar replaces itself."""
+    for r in df.select("period").distinct().collect():
+        out = to_table(df.filter(F.col("period") == r["period"]))
+        out = out.select("*", F.to_date("datetime").alias("day"), F.date_format("datetime", "HH_mm_ss_SSS").alias("stem"))
+        write = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "snappy")
+        write.partitionBy("day", "stem").parquet(f"{path}/{feature}/period_{r['period']}")
+
+
+def read_dump(spark: SparkSession, path: str, feature: str, period: int) -> DataFrame:
+    """(period, security, bar, columns) of what ``dump`` wrote, or of single files HH_MM_SS_mmm.parquet in the same folders."""
+    from tidemark.sources.trades import checked_parquet
+
+    df = checked_parquet(spark, f"{path}/{feature}/period_{period}", ignore=("day", "stem"))
+    security = F.regexp_replace(F.col("securityid").cast("string"), "\\x00+$", "").alias("security")
+    return df.select(F.lit(period).alias("period"), security, F.col("datetime").alias("bar"), *(c for c in df.columns if c not in ("securityid", "datetime")))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder name in the shared folder (``spark.checkpoint.dir``); on a local session without one, a temporary one."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = tempfile.mkdtemp(prefix="tidemark-")
+    return f"{at}/out-{uuid.uuid4().hex}"
 
 
 def ipc(table: pa.Table) -> bytes:
-    """One Arrow IPC stream."""
+    """One Arrow IPC stream; ids of fixed size, times in microseconds."""
+    kinds = {"securityid": pa.binary(ID_BYTES), "datetime": pa.timestamp("us")}
+    for i, f in enumerate(table.schema):
+        if f.name in kinds:
+            table = table.set_column(i, f.name, table.column(i).cast(kinds[f.name]))
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as writer:
         writer.write_table(table)
     return sink.getvalue().to_pybytes()
 
 
-def publish(df: DataFrame, send: Callable[[bytes], bool], retries: int = RETRIES) -> int:
+def publish(df: DataFrame, send: Callable[[bytes], bool], retries: int = RETRIES, universe: DataFrame | None = None) -> int:
     """Send one bar of one feature (as many rows as the universe has); returns the bytes sent, or -1 if ``send`` kept refusing."""
-    data = ipc(to_output(df).toArrow())
+    data = ipc(to_table(df, universe).toArrow())
     for _ in range(retries):
         if send(data):
             return len(data)

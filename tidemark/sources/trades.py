@@ -27,22 +27,23 @@ def _parsed(lines: DataFrame, exchange: str, day: Column, seq: Column) -> DataFr
     return (
         lines.withColumn("seq", seq)
         .filter(keep & (F.size(f) > at["mark"]))
+        .withColumn("at", V.at_time(day, field("time")))
         .select(
             V.suffixed(field("security"), at["suffix"]).alias("security"),
             F.lit(exchange).alias("exchange"),
-            V.at_time(day, field("time")).alias("trad_time"),
+            F.col("at").alias("trad_time"),
             number("price", "double").alias("price"),
             number("volume", "double").alias("volume"),
             number("bid_seq", "bigint").alias("bid_seq"),
             number("offer_seq", "bigint").alias("offer_seq"),
             V.side_of(number("bid_seq", "bigint"), number("offer_seq", "bigint")).alias("side"),
-            "seq",
+            V.arrival(F.col("at"), F.col("seq")).alias("seq"),
         )
     )
 
 
 def parse_sz(lines: DataFrame, day: Column, seq: Column | None = None) -> DataFrame:
-    """``lines`` (value) of the SZ exchange to trades; only fills are kept."""
+    """``lines`` (value) of the SZ exchange to trades; only fills are kept.  ``seq`` numbers the lines; by default as they are read."""
     return _parsed(lines, "SZ", day, F.monotonically_increasing_id() if seq is None else seq)
 
 
@@ -64,13 +65,16 @@ def read_trades(spark: SparkSession, paths: dict[str, str], day: str) -> DataFra
 
 
 def stream_trades(spark: SparkSession, sources: dict[str, dict], day: str) -> DataFrame:
-    """A streaming frame of trades.  ``sources``: for each exchange a format and its options (text folder, socket, kafka)."""
+    """A streaming frame of trades.  ``sources``: for each exchange a format and its options (text folder, socket, kafka).
+
+    A stream has no line numbers, so ``seq`` holds the time alone; ``live.arrived`` numbers the rows of each micro-batch.
+    """
     out = None
     for exchange, spec in sources.items():
         options = dict(spec)
         lines = spark.readStream.format(options.pop("format")).options(**options).load()
         lines = lines.select(F.col("value").cast("string").alias("value"))
-        part = PARSERS[exchange](lines, F.lit(day).cast("date"), F.xxhash64("value"))
+        part = PARSERS[exchange](lines, F.lit(day).cast("date"), F.lit(0).cast("long"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -85,10 +89,10 @@ def read_depth(*_):
     raise NotImplementedError(f"no wire format for {DEPTH_SCHEMA.simpleString()}")
 
 
-def checked_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """Read a feature table; columns of other types than the sinks write are refused."""
-    df = spark.read.parquet(path)
-    odd = [(n, t) for n, t in df.dtypes if t not in {"string", "binary", "bigint", "double", "timestamp", "timestamp_ntz"}]
+def checked_parquet(spark: SparkSession, path: str, ignore: tuple[str, ...] = ()) -> DataFrame:
+    """Read a feature table without the columns to ``ignore``; those of other types than tables have are refused."""
+    df = spark.read.parquet(path).drop(*ignore)
+    odd = [(n, t) for n, t in df.dtypes if t not in {"string", "binary", "int", "bigint", "double", "timestamp", "timestamp_ntz"}]
     if odd:
         raise ValueError(f"unsupported columns: {odd}")
     return df

@@ -1,11 +1,12 @@
 """Features over a stream of trades.
 
 Each micro-batch is appended to a store partitioned by epoch (written over,
-so a repeated epoch changes nothing), then the batch plan runs over the
-day's store and hands on the bars that the event-time watermark has closed
-and that weren't handed on before.  The day bounds what a bar recomputes.
-Built-in windowed aggregation would drop late trades; ``collected`` keeps
-them, in the bar that is open when they arrive.
+so a repeated epoch changes nothing), with the bar each trade is collected
+in: its own, or the first one still open if its own was handed on before it
+came.  Then the batch plan runs over the day's store and hands on the bars
+that the event time has closed since the epoch before.  What was closed when
+follows from the store, so a restart goes on where the stream stopped.  The
+day bounds what a bar recomputes.
 """
 
 from __future__ import annotations
@@ -14,12 +15,13 @@ from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.functions import vector as V
 from tidemark.operators import bars as B
 from tidemark.plans.run import run_features
 from tidemark.sources.config import Feature
@@ -27,41 +29,56 @@ from tidemark.sources.config import Feature
 Deliver = Callable[[str, DataFrame], None]
 
 
+def arrived(batch: DataFrame, epoch: int) -> DataFrame:
+    """A micro-batch with ``seq`` by time, epoch and place in the batch."""
+    row = F.lit(epoch % 256 << 28) + F.pmod(F.monotonically_increasing_id(), F.lit(1 << 28))
+    return batch.withColumn("seq", V.arrival("trad_time", row))
+
+
 class LiveFeatures:
-    """State of one stream: where trades are stored, and the last bar handed on for each (feature, period)."""
+    """One stream: where its trades are stored, what is computed, and who gets it.  ``bar`` gives a time's minute bar."""
 
-    def __init__(self, universe: DataFrame, spec: list[Feature], store: str, deliver: Deliver, bars: DataFrame | None = None, bar: Column | None = None, latency_ms: int = 50, **options):
+    def __init__(self, universe: DataFrame, spec: list[Feature], store: str, deliver: Deliver, bars: DataFrame | None = None, bar: Callable[[Column], Column] = B.session_bar, latency_ms: int = 50, **options):
         self.universe, self.spec, self.store, self.deliver = universe, spec, store, deliver
         self.bars, self.bar, self.latency, self.options = bars, bar, timedelta(milliseconds=latency_ms), options
-        self.done: dict[tuple[str, int], datetime] = {}
+
+    def _stored(self, spark: SparkSession, before: int | None = None) -> DataFrame | None:
+        """Trades of all epochs, or of those before one."""
+        at = spark._jvm.org.apache.hadoop.fs.Path(self.store)
+        if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            return None
+        trades = spark.read.parquet(self.store)
+        return (trades if before is None else trades.filter(F.col("epoch") < before)).drop("epoch")
+
+    def _closed(self, trades: DataFrame | None) -> datetime | None:
+        """Bars that end up to here have been handed on once these trades were in."""
+        newest = None if trades is None else trades.agg(F.max("trad_time")).first()[0]
+        return None if newest is None else newest - self.latency
 
     def on_batch(self, batch: DataFrame, epoch: int) -> None:
         """Store a micro-batch and hand on what it closed."""
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{self.store}/epoch={epoch}")
-        trades = spark.read.parquet(self.store).drop("epoch")
-        newest = trades.agg(F.max("trad_time")).first()[0]
-        if newest is not None:
-            self._emit(trades, newest - self.latency)
-
-    def close(self, spark) -> None:
+        since = self._closed(self._stored(batch.sparkSession, epoch))
+        bar = self.bar(F.col("trad_time"))
+        if since is not None:
+            bar = F.greatest(bar, self.bar(F.lit(since + timedelta(microseconds=1)).cast("timestamp_ntz")))
+        arrived(batch, epoch).withColumn("collected", bar).write.mode("overwrite").parquet(f"{self.store}/epoch={epoch}")
+        trades = self._stored(batch.sparkSession, epoch + 1)
+        until = self._closed(trades)
+        if until is not None and until != since:
+            self._emit(trades, since, until)
+
+    def close(self, spark: SparkSession) -> None:
         """Hand on every bar left, at the end of the day."""
-        self._emit(spark.read.parquet(self.store).drop("epoch"), None)
-
-    def _emit(self, trades: DataFrame, closed: datetime | None) -> None:
-        frames = run_features(trades, self.universe, self.spec, self.bars, self.bar, **self.options)
-        for f in self.spec:
-            if f.name not in frames:
-                continue
-            got = frames[f.name] if closed is None else frames[f.name].filter(F.col("bar") <= F.lit(closed))
-            for p in f.periods:
-                last = self.done.get((f.name, p))
-                new = got.filter(F.col("period") == p)
-                new = new if last is None else new.filter(F.col("bar") > F.lit(last))
-                top = new.agg(F.max("bar")).first()[0]
-                if top is not None:
-                    self.deliver(f.name, new)
-                    self.done[f.name, p] = top
+        trades = self._stored(spark)
+        if trades is not None:
+            self._emit(trades, self._closed(trades), None)
+
+    def _emit(self, trades: DataFrame, since: datetime | None, until: datetime | None) -> None:
+        for name, got in run_features(trades, self.universe, self.spec, self.bars, F.col("collected"), **self.options).items():
+            new = got if since is None else got.filter(F.col("bar") > F.lit(since))
+            new = new if until is None else new.filter(F.col("bar") <= F.lit(until))
+            if not new.isEmpty():
+                self.deliver(name, new)
 
     def start(self, trades: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         """Run over a streaming frame of trades."""
@@ -70,13 +87,14 @@ class LiveFeatures:
 
 def tumbling(trades: DataFrame, latency: str = "50 milliseconds") -> DataFrame:
     """Right-closed minute bars by built-in windows; trades behind the watermark are dropped."""
-    t = trades.withWatermark("trad_time", latency)
+    # event time needs an instant; wall-clock times are read in the session's zone and given back as they were
+    t = trades.withColumn("trad_time", F.col("trad_time").cast("timestamp")).withWatermark("trad_time", latency)
     w = F.window(F.col("trad_time") - F.expr("interval 1 microsecond"), "1 minute")
-    return t.groupBy(w, "security").agg(F.count("*").alias("count"), F.sum(F.col("price") * F.col("volume")).alias("amount")).select(F.col("window.end").alias("bar"), "security", "count", "amount")
+    return t.groupBy(w, "security").agg(F.count("*").alias("count"), F.sum(F.col("price") * F.col("volume")).alias("amount")).select(F.col("window.end").cast("timestamp_ntz").alias("bar"), "security", "count", "amount")
 
 
 def collected(trades: DataFrame) -> DataFrame:
-    """Add ``collected``: each trade's bar, or the bar open when it arrives if its own is closed (security by security)."""
+    """Add ``collected``: each trade's bar, or the bar open when it arrives if its own is closed (security by security, ``seq`` numbering arrivals)."""
     with_bar = trades.withColumn("bar", B.session_bar(F.col("trad_time")))
     schema = T.StructType([*with_bar.schema.fields, T.StructField("collected", T.TimestampNTZType())])
 
