@@ -102,6 +102,18 @@ def test_run_features(spark):
     assert run_features(all_trades(spark), small_universe(spark), [config.Feature("mine", (1, 5))])["mine"].count() == 6
 
 
+def test_periods_add_up_minutes(spark):
+    many = spark.range(3000).selectExpr(
+        "concat('00000', id % 3, '.XSHE') AS security", f"timestampadd(SECOND, cast(id * 7919 % 7200 AS int), timestamp_ntz'{DAY} 09:31:00') AS trad_time",
+        "cast(id % 11 AS double) AS price", "cast(id % 13 + 1 AS double) AS volume", "id % 32 AS bid_seq", "id % 29 AS offer_seq", "if(id % 5 < 2, 1, -1) AS side", "id * 7919 % 7200 * 4096 + id AS seq",
+    )
+    everyone = universe.from_json(spark, json.dumps({"sh": [], "sh_closeprice": [], "sz": [f"00000{i}.XSHE" for i in range(3)], "sz_closeprice": [1.0] * 3}))
+    for name, how in (("candle_stick", {}), ("candle_stick", {"price_filter": "compat"}), ("debug_trade", {})):
+        got = run_features(many, everyone, [config.Feature(name, (1, 5, 30))], **{name: how})[name]
+        want = X.feature(name)(B.keyed(many, [1, 5, 30]), **how)
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect())) and want.count() > 300
+
+
 def test_sinks(spark, tmp_path):
     bars = B.spine(spark, DAY).filter("bar_no = 4")
     got = run_features(all_trades(spark), small_universe(spark), [config.Feature("order_flow_min", (1,))], bars)["order_flow_min"]

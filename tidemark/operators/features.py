@@ -34,22 +34,36 @@ def _with_grid(df: DataFrame, grid: DataFrame | None) -> DataFrame:
     return df if grid is None else grid.select(*KEY, "prev_close").join(df, KEY, "left")
 
 
+def trade_counts(trades: DataFrame, keys: list[str]) -> DataFrame:
+    """Amount and count by ``keys``; of any finer rows of the same kind too, so that periods add up minutes."""
+    fine = "amount" in trades.columns
+    amount, count = (F.sum("amount"), F.sum("count")) if fine else (F.sum(V.amount()), F.count("*").cast("double"))
+    return trades.groupBy(*keys).agg(amount.alias("amount"), count.alias("count"))
+
+
 def debug_trade(trades: DataFrame, grid: DataFrame | None = None) -> DataFrame:
     """Amount, count, and the running count of bars with trades."""
-    got = trades.groupBy(*KEY).agg(F.sum(V.amount()).alias("amount"), F.count("*").cast("double").alias("count"))
-    got = _with_grid(got, grid)
+    got = _with_grid(trade_counts(trades, KEY), grid)
     filled = got.select(*KEY, F.coalesce("amount", F.lit(0.0)).alias("amount"), F.coalesce("count", F.lit(0.0)).alias("count"))
     ran = G.running((F.col("count") > 0).cast("double"), ["period", "security"], ["bar"])
     return filled.withColumn("term_count", F.when(F.col("count") > 0, ran).otherwise(0.0))
 
 
-def candle_stick(trades: DataFrame, grid: DataFrame | None = None, price_filter: str = "clean") -> DataFrame:
-    """Counts, volumes and amounts (all, buy, sell) and low, high, open, close.
+_ADDED = ["cjb", "bcjb", "scjb", "volume_nfq", "bvolume_nfq", "svolume_nfq", "amount", "bamount", "samount"]
 
-    An empty bar takes open and close from the last close before it (or the
-    previous day's), and low and high 0.  ``price_filter="compat"`` counts
-    rows without a positive price, with price, volume and amount 0.
-    """
+
+def candles(trades: DataFrame, keys: list[str], price_filter: str = "clean") -> DataFrame:
+    """Candles by ``keys`` with the arrival of their ends; of trades, or of any finer candles, so that periods add up minutes."""
+    if "cjb" in trades.columns:
+        return trades.groupBy(*keys).agg(
+            *(F.sum(c).alias(c) for c in _ADDED),
+            F.min("lowprice_nfq").alias("lowprice_nfq"),
+            F.max("highprice_nfq").alias("highprice_nfq"),
+            F.min_by("openprice_nfq", "_from").alias("openprice_nfq"),
+            F.max_by("closeprice_nfq", "_to").alias("closeprice_nfq"),
+            F.min("_from").alias("_from"),
+            F.max("_to").alias("_to"),
+        )
     ok = F.col("price") > 0
     if price_filter == "clean":
         trades = trades.filter(ok)
@@ -58,7 +72,7 @@ def candle_stick(trades: DataFrame, grid: DataFrame | None = None, price_filter:
     buy = F.col("side") == 1
     sell = ~buy if price_filter == "clean" else ~buy & ok
     amount = V.amount()
-    got = trades.groupBy(*KEY).agg(
+    return trades.groupBy(*keys).agg(
         F.count("*").cast("double").alias("cjb"),
         F.count(_when(buy, 1)).cast("double").alias("bcjb"),
         F.count(_when(sell, 1)).cast("double").alias("scjb"),
@@ -72,7 +86,19 @@ def candle_stick(trades: DataFrame, grid: DataFrame | None = None, price_filter:
         F.max("price").alias("highprice_nfq"),
         F.min_by("price", ORDER).alias("openprice_nfq"),
         F.max_by("price", ORDER).alias("closeprice_nfq"),
+        F.min(ORDER).alias("_from"),
+        F.max(ORDER).alias("_to"),
     )
+
+
+def candle_stick(trades: DataFrame, grid: DataFrame | None = None, price_filter: str = "clean") -> DataFrame:
+    """Counts, volumes and amounts (all, buy, sell) and low, high, open, close.
+
+    An empty bar takes open and close from the last close before it (or the
+    previous day's), and low and high 0.  ``price_filter="compat"`` counts
+    rows without a positive price, with price, volume and amount 0.
+    """
+    got = candles(trades, KEY, price_filter).select(*KEY, *CANDLE_COLUMNS)
     if grid is None:
         return got
     got = _with_grid(got, grid)
@@ -269,6 +295,10 @@ FEATURES: dict[str, Maker] = {
 }
 
 
+#: Features whose rows add up: rows of minutes stand for their trades.
+MINUTES: dict[str, Callable[..., DataFrame]] = {"debug_trade": lambda t, keys, **_: trade_counts(t, keys), "candle_stick": lambda t, keys, price_filter="clean": candles(t, keys, price_filter)}
+
+
 def register(name: str, make: Maker) -> None:
     """Add a feature: a plan over keyed trades."""
     FEATURES[name] = make

@@ -14,7 +14,8 @@ def run_features(trades: DataFrame, universe: DataFrame, spec: list[Feature], ba
     """Feature name to rows (period, security, bar, columns), dense over the universe if ``bars`` (bar, bar_no) are given.
 
     ``options``: keyword arguments by feature name.  The periods of one
-    feature share one plan; trades outside the universe are dropped.  User
+    feature share one plan, and if its rows add up they are made of its minute
+    bars, else every trade goes once to each period; trades outside the universe are dropped.  User
     features count like any other once registered.
     """
     plan = publish_plan(spec, X.FEATURES)
@@ -24,7 +25,12 @@ def run_features(trades: DataFrame, universe: DataFrame, spec: list[Feature], ba
         periods = [p for p, names in plan.by_period.items() if f.name in names]
         if not f.open or not periods:
             continue
-        keyed = B.keyed(traced, periods, bar, phase, bars, period_input)
+        rows, minute = traced, bar
+        if f.name in X.MINUTES and len(periods) > 1 and period_input == "accumulated":
+            own = options.get(f.name, {})
+            rows = X.MINUTES[f.name](traced.withColumn("minute", B.session_bar(F.col("trad_time")) if bar is None else bar), ["security", "minute"], **own)
+            minute = F.col("minute")
+        keyed = B.keyed(rows, periods, minute, phase, bars, period_input)
         grid = None
         if bars is not None:
             ends = B.period_of(bars, periods, phase).select("period", F.col("period_end").alias("bar")).distinct()
