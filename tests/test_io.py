@@ -188,6 +188,18 @@ def test_live_late_trades_and_restart(spark, tmp_path):
     assert sorted(seen)[-2:] == [(5, "05", 6.0), (5, "10", 1.0)] and len(seen) == 7
 
 
+def test_limits_give_way_to_options(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        (tmp_path / "in" / f"{i}.txt").write_text(SZ[0] + "\n")
+    assert trades.LIMITS["text"] and trades.LIMITS["kafka"]
+    stream = trades.stream_trades(spark, {"SZ": {"format": "text", "path": str(tmp_path / "in"), "maxFilesPerTrigger": "1"}}, DAY)
+    sizes = []
+    q = stream.writeStream.foreachBatch(lambda b, e: sizes.append(b.count())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sizes == [1, 1, 1]
+
+
 def test_arrival_is_by_time_then_line(spark):
     day = F.lit(DAY).cast("date")
     rows = ["_,_,_,5,1,000001,_,10.00,100,70,09:31:01.000", "_,_,_,5,1,000001,_,11.00,100,70,09:31:01.000", "_,_,_,5,1,000001,_,12.00,100,70,09:31:00.999"]

@@ -113,6 +113,28 @@ def time_of_day(text: Name) -> Column:
     return ((part(1, 2) * 60 + part(4, 2)) * 60 + part(7, 2)).cast("long") * 1000 + F.coalesce(part(10, 3), F.lit(0))
 
 
+def time_text(ms: Name) -> Column:
+    """Milliseconds since midnight as ``hh:mm:ss.xxx``; the inverse of ``time_of_day``."""
+    x = col(ms).cast("long")
+    part = lambda by, n: F.pmod(F.floor(x / by), F.lit(n))
+    return F.format_string("%02d:%02d:%02d.%03d", F.floor(x / 3_600_000), part(60_000, 60), part(1000, 60), F.pmod(x, F.lit(1000)))
+
+
+def same_minute(x: Name, y: Name) -> Column:
+    """Whether two times lie in the same clock minute."""
+    return F.date_trunc("MINUTE", col(x)) == F.date_trunc("MINUTE", col(y))
+
+
+def next_minute(at: Name) -> Column:
+    """Start of the clock minute after a time's."""
+    return F.date_trunc("MINUTE", col(at)).cast("timestamp_ntz") + F.expr("interval 1 minute")
+
+
+def passed(since: Name, until: Name, ms: int) -> Column:
+    """Whether at least ``ms`` milliseconds lie between two times."""
+    return F.timestamp_diff("MICROSECOND", col(since), col(until)) >= ms * 1000
+
+
 def at_time(day: Name, text: Name) -> Column:
     """A day's wall-clock time ``hh:mm:ss.xxx``."""
     return F.timestamp_add("MILLISECOND", time_of_day(text), col(day).cast("timestamp_ntz"))

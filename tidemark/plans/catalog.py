@@ -528,6 +528,17 @@ def sink_roundtrip(spark, d):
 _ONE_BAR = "1996-10-01"
 
 
+_add(
+    "time_functions",
+    """SELECT event_id, strftime(ts, '%H:%M:%S.%g') AS text, date_trunc('minute', ts) = date_trunc('minute', ts + INTERVAL 20 SECOND) AS same,
+       CAST(date_trunc('minute', ts) + INTERVAL 1 MINUTE AS TIMESTAMP) AS next, date_trunc('minute', ts) + INTERVAL 30 SECOND <= ts AS passed FROM events""",
+)(
+    lambda s, d: s.read.parquet(f"{d}/events.parquet").withColumn("later", F.col("ts") + F.expr("interval 20 second")).withColumn("start", F.date_trunc("MINUTE", "ts").cast("timestamp_ntz")).select(
+        "event_id", V.time_text(V.time_of_day(F.date_format("ts", "HH:mm:ss.SSS"))).alias("text"), V.same_minute("ts", "later").alias("same"), V.next_minute("ts").alias("next"), V.passed("start", "ts", 30_000).alias("passed"),
+    )
+)
+
+
 @_add("publish_ipc", T + f" SELECT security, bar, {_q6(['sum(volume * price)', 'CAST(count(*) AS DOUBLE)'], ['amount', 'count'])} FROM t WHERE bar = TIMESTAMP '{_ONE_BAR}' GROUP BY security, bar")
 def publish_ipc(spark, d):
     """K2, K5, K6: one bar as the bytes of an Arrow stream, read again."""

@@ -64,6 +64,10 @@ def read_trades(spark: SparkSession, paths: dict[str, str], day: str) -> DataFra
     return out
 
 
+#: What a micro-batch takes at most, by source, unless the options say otherwise: a burst waits at the source.
+LIMITS = {"text": {"maxFilesPerTrigger": "1000"}, "kafka": {"maxOffsetsPerTrigger": "10000000"}}
+
+
 def stream_trades(spark: SparkSession, sources: dict[str, dict], day: str) -> DataFrame:
     """A streaming frame of trades.  ``sources``: for each exchange a format and its options (text folder, socket, kafka).
 
@@ -72,7 +76,8 @@ def stream_trades(spark: SparkSession, sources: dict[str, dict], day: str) -> Da
     out = None
     for exchange, spec in sources.items():
         options = dict(spec)
-        lines = spark.readStream.format(options.pop("format")).options(**options).load()
+        kind = options.pop("format")
+        lines = spark.readStream.format(kind).options(**LIMITS.get(kind, {}) | options).load()
         lines = lines.select(F.col("value").cast("string").alias("value"))
         part = PARSERS[exchange](lines, F.lit(day).cast("date"), F.lit(0).cast("long"))
         out = part if out is None else out.unionByName(part)
