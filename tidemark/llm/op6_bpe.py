@@ -36,7 +36,7 @@ SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")
 WHITE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 SPACE, LETTER, NUMBER, OTHER = range(4)
 #: Words and pairs kept per worker before the tables of known ones start anew.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 1_000_000
 
 
 def byte_symbols() -> dict[str, int]:
@@ -131,23 +131,31 @@ class Bpe:
         self.pairs, self.fit = np.zeros(0, np.int64), np.zeros(0, bool)
 
     def forget_words(self) -> None:
-        """Start the table of known words anew: hashes (sorted), of each word the place of its ids and bytes, and those."""
-        self.known, self.at, self.count, self.raw_at, self.raw_size = (np.zeros(0, x) for x in (np.uint64, *[np.int64] * 4))
+        """Start the table of known words anew: hashes (sorted) and the words' numbers; by number, where each word's ids and bytes are, and those."""
+        self.known, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.at, self.count, self.raw_at, self.raw_size = (np.zeros(0, np.int64) for _ in range(4))
         self.ids, self.raw = np.zeros(0, np.int32), np.zeros(0, np.uint8)
 
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of the words with these hashes, -1 for unknown ones."""
+        if not len(self.known):
+            return np.full(len(hashes), -1)
+        pos = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        return np.where(self.known[pos] == hashes, self.number[pos], -1)
+
     def learn(self, words: list[bytes], hashes: np.ndarray) -> None:
         """Encode new words (of ascending, distinct hashes) and add them to the table."""
         got = self.propose_and_verify(words)
         count, size = np.array([len(g) for g in got], np.int64), np.array([len(w) for w in words], np.int64)
         into = np.searchsorted(self.known, hashes)
-        new = (hashes, len(self.ids) + np.cumsum(count) - count, count, len(self.raw) + np.cumsum(size) - size, size)
-        old = (self.known, self.at, self.count, self.raw_at, self.raw_size)
-        self.known, self.at, self.count, self.raw_at, self.raw_size = (np.insert(x, into, y) for x, y in zip(old, new, strict=True))
+        self.known, self.number = np.insert(self.known, into, hashes), np.insert(self.number, into, len(self.at) + np.arange(len(words)))
+        new = (len(self.ids) + np.cumsum(count) - count, count, len(self.raw) + np.cumsum(size) - size, size)
+        self.at, self.count, self.raw_at, self.raw_size = (np.concatenate(x) for x in zip((self.at, self.count, self.raw_at, self.raw_size), new, strict=True))
         self.ids = np.concatenate([self.ids, np.array([x for g in got for x in g], np.int32)])
         self.raw = np.concatenate([self.raw, np.frombuffer(b"".join(words), np.uint8)])
 
     def unlike(self, buf: np.ndarray, begins: np.ndarray, sizes: np.ndarray, pos: np.ndarray) -> np.ndarray:
-        """Which words differ from the known ones at ``pos``, whose hashes they have."""
+        """Which words differ from the known ones of numbers ``pos``, whose hashes they have."""
         size = np.where(self.raw_size[pos] == sizes, sizes, 0)
         differs = _gathered(buf, begins, size) != _gathered(self.raw, self.raw_at[pos], size)
         of = np.searchsorted(np.cumsum(size), np.flatnonzero(differs), side="right")
@@ -251,15 +259,17 @@ class Bpe:
         if len(self.known) > KNOWN_WORDS:
             self.forget_words()
         unique, where, back = np.unique(h, return_index=True, return_inverse=True)
-        new = np.flatnonzero(~np.isin(unique, self.known, assume_unique=True))
+        number = self.numbers(unique)
+        new = np.flatnonzero(number < 0)
         raw = buf.tobytes()
 
         def words(which: np.ndarray) -> list[bytes]:
             return [raw[a:b] for a, b in zip(begins[which].tolist(), ends[which].tolist(), strict=True)]
 
         if len(new):
+            number[new] = len(self.at) + np.arange(len(new))
             self.learn(words(where[new]), unique[new])
-        pos = np.searchsorted(self.known, unique)[back]
+        pos = number[back]
         at, count, table = self.at[pos], self.count[pos], self.ids
         special = np.flatnonzero(np.isin(begins, [lo for lo, _ in spans])) if spans else np.zeros(0, np.int64)
         alone = np.setdiff1d(self.unlike(buf, begins, ends - begins, pos), special)
