@@ -82,7 +82,7 @@ def removed(*tables: DataFrame) -> None:
 def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
     """``df.mapInArrow``; batches are bounded by bytes unless the session says how, as texts differ too much to be counted."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(df.sparkSession.conf.get(name).rstrip("b")) == 64 << 20:  # Spark's own default
+    if df.sparkSession.conf.get(name) == f"{64 << 20}b":  # Spark's own default
         df.sparkSession.conf.set(name, str(ARROW_BYTES))
     return df.mapInArrow(run, schema)
 
