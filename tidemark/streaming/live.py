@@ -94,7 +94,7 @@ def tumbling(trades: DataFrame, latency: str = "50 milliseconds") -> DataFrame:
 
 
 def collected(trades: DataFrame) -> DataFrame:
-    """Add ``collected``: each trade's bar, or the bar open when it arrives if its own is closed (security by security, ``seq`` numbering arrivals)."""
+    """Add ``collected``: each trade's bar, or the bar open when it arrives if its own is closed (security by security; ``seq`` must number arrivals, which that of ``stream_trades`` does by time only)."""
     with_bar = trades.withColumn("bar", B.session_bar(F.col("trad_time")))
     schema = T.StructType([*with_bar.schema.fields, T.StructField("collected", T.TimestampNTZType())])
 
