@@ -217,9 +217,10 @@ def check_repeats(spark, docs):
     return got
 
 
-@pytest.mark.parametrize("share", [1000, 1 << 30])
-def test_repeats(spark, monkeypatch, share):
+@pytest.mark.parametrize(("share", "known"), [(1000, 50_000), (1 << 30, 50_000), (1 << 30, 20), (1 << 30, 0)])
+def test_repeats(spark, monkeypatch, share, known):
     monkeypatch.setattr(sub.shared, "HOT_SHARE", share)
+    monkeypatch.setattr(sub, "KNOWN", known)
     rng = np.random.default_rng(7)
     word = lambda n: " ".join(f"w{x}é" for x in rng.integers(100_000, size=n))
     line, other, short, passage = word(32), "这是一个没有空格的长句子" * 20, "a short line that many have", word(60)

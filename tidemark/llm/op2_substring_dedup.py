@@ -15,7 +15,8 @@ a passage is the least hash of ``SHINGLE`` words in it, so equal passages have
 equal anchors; anchors number about one in thirteen words.  Only passages
 whose anchor stands in two places or more are hashed themselves.  Those of an
 anchor are compared in one task, unless the anchor holds more than one in
-``shared.hot_share`` places: its passages are grouped one by one.
+``shared.hot_share`` places: its passages are grouped one by one, and the kept
+places of the most frequent (at most ``KNOWN``) go to every task.
 
 Defined cases: null and empty texts have no units; documents without a
 doc_id take no part; rows that share doc_id and text are one document, those
@@ -40,6 +41,8 @@ from tidemark.llm import shared
 LINE_CHARS = 200
 #: Words of a passage, and of the shingles of which the least is its anchor.
 PASSAGE, SHINGLE = 50, 25
+#: Passages of hot anchors whose kept places are sent to every task: those with more than one in so many places.
+KNOWN = 50_000
 _KEY = ["h1", "h2"]
 #: What ranks documents: the id, and a hash of the text for rows that share it.
 _DOC = ["doc_id", "tie"]
@@ -185,11 +188,15 @@ def _place() -> Column:
     return F.struct(*_DOC, "start")
 
 
-def _not_first(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Spans of ``rows`` (stored; doc_id, tie, start, end and a digest) whose digest stands at a smaller place too."""
+def _firsts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each digest that stands at several places: the smallest (first, first_end), and how many there are (n)."""
     # partial sums first, so a unit of a third of all documents is one row a task; only repeated digests go on
     first = rows.groupBy(*keys).agg(F.min(_place()).alias("first"), F.max(_place()).alias("last"), F.min_by("end", _place()).alias("first_end"), F.count("*").alias("n"))
-    first = shared.stored(first.filter(F.col("first") < F.col("last")).select(*keys, "first", "first_end", "n"))
+    return shared.stored(first.filter(F.col("first") < F.col("last")).select(*keys, "first", "first_end", "n"))
+
+
+def _not_first(rows: DataFrame, first: DataFrame, keys: list[str]) -> DataFrame:
+    """Spans of ``rows`` (stored; doc_id, tie, start, end and a digest) whose digest stands at a smaller place too."""
     gone = shared.join_by_key(rows, first, keys, "n").filter(_place() > F.col("first"))
     # within one document the kept occurrence stays whole where another one overlaps it
     own = (F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.tie") == F.col("tie"))
@@ -197,6 +204,32 @@ def _not_first(rows: DataFrame, keys: list[str]) -> DataFrame:
     return gone.select(*_DOC, start.alias("start"), "end", F.col("first.doc_id").alias("first_doc_id")).filter("start < end")
 
 
+def _spans_of_known(rows: list):
+    """Of runs, the spans of passages whose kept places are known (``rows``: h, first, first_end), those that overlap as one."""
+    rows = sorted((r["h"], r["first"]["doc_id"], r["first"]["tie"], r["first"]["start"], r["first_end"]) for r in rows)
+    known, first_doc, first_tie, first_start, first_end = (np.array(c, np.int64) for c in zip(*rows, strict=True))
+
+    def run(batches):
+        for batch in batches:
+            of = np.repeat(np.arange(batch.num_rows), np.asarray(batch.column("hashes").value_lengths()))
+            h, start, end = (np.asarray(batch.column(c).flatten()).astype(np.int64) for c in ("hashes", "starts", "ends"))
+            doc, tie = (np.asarray(batch.column(c))[of] for c in _DOC)
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            own = (first_doc[at] == doc) & (first_tie[at] == tie)
+            gone = (known[at] == h) & ~(own & (start <= first_start[at]))
+            # the kept occurrence stays whole where another one overlaps it
+            start = np.where(own, np.maximum(start, first_end[at]), start)
+            i = np.flatnonzero(gone & (start < end))
+            new = np.ones(len(i), bool)
+            new[1:] = (np.diff(i) > 1) | (of[i][1:] != of[i][:-1]) | (first_doc[at[i]][1:] != first_doc[at[i]][:-1])
+            begin = np.flatnonzero(new)
+            low, high = (np.minimum.reduceat(start[i], begin), np.maximum.reduceat(end[i], begin)) if len(i) else (start[:0], end[:0])
+            i = i[begin]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[i]), pa.array(tie[i]), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), pa.array(first_doc[at[i]])], names=[*_DOC, "start", "end", "first_doc_id"])
+
+    return run
+
+
 def passages(docs: DataFrame) -> DataFrame:
     """Spans of the passages of ``docs`` (doc_id, tie, text; none null) that stand at a smaller place too."""
     anchors = shared.stored(shared.mapped(docs, _anchors, "anchor long, doc_id long, tie long, at int"))
@@ -211,10 +244,18 @@ def passages(docs: DataFrame) -> DataFrame:
         return shared.stored(shared.mapped(_in_order(runs), _again, _SPANS))
     runs = shared.stored(runs)
     cold = shared.stored(shared.mapped(_in_order(runs.join(F.broadcast(hot), "anchor", "left_anti")), _again, _SPANS))
-    each = runs.join(F.broadcast(hot), "anchor").select(*_DOC, F.explode(F.arrays_zip("hashes", "starts", "ends")).alias("x"))
+    runs_of_hot = runs.join(F.broadcast(hot), "anchor").select(*_DOC, "hashes", "starts", "ends")
+    each = runs_of_hot.select(*_DOC, F.explode(F.arrays_zip("hashes", "starts", "ends")).alias("x"))
     each = shared.stored(each.select(*_DOC, F.col("x.hashes").alias("h"), F.col("x.starts").alias("start"), F.col("x.ends").alias("end")))
-    shared.removed(runs)
-    return cold.unionByName(_not_first(each, ["h"]))
+    first = _firsts(each, ["h"])
+    is_known = F.col("n") * KNOWN > (first.agg(F.sum("n")).first()[0] or 0)
+    known = first.filter(is_known).collect()  # no more than KNOWN rows
+    spans = _not_first(each.join(F.broadcast(first.filter(is_known).select("h")), "h", "left_anti"), first.filter(~is_known), ["h"])
+    if known:
+        spans = spans.unionByName(shared.mapped(runs_of_hot, _spans_of_known(known), _SPANS))
+    spans = shared.stored(spans)
+    shared.removed(runs, each, first)
+    return cold.unionByName(spans)
 
 
 def _in_order(runs: DataFrame) -> DataFrame:
@@ -226,7 +267,7 @@ def _repeats(docs: DataFrame, least: int) -> DataFrame:
     docs = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(*_DOC, "text")
     longer = passages(docs)
     lines = shared.stored(shared.mapped(docs, _lines_of(least), "doc_id long, tie long, h1 long, h2 long, start int, end int"))
-    gone = _not_first(lines, _KEY).unionByName(longer).distinct()
+    gone = _not_first(lines, _firsts(lines, _KEY), _KEY).unionByName(longer).distinct()
     by_start = Window.partitionBy(*_DOC).orderBy("start", "end", "first_doc_id")
     reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     merged = gone.withColumn("reach", reach).withColumn("new", F.when(F.col("reach").isNull() | (F.col("start") > F.col("reach") + 1), 1).otherwise(0))
