@@ -18,11 +18,14 @@ MODULES = (
     "op8_line_dedup",
     "op9_secret_scan",
     "op10_pii",
+    "op11_url_filter",
+    "op12_whitening",
+    "op13_phrases",
 )
 
 
 def queries():
-    """Name to ``(spark, sf_dir) -> DataFrame`` of the ten operators."""
+    """Name to ``(spark, sf_dir) -> DataFrame`` of the operators."""
     return {name: import_module(f"{__name__}.{name}").query for name in MODULES}
 
 
