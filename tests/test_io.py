@@ -108,10 +108,20 @@ def test_periods_add_up_minutes(spark):
         "cast(id % 11 AS double) AS price", "cast(id % 13 + 1 AS double) AS volume", "id % 32 AS bid_seq", "id % 29 AS offer_seq", "if(id % 5 < 2, 1, -1) AS side", "id * 7919 % 7200 * 4096 + id AS seq",
     )
     everyone = universe.from_json(spark, json.dumps({"sh": [], "sh_closeprice": [], "sz": [f"00000{i}.XSHE" for i in range(3)], "sz_closeprice": [1.0] * 3}))
-    for name, how in (("candle_stick", {}), ("candle_stick", {"price_filter": "compat"}), ("debug_trade", {})):
+    rounded = lambda df, cols: sorted(str([round(x, 6) + 0.0 if isinstance(x, float) else x for x in r]) for r in df.select(*cols).collect())
+    for name, how in (("candle_stick", {}), ("candle_stick", {"price_filter": "compat"}), ("debug_trade", {}), ("order_flow_min", {}), ("trade_amount_std", {}), ("trade_amount_quantile", {"first_logret": "zero"})):
         got = run_features(many, everyone, [config.Feature(name, (1, 5, 30))], **{name: how})[name]
         want = X.feature(name)(B.keyed(many, [1, 5, 30]), **how)
-        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect())) and want.count() > 300
+        assert rounded(got, want.columns) == rounded(want, want.columns) and want.count() > 300
+    # every feature of the shipped list from one scan and one exchange
+    from pyspark import StorageLevel
+
+    kept = run_features(many, everyone, config.SHIPPED, keep=StorageLevel.DISK_ONLY)
+    plain = run_features(many, everyone, config.SHIPPED)
+    assert len(kept) == 7
+    for name in ("order_flow_min_big", "trade_amount_dollar"):
+        assert rounded(kept[name], plain[name].columns) == rounded(plain[name], plain[name].columns)
+    many.sparkSession.catalog.clearCache()
 
 
 def test_sinks(spark, tmp_path):
@@ -142,52 +152,6 @@ def test_sinks(spark, tmp_path):
     assert ids[0] == "600000.XSHG"
 
 
-def test_live(spark, tmp_path):
-    src = tmp_path / "in"
-    src.mkdir()
-    (src / "a.txt").write_text("\n".join(SZ) + "\n")
-    day = spark.read.text(str(src))
-    stream = trades.stream_trades(spark, {"SZ": {"format": "text", "path": str(src)}}, DAY)
-    seen = []
-    run = live.LiveFeatures(small_universe(spark), [config.Feature("debug_trade", (1,))], str(tmp_path / "store"), lambda f, df: seen.extend((f, r["security"], r["bar"], r["count"]) for r in df.collect()))
-    q = run.start(stream, str(tmp_path / "cp"))
-    q.awaitTermination(120)
-    run.close(spark)
-    want = X.debug_trade(B.keyed(trades.parse_sz(day, F.lit(DAY).cast("date")), [1])).collect()
-    assert sorted(seen) == sorted(("debug_trade", r["security"], r["bar"], r["count"]) for r in want)
-
-
-def test_late_goes_to_open_bar(spark, tmp_path):
-    from tidemark.sources.schemas import TRADE_SCHEMA
-
-    at = lambda m: dt.datetime.fromisoformat(f"{DAY} 10:{m:02d}:30")
-    rows = [("A", "SZ", at(m), 1.0, 1.0, 1, 2, -1, i) for i, m in enumerate((1, 3, 2, 4))]
-    spark.createDataFrame(rows, TRADE_SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(TRADE_SCHEMA).parquet(str(tmp_path / "in"))
-    q = live.collected(stream).writeStream.format("memory").queryName("late_rows").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = [r["collected"].minute for r in spark.sql("SELECT * FROM late_rows ORDER BY seq").collect()]
-    assert got == [2, 4, 4, 5]
-
-
-def test_live_late_trades_and_restart(spark, tmp_path):
-    from tidemark.sources.schemas import TRADE_SCHEMA
-
-    at = lambda t: dt.datetime.fromisoformat(f"{DAY} 10:{t}")
-    batch = lambda times: spark.createDataFrame([("000001.XSHE", "SZ", at(t), 1.0, 1.0, 1, 2, -1, 0) for t in times], TRADE_SCHEMA)
-    seen = []
-    make = lambda: live.LiveFeatures(small_universe(spark), [config.Feature("debug_trade", (1, 5))], str(tmp_path / "store"), lambda f, df: seen.extend((r["period"], r["bar"].strftime("%M"), r["count"]) for r in df.collect()))
-    run = make()
-    run.on_batch(batch(["01:30", "02:30", "03:00.100"]), 0)
-    assert sorted(seen) == [(1, "02", 1.0), (1, "03", 1.0)]
-    run = make()  # a restart knows from the store what was handed on
-    run.on_batch(batch(["01:40", "02:10", "04:30"]), 1)
-    run.on_batch(batch(["05:30"]), 2)
-    assert sorted(seen)[2:] == [(1, "04", 3.0), (1, "05", 1.0), (5, "05", 6.0)]
-    run.close(spark)
-    assert sorted(seen)[-2:] == [(5, "05", 6.0), (5, "10", 1.0)] and len(seen) == 7
-
-
 def test_limits_give_way_to_options(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for i in range(3):
@@ -200,8 +164,46 @@ def test_limits_give_way_to_options(spark, tmp_path):
     assert sizes == [1, 1, 1]
 
 
-def test_arrival_is_by_time_then_line(spark):
+def test_arrival_is_by_line(spark):
     day = F.lit(DAY).cast("date")
     rows = ["_,_,_,5,1,000001,_,10.00,100,70,09:31:01.000", "_,_,_,5,1,000001,_,11.00,100,70,09:31:01.000", "_,_,_,5,1,000001,_,12.00,100,70,09:31:00.999"]
     got = trades.parse_sz(lines(spark, rows).coalesce(1), day).orderBy("seq")
-    assert [r["price"] for r in got.collect()] == [12.0, 10.0, 11.0]
+    assert [r["price"] for r in got.collect()] == [10.0, 11.0, 12.0]
+    many = trades.parse_sz(spark.range(0, 3000, 1, 1000).selectExpr("concat('_,_,_,5,1,000001,_,', id + 1, ',100,70,09:31:01.000') AS value"), day)
+    assert [r["price"] for r in many.orderBy("seq").collect()] == [float(i + 1) for i in range(3000)] and many.select("seq").distinct().count() == 3000
+
+
+def test_arrival_in_files(spark, tmp_path):
+    """Lines of several files, each of many splits, in the order of the names and lines; empty lines and a last line without its end count."""
+    (tmp_path / "a b").mkdir()
+    n = 0
+    for name, size, end in (("2 x.csv", 1500, ""), ("1%20.csv", 700, "\n"), ("3.csv", 1, "\n"), ("4.csv", 0, "")):
+        text = [f"_,_,_,5,1,000001,_,{{}},100,70,09:31:{i % 60:02d}.000" + "\n" * (i % 3) for i in range(size)]
+        (tmp_path / "a b" / name).write_text("\n".join(text) + end)
+    for name in ("1%20.csv", "2 x.csv", "3.csv"):
+        at = tmp_path / "a b" / name
+        parts = at.read_text().split("{}")
+        at.write_text("".join(p + (str(n + i + 1) if i + 1 < len(parts) else "") for i, p in enumerate(parts)))
+        n += len(parts) - 1
+    split, cost = "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"
+    for size, open_cost in (("700", "0"), ("64k", "1m"), ("64k", "0")):
+        spark.conf.set(split, size)
+        spark.conf.set(cost, open_cost)
+        try:
+            got = trades.read_trades(spark, {"SZ": str(tmp_path / "a b")}, DAY)
+            rows = [r["price"] for r in got.orderBy("seq").collect()]
+            assert size != "700" or got.rdd.getNumPartitions() > 40
+        finally:
+            spark.conf.unset(split)
+            spark.conf.unset(cost)
+        assert rows == [float(i + 1) for i in range(n)] and n == 2201
+
+
+def test_packed(spark):
+    from tidemark.functions import vector as V
+
+    df = spark.createDataFrame([(3, 5), (0, 15)], "a long, b long")
+    assert [r[0] for r in df.select(V.packed(("a", 8), ("b", 4))).collect()] == [53, 15]
+    for a, b in ((1, 16), (256, 0), (-1, 0), (0, -1)):
+        with pytest.raises(Exception, match="not in"):
+            spark.createDataFrame([(a, b)], "a long, b long").select(V.packed(("a", 8), ("b", 4))).collect()

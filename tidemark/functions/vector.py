@@ -140,14 +140,14 @@ def at_time(day: Name, text: Name) -> Column:
     return F.timestamp_add("MILLISECOND", time_of_day(text), col(day).cast("timestamp_ntz"))
 
 
-#: Bits of an arrival number that count rows; the milliseconds of the day stand above them.
-ROW_BITS = 36
-
-
-def arrival(at: Name, row: Name) -> Column:
-    """Order of arrival as one long: the time of day in milliseconds, then the row number (modulo 2**36)."""
-    day = F.date_trunc("DAY", col(at)).cast("timestamp_ntz")
-    return F.timestamp_diff("MILLISECOND", day, col(at)) * (1 << ROW_BITS) + F.pmod(col(row), F.lit(1 << ROW_BITS))
+def packed(*parts: tuple[Name, int]) -> Column:
+    """One long of several numbers, the first one leading, each in so many bits (63 in all); one that doesn't fit is an error."""
+    out = None
+    for x, bits in parts:
+        x = col(x).cast("long")
+        fits = F.when((x >= 0) & (x < 1 << bits), x).otherwise(F.raise_error(F.concat(F.lit(f"not in {bits} bits: "), x.cast("string"))).cast("long"))
+        out = fits if out is None else F.shiftleft(out, bits) + fits
+    return out
 
 
 def file_stem(at: Name) -> Column:

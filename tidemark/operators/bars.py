@@ -19,6 +19,15 @@ def session_bar(at: Column) -> Column:
     return F.when(at <= auction, auction).when(at <= opening, opening).otherwise(V.bar_end(at))
 
 
+def first_open(ms: int) -> int:
+    """The first bar of ``session_bar`` that ends after a time; both in milliseconds of wall-clock time since 1970."""
+    day, rest = divmod(ms, 86_400_000)
+    for end in (33_900_000, 34_200_000):
+        if rest < end:
+            return day * 86_400_000 + end
+    return (ms // 60_000 + 1) * 60_000
+
+
 def spine(spark: SparkSession, day: str, sessions=SESSIONS) -> DataFrame:
     """(bar, bar_no) of a day: auction, opening, then every minute of the sessions."""
     parts = [spark.sql(f"SELECT explode(array(timestamp_ntz'{day} {AUCTION}', timestamp_ntz'{day} {OPEN}')) AS bar")]
@@ -57,7 +66,7 @@ def keyed(trades: DataFrame, periods: list[int], bar: Column | None = None, phas
     return got.drop("minute_bar")
 
 
-def gap_merged(bars: DataFrame, active: DataFrame, slots: int = 64) -> DataFrame:
+def gap_merged(bars: DataFrame, active: DataFrame) -> DataFrame:
     """(bar, fires_at): a bar fires only if the minute before it had messages; others are collected with the next that fires."""
     w = Window.orderBy("bar")
     known = bars.join(active.select("bar").distinct().withColumn("on", F.lit(True)), "bar", "left")

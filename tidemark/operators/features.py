@@ -17,6 +17,13 @@ from tidemark.functions import vector as V
 from tidemark.sources.schemas import CANDLE_COLUMNS, ORDER_FLOW_COLUMNS, TRADE_AMOUNT_COLUMNS
 
 KEY = ["period", "security", "bar"]
+#: Which rows of a feature carry on from bar to bar within a day, and what they need of the bars before: the live engine hands it in as ``carry`` (period, security, day, these).
+CARRIED = {
+    "candle_stick": ["last_close"],
+    "debug_trade": ["term_count"],
+    "trade_amount": ["last_price"],
+    "order_flow": ["CumTradv", "CumCjbs", "CumTradamt", "CumDelta", "CumCjbsDelta"],
+}
 #: Order of arrival, one long; plain types keep hash aggregates.
 ORDER = "seq"
 
@@ -34,6 +41,24 @@ def _with_grid(df: DataFrame, grid: DataFrame | None) -> DataFrame:
     return df if grid is None else grid.select(*KEY, "prev_close").join(df, KEY, "left")
 
 
+def day_of(bar: Column) -> Column:
+    """The day that a right-closed bar belongs to."""
+    return F.to_date(bar - F.expr("interval 1 microsecond"))
+
+
+def _over_days(across_days: bool, bar: str = "bar") -> list[Column]:
+    """What parts the history of a security: its days, unless it runs on over them."""
+    return [] if across_days else [day_of(F.col(bar))]
+
+
+def _with_carry(rows: DataFrame, carry: DataFrame | None, names: list[str]) -> DataFrame:
+    """Columns ``_carry_*`` with what the bars before ``rows`` left; NULL where they left nothing."""
+    if carry is None:
+        return rows.withColumns({f"_carry_{n}": F.lit(None).cast("double") for n in names})
+    own = carry.select("period", "security", F.col("day").alias("_day"), *(F.col(n).alias(f"_carry_{n}") for n in names))
+    return rows.withColumn("_day", day_of(F.col("bar"))).join(own, ["period", "security", "_day"], "left").drop("_day")
+
+
 def trade_counts(trades: DataFrame, keys: list[str]) -> DataFrame:
     """Amount and count by ``keys``; of any finer rows of the same kind too, so that periods add up minutes."""
     fine = "amount" in trades.columns
@@ -41,12 +66,13 @@ def trade_counts(trades: DataFrame, keys: list[str]) -> DataFrame:
     return trades.groupBy(*keys).agg(amount.alias("amount"), count.alias("count"))
 
 
-def debug_trade(trades: DataFrame, grid: DataFrame | None = None) -> DataFrame:
-    """Amount, count, and the running count of bars with trades."""
+def debug_trade(trades: DataFrame, grid: DataFrame | None = None, across_days: bool = False, carry: DataFrame | None = None) -> DataFrame:
+    """Amount, count, and the running count of the day's bars with trades."""
     got = _with_grid(trade_counts(trades, KEY), grid)
     filled = got.select(*KEY, F.coalesce("amount", F.lit(0.0)).alias("amount"), F.coalesce("count", F.lit(0.0)).alias("count"))
-    ran = G.running((F.col("count") > 0).cast("double"), ["period", "security"], ["bar"])
-    return filled.withColumn("term_count", F.when(F.col("count") > 0, ran).otherwise(0.0))
+    ran = G.running((F.col("count") > 0).cast("double"), ["period", "security", *_over_days(across_days)], ["bar"])
+    filled = _with_carry(filled, carry, CARRIED["debug_trade"]).withColumn("_ran", ran + F.coalesce("_carry_term_count", F.lit(0.0)))
+    return filled.select(*KEY, "amount", "count", F.when(F.col("count") > 0, F.col("_ran")).otherwise(0.0).alias("term_count"))
 
 
 _ADDED = ["cjb", "bcjb", "scjb", "volume_nfq", "bvolume_nfq", "svolume_nfq", "amount", "bamount", "samount"]
@@ -91,34 +117,33 @@ def candles(trades: DataFrame, keys: list[str], price_filter: str = "clean") ->
     )
 
 
-def candle_stick(trades: DataFrame, grid: DataFrame | None = None, price_filter: str = "clean") -> DataFrame:
+def candle_stick(trades: DataFrame, grid: DataFrame | None = None, price_filter: str = "clean", across_days: bool = False, carry: DataFrame | None = None) -> DataFrame:
     """Counts, volumes and amounts (all, buy, sell) and low, high, open, close.
 
-    An empty bar takes open and close from the last close before it (or the
-    previous day's), and low and high 0.  ``price_filter="compat"`` counts
+    An empty bar takes open and close from the day's last close before it (or
+    the previous day's), and low and high 0.  ``price_filter="compat"`` counts
     rows without a positive price, with price, volume and amount 0.
     """
     got = candles(trades, KEY, price_filter).select(*KEY, *CANDLE_COLUMNS)
     if grid is None:
         return got
-    got = _with_grid(got, grid)
-    last = F.coalesce(G.filled_forward("closeprice_nfq", ["period", "security"], ["bar"]), F.col("prev_close"), F.lit(0.0))
+    got = _with_carry(_with_grid(got, grid), carry, CARRIED["candle_stick"])
+    last = F.coalesce(G.filled_forward("closeprice_nfq", ["period", "security", *_over_days(across_days)], ["bar"]), F.col("_carry_last_close"), F.col("prev_close"), F.lit(0.0))
     got = got.withColumn("_last", last)
     ends = {c: F.coalesce(c, "_last") for c in ("openprice_nfq", "closeprice_nfq")}
     return got.select(*KEY, *(ends.get(c, F.coalesce(c, F.lit(0.0))).alias(c) for c in CANDLE_COLUMNS))
 
 
-def log_returns(trades: DataFrame, first_logret: str = "price") -> DataFrame:
-    """``logret`` against the security's trade before, over bars and sides.
+def log_returns(trades: DataFrame, first_logret: str = "price", across_days: bool = False) -> DataFrame:
+    """``logret`` of each trade against the security's trade before, over the day's bars and both sides; a bar's trades follow those of the bar before.
 
     Within a bar by a window; a bar's first trade takes the last price of the
     security's bar before, so no security is put in order as a whole.
     """
     within = F.lag("price").over(Window.partitionBy(*KEY).orderBy(ORDER))
     ends = trades.groupBy(*KEY).agg(F.max_by("price", ORDER).alias("_end"))
-    before = F.lag("_end").over(Window.partitionBy("period", "security").orderBy("bar"))
-    ends = ends.select(*KEY, before.alias("_before"))
-    got = trades.withColumn("_in", within).join(ends, KEY)
+    before = F.lag("_end").over(Window.partitionBy("period", "security", *_over_days(across_days)).orderBy("bar"))
+    got = trades.withColumn("_in", within).join(ends.select(*KEY, before.alias("_before")), KEY)
     last = F.coalesce("_in", "_before")
     if first_logret == "zero":
         last = F.coalesce(last, F.col("price"))
@@ -130,17 +155,44 @@ DOLLAR = (1_000_000.0, 200_000.0, 40_000.0)
 QUANTILES = (0.99, 0.95, 0.5)
 
 
-def orders(trades: DataFrame, first_logret: str = "price") -> DataFrame:
-    """One row an order and bar: buy, amt, logret.  A buy is grouped by its bid's number, a sale by its offer's."""
-    t = log_returns(trades.filter(F.col("price") > 0), first_logret)
+def orders(trades: DataFrame, keys: list[str] = KEY, first_logret: str = "price", across_days: bool = False, carry: DataFrame | None = None) -> DataFrame:
+    """One row an order and bar: buy, amt, logret (the sum over its trades).  A buy is grouped by its bid's number, a sale by its offer's.
+
+    Of any finer such rows too, so that periods add up minutes.  Trades are
+    exchanged once, by ``keys`` (the bar last).  An order that holds its bar's
+    first trade learns the price before it from the order that holds the last
+    trade of a bar before: a window over the orders of a security's day.
+    """
+    bar = keys[-1]
+    if "amt" in trades.columns:
+        return trades.groupBy(*keys, "buy", "order_no").agg(F.sum("amt").alias("amt"), F.sum("logret").alias("logret"))
+    over = Window.partitionBy(*keys).orderBy(ORDER)
     buy = F.col("side") == 1
-    t = t.withColumns({"buy": buy, "order_no": F.when(buy, F.col("bid_seq")).otherwise(F.col("offer_seq"))})
-    return t.groupBy(*KEY, "buy", "order_no").agg(F.sum(V.amount()).alias("amt"), F.sum("logret").alias("logret"))
+    no = F.when(buy, F.col("bid_seq")).otherwise(F.col("offer_seq"))
+    t = trades.filter(F.col("price") > 0).select(*keys, buy.alias("buy"), no.alias("order_no"), "price", V.amount().alias("_amt"), F.lag("price").over(over).alias("_in"), F.lead(ORDER).over(over).isNull().alias("_is_end"))
+    first = F.col("_in").isNull()
+    o = t.groupBy(*keys, "buy", "order_no").agg(
+        F.sum("_amt").alias("amt"),
+        F.sum(_when(~first, V.log_return("price", "_in"))).alias("_within"),
+        F.max(_when(first, F.col("price"))).alias("_first"),
+        F.max(_when(F.col("_is_end"), F.col("price"))).alias("_end"),
+    )
+    at = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(bar))
+    earlier = Window.partitionBy(*keys[:-1], *_over_days(across_days, bar)).orderBy(at).rangeBetween(Window.unboundedPreceding, -1)
+    o = o.withColumn("_before", F.last("_end", ignorenulls=True).over(earlier))
+    last = F.col("_before")
+    if carry is not None:
+        o = _with_carry(o, carry, CARRIED["trade_amount"])
+        last = F.coalesce("_before", "_carry_last_price")
+    if first_logret == "zero":
+        last = F.coalesce(last, F.col("_first"))
+    logret = F.coalesce("_within", F.lit(0.0)) + _when(F.col("_first").isNotNull(), V.log_return("_first", last)).otherwise(0.0)
+    return o.select(*keys, "buy", "order_no", "amt", logret.alias("logret"))
 
 
-def trade_amount(trades: DataFrame, kind: str, grid: DataFrame | None = None, dollar=DOLLAR, first_logret: str = "price") -> DataFrame:
+def trade_amount(trades: DataFrame, kind: str, grid: DataFrame | None = None, dollar=DOLLAR, first_logret: str = "price", across_days: bool = False, carry: DataFrame | None = None) -> DataFrame:
     """Amounts and price changes of ultra, big, mid and small orders; ``kind`` is dollar, std or quantile."""
-    o = orders(trades, first_logret)
+    o = orders(trades, KEY, first_logret, across_days, carry)
     if kind == "dollar":
         o = o.withColumns({n: F.lit(x) for n, x in zip(("_u", "_b", "_m"), dollar, strict=True)})
     else:
@@ -180,10 +232,15 @@ def large_orders(trades: DataFrame, p: float, threshold_base: str = "trade") ->
     return t.withColumn("_limit", limit).filter(F.col("_sum") > F.col("_limit")).select(*KEY, "price", "volume", "side")
 
 
-def levels(trades: DataFrame) -> DataFrame:
-    """One row a price of each bar: volumes and counts of both sides."""
+_SIDES = ("Sv", "Scjbs", "Bv", "Bcjbs")
+
+
+def levels(trades: DataFrame, keys: list[str] = KEY) -> DataFrame:
+    """One row a price of each bar: volumes and counts of both sides; of any finer such rows too, so that periods add up minutes."""
+    if "Sv" in trades.columns:
+        return trades.groupBy(*keys, "price").agg(*(F.sum(c).alias(c) for c in _SIDES))
     buy = F.col("side") == 1
-    return trades.groupBy(*KEY, "price").agg(
+    return trades.groupBy(*keys, "price").agg(
         _sum0(_when(~buy, F.col("volume"))).alias("Sv"),
         F.count(_when(~buy, 1)).cast("double").alias("Scjbs"),
         _sum0(_when(buy, F.col("volume"))).alias("Bv"),
@@ -223,10 +280,10 @@ def _level_columns(lv: DataFrame) -> DataFrame:
     return lv.withColumns({f"run{f[1:]}": run(f) for f in ("fS", "fScjbs", "fD", "fDcjbs")})
 
 
-def order_flow(trades: DataFrame, size: str | None = None, grid: DataFrame | None = None, threshold_base: str = "trade", decay_nth: int = 1) -> DataFrame:
+def order_flow(trades: DataFrame, size: str | None = None, grid: DataFrame | None = None, threshold_base: str = "trade", decay_nth: int = 1, across_days: bool = False, carry: DataFrame | None = None) -> DataFrame:
     """The 68 order-flow columns; ``size`` big or small keeps the orders above the 95th or 50th percentile.
 
-    A bar with one side only is all NULL and adds nothing to the running totals.
+    A bar with one side only is all NULL and adds nothing to the day's running totals.
     """
     trades = trades.filter(F.col("price") > 0)
     if size:
@@ -264,7 +321,8 @@ def order_flow(trades: DataFrame, size: str | None = None, grid: DataFrame | Non
     both = (col("Scjbs") > 0) & (col("Bcjbs") > 0)
     for pre, b in (("", "Bv"), ("cjbs", "Bcjbs")):
         bars = bars.withColumn(f"{pre}DeltaStrength_MinMaxRatio", _when(col("_minBcjbs") != 0, V.ieee_divide(f"_max{b}", f"_min{b}")))
-    ran = {n: G.running(_when(both, col(x)), ["period", "security"], ["bar"]) for n, x in (("CumTradv", "tradv"), ("CumCjbs", "cjbs"), ("CumTradamt", "tradamt"), ("CumDelta", "Delta"), ("CumCjbsDelta", "cjbsDelta"))}
+    bars = _with_carry(bars, carry, CARRIED["order_flow"])
+    ran = {n: G.running(_when(both, col(x)), ["period", "security", *_over_days(across_days)], ["bar"]) + F.coalesce(f"_carry_{n}", F.lit(0.0)) for n, x in (("CumTradv", "tradv"), ("CumCjbs", "cjbs"), ("CumTradamt", "tradamt"), ("CumDelta", "Delta"), ("CumCjbsDelta", "cjbsDelta"))}
     bars = bars.withColumns(ran).withColumns(
         {
             "DeltaStrength": V.safe_divide("Delta", "tradv"),
@@ -295,8 +353,43 @@ FEATURES: dict[str, Maker] = {
 }
 
 
-#: Features whose rows add up: rows of minutes stand for their trades.
-MINUTES: dict[str, Callable[..., DataFrame]] = {"debug_trade": lambda t, keys, **_: trade_counts(t, keys), "candle_stick": lambda t, keys, price_filter="clean": candles(t, keys, price_filter)}
+def _minute_orders(trades: DataFrame, keys: list[str], first_logret: str = "price", across_days: bool = False, **_: object) -> DataFrame:
+    return orders(trades, keys, first_logret, across_days)
+
+
+#: Features made of rows that add up: rows of minutes stand for their trades.
+MINUTES: dict[str, Callable[..., DataFrame]] = {
+    "debug_trade": lambda t, keys, **_: trade_counts(t, keys),
+    "candle_stick": lambda t, keys, price_filter="clean", **_: candles(t, keys, price_filter),
+    "trade_amount_dollar": _minute_orders,
+    "trade_amount_std": _minute_orders,
+    "trade_amount_quantile": _minute_orders,
+    "order_flow_min": lambda t, keys, **_: levels(t.filter(F.col("price") > 0), keys),
+}
+
+
+BUILT_IN = frozenset(FEATURES)
+
+
+def carried(name: str, rows: DataFrame, trades: DataFrame, before: DataFrame | None = None, since=None) -> DataFrame:
+    """(period, security, day, columns of ``CARRIED``): what a built-in feature's ``rows``, and the trades they are made of, leave to later bars of the day.
+
+    What they leave undefined stays as ``before`` has it, whose days before ``since`` end.
+    """
+    kind = next(k for k in CARRIED if name.startswith(k))
+    names, key = CARRIED[kind], ["period", "security", "day"]
+    if kind == "trade_amount":
+        rows = trades.filter(F.col("price") > 0)
+        agg = [F.max_by("price", F.struct("bar", ORDER)).alias("last_price")]
+    elif kind == "debug_trade":
+        agg = [F.max(_when(F.col("term_count") > 0, F.col("term_count"))).alias("term_count")]
+    else:
+        agg = [F.max_by(c, _when(F.col(c).isNotNull(), F.col("bar"))).alias(n) for n in names for c in [{"last_close": "closeprice_nfq"}.get(n, n)]]
+    new = rows.groupBy("period", "security", day_of(F.col("bar")).alias("day")).agg(*agg)
+    if before is None:
+        return new
+    both = before.filter(F.col("day") >= F.lit(since)).select(*key, *names, F.lit(0).alias("_at")).unionByName(new.withColumn("_at", F.lit(1)))
+    return both.groupBy(*key).agg(*(F.max_by(n, _when(F.col(n).isNotNull(), F.col("_at"))).alias(n) for n in names))
 
 
 def register(name: str, make: Maker) -> None:

@@ -165,7 +165,7 @@ _add("amount_project", T + f" SELECT security, trad_time, seq, {_q6(['volume * p
 _add(
     "log_return",
     T + f" SELECT security, trad_time, seq, {_q6(['ln(price + 1) - ln(coalesce(lag(price) OVER (PARTITION BY security ORDER BY seq), 0) + 1)'], ['logret'])} FROM t",
-)(lambda s, d: _r6(X.log_returns(_quarters(s, d)).select("security", "trad_time", "seq", "logret")))
+)(lambda s, d: _r6(X.log_returns(_quarters(s, d), across_days=True).select("security", "trad_time", "seq", "logret")))
 _add("safe_division", f"SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, {_q6(['CASE WHEN l_discount = 0 THEN NULL ELSE l_tax / l_discount END'], ['q'])} FROM lineitem")(
     lambda s, d: _r6(s.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", V.safe_divide("l_tax", "l_discount").alias("q")))
 )
@@ -334,7 +334,7 @@ _FILL = "coalesce({0}, last_value(closeprice_nfq IGNORE NULLS) OVER (PARTITION B
 def candle_empty_bars(spark, d):
     """FE2 over a dense spine: W6, Q14."""
     t, grid = _month_grid(spark, d)
-    return _r6(X.candle_stick(t, grid), ["security", "bar", *CANDLE_COLUMNS])
+    return _r6(X.candle_stick(t, grid, across_days=True), ["security", "bar", *CANDLE_COLUMNS])
 
 
 @_add("ffill_close", M + f", c AS (SELECT g.security, g.bar, g.prev_close, arg_max(price, seq) AS closeprice_nfq FROM g LEFT JOIN t USING (security, bar) GROUP BY ALL) SELECT security, bar, {_q6([_FILL.format('NULL')], ['last_close'])} FROM c")
@@ -354,7 +354,7 @@ def ffill_close(spark, d):
 def debug_trade(spark, d):
     """FE1, W7."""
     t, grid = _month_grid(spark, d)
-    return _r6(X.debug_trade(t, grid), ["security", "bar", *DEBUG_COLUMNS])
+    return _r6(X.debug_trade(t, grid, across_days=True), ["security", "bar", *DEBUG_COLUMNS])
 
 
 # -- trade amount --------------------------------------------------------------
@@ -387,7 +387,7 @@ def _amount(kind: str) -> Query:
         t = _quarters(spark, d)
         if kind == "dollar":
             t = t.withColumn("volume", F.col("volume") * 1000)
-        return _r6(X.trade_amount(t, kind), ["security", "bar", *TRADE_AMOUNT_COLUMNS])
+        return _r6(X.trade_amount(t, kind, across_days=True), ["security", "bar", *TRADE_AMOUNT_COLUMNS])
 
     return run
 
@@ -445,7 +445,7 @@ n3 AS (SELECT *, {", ".join(f"{f} * coalesce(lag({f}, 1) {w}, 0) * coalesce(lag(
 
 
 def _flow(size: str | None) -> Query:
-    return lambda spark, d: _r6(X.order_flow(_quarters(spark, d), size), ["security", "bar", *ORDER_FLOW_COLUMNS])
+    return lambda spark, d: _r6(X.order_flow(_quarters(spark, d), size, across_days=True), ["security", "bar", *ORDER_FLOW_COLUMNS])
 
 
 for _size in (None, "big", "small"):
@@ -455,7 +455,7 @@ for _size in (None, "big", "small"):
 def _flow_part(name: str, columns: list[str], doc: str) -> None:
     """A query for a group of the order-flow columns; Catalyst prunes the others."""
     sql = f"SELECT security, bar, {', '.join(columns)} FROM ({SQL['order_flow_min']})"
-    q = lambda spark, d: _r6(X.order_flow(_quarters(spark, d)), ["security", "bar", *columns])
+    q = lambda spark, d: _r6(X.order_flow(_quarters(spark, d), across_days=True), ["security", "bar", *columns])
     q.__doc__ = doc
     _add(name, sql)(q)
 

@@ -1,88 +1,189 @@
-"""Features over a stream of trades.
-
-Each micro-batch is appended to a store partitioned by epoch (written over,
-so a repeated epoch changes nothing), with the bar each trade is collected
-in: its own, or the first one still open if its own was handed on before it
-came.  Then the batch plan runs over the day's store and hands on the bars
-that the event time has closed since the epoch before.  What was closed when
-follows from the store, so a restart goes on where the stream stopped.  The
-day bounds what a bar recomputes.
+"""Features over a stream of trades, with state by security.
+
+A stateful processor keeps each security's trades until their bars close and
+numbers them in order of arrival.  A bar closes once event time has passed
+its end by the latency; a trade that comes later goes to the first bar still
+open.  New trades are added to the state as one chunk a bar, so a micro-batch
+costs in proportion to its own rows, and a timer at the end of every period
+hands on the period's trades.
+
+Each micro-batch then runs the batch plan over the trades handed on, and over
+nothing else.  What a bar needs of those before it (last close, last price,
+running totals, bars counted) is a small table of one row a period, security
+and day, written anew by every micro-batch that closed a bar, under its
+epoch.  An epoch that runs again overwrites what it wrote, so a restart goes
+on where the stream stopped.
+
+The end of the day closes when any message of a later time comes, of whatever
+security.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from datetime import datetime, timedelta
+from datetime import datetime
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from tidemark.functions import vector as V
 from tidemark.operators import bars as B
-from tidemark.plans.run import run_features
-from tidemark.sources.config import Feature
+from tidemark.operators import features as X
+from tidemark.sources.config import Feature, publish_plan
 
 Deliver = Callable[[str, DataFrame], None]
 
-
-def arrived(batch: DataFrame, epoch: int) -> DataFrame:
-    """A micro-batch with ``seq`` by time, epoch and place in the batch."""
-    row = F.lit(epoch % 256 << 28) + F.pmod(F.monotonically_increasing_id(), F.lit(1 << 28))
-    return batch.withColumn("seq", V.arrival("trad_time", row))
+#: The watermark's lag.  Spark drops what comes behind the watermark, but a late trade is to be kept; so the watermark
+#: lags by a day, and timers are set as much earlier.
+LAG_MS = 86_400_000
+_KEPT = ["trad_time", "price", "volume", "side", "bid_seq", "offer_seq", "seq"]
+CLOSED = "period int, security string, bar timestamp_ntz, trad_time timestamp_ntz, price double, volume double, side int, bid_seq long, offer_seq long, seq long"
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def millis(at: Column) -> Column:
+    """Wall-clock milliseconds since 1970, whatever the session's zone."""
+    days = F.datediff(at.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    return ((days * 24 + F.hour(at)) * 60 + F.minute(at)) * 60_000 + F.floor(F.extract(F.lit("SECOND"), at) * 1000).cast("long")
+
+
+def _period_end(bar: int, minutes: int) -> int:
+    """As ``vector.period_end``, in milliseconds."""
+    day = (bar - 1) // LAG_MS * LAG_MS
+    return day - (day - bar) // (minutes * 60_000) * (minutes * 60_000)
+
+
+def _packed(rows: pd.DataFrame) -> bytes:
+    table, sink = pa.Table.from_pandas(rows[_KEPT], preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+class Collector(StatefulProcessor):
+    """A security's trades by bar, kept until the longest period that holds the bar has ended."""
+
+    def __init__(self, periods: list[int], latency_ms: int, first_open: Callable[[int], int]):
+        self.periods, self.latency, self.first_open = sorted(periods), latency_ms, first_open
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "n long")
+        self.parts = handle.getMapState("parts", "bar long", "n int")
+        self.rows = handle.getMapState("rows", "bar long, part int", "rows binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows)).sort_values(["source", "seq"], kind="stable")
+        n = self.seen.get()[0] if self.seen.exists() else 0
+        new["seq"] = range(n, n + len(new))
+        self.seen.update((n + len(new),))
+        bar, now = new["bar_ms"], timerValues.getCurrentWatermarkInMs()
+        if now > 0:  # bars that end up to newest - latency are closed
+            bar = bar.clip(lower=self.first_open(now + LAG_MS - self.latency))
+        for b, own in new.groupby(bar):
+            b = int(b)
+            part = self.parts.getValue((b,))[0] if self.parts.containsKey((b,)) else 0
+            self.rows.updateValue((b, part), (_packed(own),))
+            self.parts.updateValue((b,), (part + 1,))
+            if not part:
+                for end in {_period_end(b, p) for p in self.periods}:
+                    self.handle.registerTimer(end + self.latency - LAG_MS)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        end = expiredTimerInfo.getExpiryTimeInMs() + LAG_MS - self.latency
+        parts, read, out = {b: n for (b,), (n,) in self.parts.iterator()}, {}, []
+        for p in self.periods:
+            for b in sorted(x for x in parts if _period_end(x, p) == end):
+                if b not in read:
+                    read[b] = [pa.ipc.open_stream(self.rows.getValue((b, i))[0]).read_pandas() for i in range(parts[b])]
+                out += [x.assign(period=p) for x in read[b]]
+        for b, n in parts.items():
+            if max(_period_end(b, p) for p in self.periods) <= end:
+                for i in range(n):
+                    self.rows.removeKey((b, i))
+                self.parts.removeKey((b,))
+        if out:
+            got = pd.concat(out)
+            got["security"], got["bar"] = key[0], pd.Timestamp(end, unit="ms")
+            yield got[[x.split()[0] for x in CLOSED.split(", ")]]
+
+    def close(self) -> None:
+        pass
+
+
+def closed(trades: DataFrame, universe: DataFrame, periods: list[int], latency_ms: int = 50, bar: Callable[[Column], Column] = B.session_bar, first_open: Callable[[int], int] = B.first_open) -> DataFrame:
+    """The trades of a stream once for each period, handed on when the period has ended: (period, security, bar, ..., seq), where ``seq`` numbers a security's trades as they arrived."""
+    if "source" not in trades.columns:
+        trades = trades.withColumn("source", F.lit(""))
+    t = trades.withColumns({"bar_ms": millis(bar(F.col("trad_time"))), "clock": F.timestamp_millis(millis(F.col("trad_time")))}).withWatermark("clock", f"{LAG_MS} milliseconds")
+    t = B.only_traced(t, universe).select("security", "clock", "source", "bar_ms", *_KEPT)
+    return t.groupBy("security").transformWithStateInPandas(Collector(periods, latency_ms, first_open), CLOSED, "Append", "EventTime")
 
 
 class LiveFeatures:
-    """One stream: where its trades are stored, what is computed, and who gets it.  ``bar`` gives a time's minute bar."""
-
-    def __init__(self, universe: DataFrame, spec: list[Feature], store: str, deliver: Deliver, bars: DataFrame | None = None, bar: Callable[[Column], Column] = B.session_bar, latency_ms: int = 50, **options):
-        self.universe, self.spec, self.store, self.deliver = universe, spec, store, deliver
-        self.bars, self.bar, self.latency, self.options = bars, bar, timedelta(milliseconds=latency_ms), options
-
-    def _stored(self, spark: SparkSession, before: int | None = None) -> DataFrame | None:
-        """Trades of all epochs, or of those before one."""
-        at = spark._jvm.org.apache.hadoop.fs.Path(self.store)
-        if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-            return None
-        trades = spark.read.parquet(self.store)
-        return (trades if before is None else trades.filter(F.col("epoch") < before)).drop("epoch")
-
-    def _closed(self, trades: DataFrame | None) -> datetime | None:
-        """Bars that end up to here have been handed on once these trades were in."""
-        newest = None if trades is None else trades.agg(F.max("trad_time")).first()[0]
-        return None if newest is None else newest - self.latency
-
-    def on_batch(self, batch: DataFrame, epoch: int) -> None:
-        """Store a micro-batch and hand on what it closed."""
-        since = self._closed(self._stored(batch.sparkSession, epoch))
-        bar = self.bar(F.col("trad_time"))
-        if since is not None:
-            bar = F.greatest(bar, self.bar(F.lit(since + timedelta(microseconds=1)).cast("timestamp_ntz")))
-        arrived(batch, epoch).withColumn("collected", bar).write.mode("overwrite").parquet(f"{self.store}/epoch={epoch}")
-        trades = self._stored(batch.sparkSession, epoch + 1)
-        until = self._closed(trades)
-        if until is not None and until != since:
-            self._emit(trades, since, until)
-
-    def close(self, spark: SparkSession) -> None:
-        """Hand on every bar left, at the end of the day."""
-        trades = self._stored(spark)
-        if trades is not None:
-            self._emit(trades, self._closed(trades), None)
-
-    def _emit(self, trades: DataFrame, since: datetime | None, until: datetime | None) -> None:
-        for name, got in run_features(trades, self.universe, self.spec, self.bars, F.col("collected"), **self.options).items():
-            new = got if since is None else got.filter(F.col("bar") > F.lit(since))
-            new = new if until is None else new.filter(F.col("bar") <= F.lit(until))
-            if not new.isEmpty():
-                self.deliver(name, new)
+    """One stream: what is computed, where its state between epochs stands, and who gets the rows.
+
+    ``bar`` gives a time's minute bar and ``first_open`` the first bar that
+    ends after a time.  With ``bars`` (bar, bar_no) every security of the
+    universe has a row in every bar up to the last one that closed.
+    """
+
+    def __init__(self, universe: DataFrame, spec: list[Feature], store: str, deliver: Deliver, bars: DataFrame | None = None, bar: Callable[[Column], Column] = B.session_bar, latency_ms: int = 50, first_open: Callable[[int], int] = B.first_open, **options):
+        self.universe, self.store, self.deliver, self.bars, self.bar = universe, store, deliver, bars, bar
+        self.latency, self.first_open, self.options = latency_ms, first_open, options
+        plan = publish_plan(spec, X.FEATURES)
+        self.periods = {name: [p for p, names in plan.by_period.items() if name in names] for names in plan.by_period.values() for name in names}
 
     def start(self, trades: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         """Run over a streaming frame of trades."""
-        return trades.writeStream.foreachBatch(self.on_batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+        trades.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+        every = sorted({p for periods in self.periods.values() for p in periods})
+        rows = closed(trades, self.universe, every, self.latency, self.bar, self.first_open)
+        return rows.writeStream.outputMode("append").foreachBatch(self.on_closed).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+    def _at(self, what: str, epoch: int) -> str:
+        return f"{self.store}/{what}/epoch={epoch}"
+
+    def _written(self, df: DataFrame, what: str, epoch: int) -> DataFrame:
+        df.write.mode("overwrite").parquet(self._at(what, epoch))
+        return df.sparkSession.read.schema(df.schema).parquet(self._at(what, epoch))
+
+    def _before(self, spark: SparkSession, epoch: int) -> tuple[datetime | None, int | None]:
+        """Up to where bars were handed on before an epoch, and the last epoch that did."""
+        if epoch == 0:
+            return None, None
+        return tuple(spark.read.parquet(self._at("done", epoch - 1)).first())
+
+    def on_closed(self, rows: DataFrame, epoch: int) -> None:
+        """Features of the bars that an epoch has closed."""
+        spark = rows.sparkSession
+        since, last = self._before(spark, epoch)
+        trades = self._written(rows, "closed", epoch)
+        until, day = trades.agg(F.max("bar"), F.min(X.day_of(F.col("bar")))).first()
+        if until is not None:
+            for name, periods in self.periods.items():
+                self._feature(name, trades.filter(F.col("period").isin(periods)), since, until, day, last, epoch)
+            since, last = until, epoch
+        done = spark.createDataFrame([(since, last)], "until timestamp_ntz, last long")
+        done.write.mode("overwrite").parquet(self._at("done", epoch))
+
+    def _feature(self, name: str, trades: DataFrame, since: datetime | None, until: datetime, day, last: int | None, epoch: int) -> None:
+        spark, options, grid = trades.sparkSession, dict(self.options.get(name, {})), None
+        keeps = name in X.BUILT_IN
+        if keeps and last is not None:
+            options["carry"] = spark.read.parquet(self._at(f"carry/{name}", last))
+        if self.bars is not None:
+            ends = B.period_of(self.bars, self.periods[name]).select("period", F.col("period_end").alias("bar")).distinct().filter(F.col("bar") <= F.lit(until))
+            ends = ends if since is None else ends.filter(F.col("bar") > F.lit(since))
+            grid = B.dense(spark.createDataFrame([], "period int, security string, bar timestamp_ntz"), self.universe, ends)
+        got = self._written(X.feature(name)(trades, grid, **options), f"out/{name}", epoch)
+        if keeps:
+            self._written(X.carried(name, got, trades, options.get("carry"), day), f"carry/{name}", epoch)
+        self.deliver(name, got)
 
 
 def tumbling(trades: DataFrame, latency: str = "50 milliseconds") -> DataFrame:
@@ -91,23 +192,3 @@ def tumbling(trades: DataFrame, latency: str = "50 milliseconds") -> DataFrame:
     t = trades.withColumn("trad_time", F.col("trad_time").cast("timestamp")).withWatermark("trad_time", latency)
     w = F.window(F.col("trad_time") - F.expr("interval 1 microsecond"), "1 minute")
     return t.groupBy(w, "security").agg(F.count("*").alias("count"), F.sum(F.col("price") * F.col("volume")).alias("amount")).select(F.col("window.end").cast("timestamp_ntz").alias("bar"), "security", "count", "amount")
-
-
-def collected(trades: DataFrame) -> DataFrame:
-    """Add ``collected``: each trade's bar, or the bar open when it arrives if its own is closed (security by security; ``seq`` must number arrivals, which that of ``stream_trades`` does by time only)."""
-    with_bar = trades.withColumn("bar", B.session_bar(F.col("trad_time")))
-    schema = T.StructType([*with_bar.schema.fields, T.StructField("collected", T.TimestampNTZType())])
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        open_bar = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        for pdf in batches:
-            pdf = pdf.sort_values("seq", kind="stable")
-            got = pdf["bar"].cummax()
-            if open_bar is not None:
-                got = got.where(got > open_bar, open_bar)
-            open_bar = got.iloc[-1]
-            yield pdf.assign(collected=got)
-        if open_bar is not None:
-            state.update((int(pd.Timestamp(open_bar).value // 1000),))
-
-    return with_bar.groupBy("security").applyInPandasWithState(step, schema, "open_bar long", "append", GroupStateTimeout.NoTimeout)
