@@ -127,21 +127,32 @@ def test_periods_add_up_minutes(spark):
 def test_sinks(spark, tmp_path):
     bars = B.spine(spark, DAY).filter("bar_no = 4")
     got = run_features(all_trades(spark), small_universe(spark), [config.Feature("order_flow_min", (1,))], bars)["order_flow_min"]
-    sent = []
-    assert sinks.publish(got, lambda b: sent.append(b) or True) == len(sent[0])
+    (tmp_path / "sent").mkdir()
+    target = str(tmp_path / "sent")
+
+    def send(data):  # from a task
+        import uuid
+
+        with open(f"{target}/{uuid.uuid4().hex}", "wb") as f:
+            return f.write(data) > 0
+
+    size = sinks.publish(got, send, universe=small_universe(spark), epoch=7)
+    sent = [p.read_bytes() for p in (tmp_path / "sent").iterdir()]
+    assert [len(x) for x in sent] == [size]
     table = pa.ipc.open_stream(sent[0]).read_all()
-    assert table.num_rows == 3 and all(str(x) == "nan" for x in table["Sv"].to_pylist())
+    assert table.num_rows == 3 and all(str(x) == "nan" for x in table["Sv"].to_pylist()) and table.schema.metadata[b"epoch"] == b"7"
+    assert table["securityid"].to_pylist() == [b"600000.XSHG", b"000001.XSHE", b"300002.XSHE"]
     assert sinks.publish(got, lambda b: False, retries=2) == -1
     sinks.deliver(got, "order_flow_min", path=str(tmp_path / "dump"))
     sinks.deliver(got, "order_flow_min", path=str(tmp_path / "dump"))  # a rerun replaces the bar
-    assert (tmp_path / "dump/order_flow_min/period_1" / f"day={DAY}" / "stem=09_32_00_000").is_dir()
+    assert (tmp_path / "dump/order_flow_min/period=1" / f"day={DAY}" / "stem=09_32_00_000").is_dir()
     back = sinks.read_dump(spark, str(tmp_path / "dump"), "order_flow_min", 1)
     assert back.count() == 3 and back.filter(F.isnan("Sv")).count() == 3 and back.columns == got.columns
     assert {(r["security"], r["bar"]) for r in back.collect()} == {(r["security"], r["bar"]) for r in got.collect()}
     assert table.schema.field("securityid").type == pa.binary(11) and table.schema.field("datetime").type == pa.timestamp("us")
     # a single file of another writer, with ids of fixed size
-    (tmp_path / "one/x/period_5").mkdir(parents=True)
-    pa.parquet.write_table(pa.table({"securityid": pa.array([b"000001.XSHE"], pa.binary(11)), "datetime": pa.array([dt.datetime(2024, 1, 2, 9, 35)], pa.timestamp("us")), "v": [1.5]}), str(tmp_path / "one/x/period_5/09_35_00_000.parquet"))
+    (tmp_path / "one/x/period=5").mkdir(parents=True)
+    pa.parquet.write_table(pa.table({"securityid": pa.array([b"000001.XSHE"], pa.binary(11)), "datetime": pa.array([dt.datetime(2024, 1, 2, 9, 35)], pa.timestamp("us")), "v": [1.5]}), str(tmp_path / "one/x/period=5/09_35_00_000.parquet"))
     assert [tuple(r) for r in sinks.read_dump(spark, str(tmp_path / "one"), "x", 5).collect()] == [(5, "000001.XSHE", dt.datetime(2024, 1, 2, 9, 35), 1.5)]
     spark.sql("SELECT array(1) AS a").write.parquet(str(tmp_path / "odd"))
     with pytest.raises(ValueError, match="unsupported"):

@@ -138,3 +138,52 @@ def test_arrival_counts_over_partitions(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert {r["bar"].strftime("%M"): (r["openprice_nfq"], r["closeprice_nfq"], r["cjb"]) for r in got} == {"31": (1.0, 800.0, 268.0), "32": (2.0, 799.0, 532.0)}
+
+
+def test_sources_wait_for_each_other(spark, tmp_path):
+    """Of two streams a bar closes once, when both have passed it; one that stalls holds it back."""
+    got = []
+    run = live.LiveFeatures(traced(spark), [config.Feature("debug_trade", (1,))], str(tmp_path / "store"), lambda _, df: got.extend((r["security"][:6], r["bar"].strftime("%M"), r["count"]) for r in df.collect()))
+
+    def send(**by):
+        streams = []
+        for e in ("SZ", "SH"):
+            rows = [("000001.XSHE" if e == "SZ" else "600000.XSHG", e, at(f"10:{t}"), 1.0, 1.0, 2, 1, 1, i) for i, t in enumerate(by.get(e, ()))]
+            spark.createDataFrame(rows, TRADE_SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / e))
+            streams.append(spark.readStream.schema(TRADE_SCHEMA).parquet(str(tmp_path / e)))
+        got.clear()
+        assert run.start(streams, str(tmp_path / "checkpoint")).awaitTermination(240)
+        return sorted(got)
+
+    assert send(SZ=["01:10", "03:10"]) == []  # nothing of the other yet
+    assert send(SH=["00:30", "01:30"], SZ=["05:00"]) == [("600000", "01", 1.0)]
+    # after a restart each source must be heard of anew
+    assert send(SH=["04:30"], SZ=["05:10"]) == [("000001", "02", 1.0), ("000001", "04", 1.0), ("600000", "02", 1.0)]
+
+
+def bars_with_trades(state, bar, rows):
+    """As the built-in ``debug_trade``: amount, count, and the running count of the day's bars with trades."""
+    state["n"] += rows.num_rows > 0
+    amount = sum(p * v for p, v in zip(rows["price"].to_pylist(), rows["volume"].to_pylist(), strict=True))
+    return [amount, rows.num_rows, state["n"] if rows.num_rows else 0]
+
+
+def test_user_feature_with_state(spark, tmp_path):
+    """A feature with a state of its own equals the built-in one, in batch and over micro-batches."""
+    from tidemark.operators import features as X
+
+    X.register_stateful("my_trade", ["amount", "count", "term_count"], lambda: {"n": 0}, bars_with_trades)
+    spec = [config.Feature("my_trade", (1, 5)), config.Feature("debug_trade", (1, 5))]
+    rows = some_trades(60, (DAY, "2024-01-03"), seed=4)
+    batch = spark.createDataFrame([(s, "SZ", t, float(p), float(v), b, o, side, i) for i, (s, t, p, v, side, b, o) in enumerate(rows)], TRADE_SCHEMA)
+    spine = B.spine(spark, DAY).filter("bar_no <= 9")
+    for bars in (None, spine):
+        out = run_features(batch, traced(spark), spec, bars)
+        mine, built_in = (by_name([("x", tuple(df.columns), tuple(r)) for r in df.collect()]) for df in (out["my_trade"], out["debug_trade"]))
+        assert mine == built_in and len(mine) > 30
+    feed = Feed(spark, tmp_path, spec)
+    for lo, hi in ((0, 50), (50, 90), (90, 120)):
+        feed.send(rows[lo:hi])
+    feed.send([("none", at("20:00:00", "2024-01-03"), 1, 1, 1, 2, 1)])
+    mine, built_in = ([("x", *rest) for name, *rest in feed.all if name == n] for n in ("my_trade", "debug_trade"))
+    assert by_name(mine) == by_name(built_in) and len(mine) > 100

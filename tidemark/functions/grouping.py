@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.vector import Name, col
+from tidemark.sources.sinks import scratch
 
 KINDS = ("count", "sum", "max", "min", "first", "last", "mean")
 
@@ -58,6 +59,60 @@ def quantile_mod(x: str, p: float) -> Column:
     return F.expr(f"CASE WHEN size({v}) = 0 THEN 0D WHEN floor({n}) < 1 THEN element_at({v}, 1) WHEN {n} = floor({n}) AND floor({n}) < size({v}) THEN (element_at({v}, cast({n} as int)) + element_at({v}, cast({n} as int) + 1)) / 2 ELSE element_at({v}, cast(ceil({n}) as int)) END")
 
 
+#: Bins of a window, and distinct values that are put in order at once.
+BINS, FEW = 256, 1000
+#: Groups whose windows are broadcast; some fifty bytes each.
+SMALL = 10_000
+
+
+def quantiles_of_heavy(df: DataFrame, keys: list[str], value: str, p: float, distinct: bool = False, few: int = FEW) -> DataFrame:
+    """(keys, q): what ``quantile`` (or, of the ``distinct`` values, ``percentile``) gives, for groups of any size.
+
+    Values are counted first.  Then each group's window, its range at first,
+    is cut into ``BINS``, the bins' counts are added up over all tasks, and
+    the window shrinks to the bins that hold the two ranks in question, until
+    it holds ``few`` different values.  So no task holds a group's values.
+    Counted values and windows stand in scratch tables; windows are broadcast
+    up to ``SMALL`` groups.  NULL and NaN don't count; a group without values
+    has no row; keys that are NULL form a group.
+    """
+    spark = df.sparkSession
+
+    def written(x: DataFrame) -> DataFrame:
+        at = scratch(spark)
+        x.write.parquet(at)
+        return spark.read.schema(x.schema).parquet(at)
+
+    x = F.col("_x")
+    rows = df.select(F.struct(*keys).alias("_key"), F.col(value).cast("double").alias("_x")).filter(x.isNotNull() & ~F.isnan(x))
+    rows = written(rows.groupBy("_key", "_x").agg((F.lit(1) if distinct else F.count("*")).cast("long").alias("_n")))
+    per = rows.groupBy("_key").agg(F.sum("_n").alias("_all"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.count("*").alias("_several"))
+    at = (F.col("_all") - 1) * F.lit(p)
+    # ranks from 0: the two that a quantile lies between
+    windows = written(per.select("_key", F.floor(at).alias("_rank"), (at - F.floor(at)).alias("_part"), "_lo", "_hi", F.lit(0).cast("long").alias("_below"), "_several"))
+    hint = F.broadcast if windows.count() <= SMALL else lambda w: w
+    before = lambda by: F.coalesce(F.sum("_n").over(Window.partitionBy("_key").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    def inside() -> DataFrame:
+        w = hint(windows.withColumnRenamed("_key", "_of"))
+        return rows.join(w, rows["_key"].eqNullSafe(F.col("_of"))).filter(x.between(F.col("_lo"), F.col("_hi"))).drop("_of")
+
+    wide = (F.col("_several") > few) & (F.col("_lo") < F.col("_hi"))
+    while not windows.filter(wide).isEmpty():
+        place = F.least(F.lit(BINS - 1), F.floor((x - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BINS)).cast("int")
+        kept = ["_key", "_rank", "_part", "_below"]
+        # what is narrow already stays in one bin
+        bins = inside().groupBy(*kept, F.when(wide, place).otherwise(0).alias("_bin")).agg(F.sum("_n").alias("_n"), F.min("_x").alias("_from"), F.max("_x").alias("_to"), F.count("*").alias("_in"))
+        bins = bins.withColumn("_first", F.col("_below") + before("_bin"))
+        holds = (F.col("_first") <= F.col("_rank") + 1) & (F.col("_first") + F.col("_n") > F.col("_rank"))
+        new = bins.filter(holds).groupBy("_key", "_rank", "_part").agg(F.min("_from").alias("_lo"), F.max("_to").alias("_hi"), F.min("_first").alias("_below"), F.sum("_in").alias("_several"))
+        windows = written(new.select(*windows.columns))
+    last = inside().withColumn("_first", F.col("_below") + before("_x"))
+    value_at = lambda r: F.max(F.when((F.col("_first") <= r) & (F.col("_first") + F.col("_n") > r), x))
+    got = last.groupBy("_key", "_part").agg(value_at(F.col("_rank")).alias("_a"), value_at(F.col("_rank") + 1).alias("_b"))
+    return got.select("_key.*", (F.col("_a") + F.when(F.col("_part") > 0, F.col("_part") * (F.col("_b") - F.col("_a"))).otherwise(0.0)).alias("q"))
+
+
 def std(x: Name) -> Column:
     """Sample deviation; NULL for one value."""
     return F.stddev_samp(col(x))

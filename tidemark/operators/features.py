@@ -7,8 +7,12 @@ order within a security.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -376,6 +380,12 @@ def carried(name: str, rows: DataFrame, trades: DataFrame, before: DataFrame | N
 
     What they leave undefined stays as ``before`` has it, whose days before ``since`` end.
     """
+    if name in STATEFUL:
+        key = ["period", "security", "day"]
+        new = rows.filter(F.col(STATE).isNotNull()).select("period", "security", day_of(F.col("bar")).alias("day"), STATE)
+        if before is None:
+            return new
+        return new.unionByName(before.filter(F.col("day") >= F.lit(since)).join(new, key, "left_anti").select(*new.columns))
     kind = next(k for k in CARRIED if name.startswith(k))
     names, key = CARRIED[kind], ["period", "security", "day"]
     if kind == "trade_amount":
@@ -397,6 +407,53 @@ def register(name: str, make: Maker) -> None:
     FEATURES[name] = make
 
 
+#: Features with a state of their own, and the column in which it travels beside a day's last row of a security.
+STATEFUL: set[str] = set()
+STATE = "_state"
+
+
+def register_stateful(name: str, columns: list[str], start: Callable[[], object], on_bar: Callable[[object, object, pa.Table], list[float]]) -> None:
+    """Add a feature that keeps state: ``start()`` makes a security's state at the beginning of a day, ``on_bar(state, bar, trades)`` changes it and gives the bar's ``columns``.
+
+    Bars come in order, each with its trades (an Arrow table in order of
+    arrival, empty in an empty bar of a grid).  The unit of work is a day of
+    one security and period.  States must be picklable; the stream keeps them
+    from micro-batch to micro-batch.
+    """
+    fields = ", ".join(f"{c} double" for c in columns)
+
+    def run(days: pa.Table, before: pa.Table) -> pa.Table:
+        state = pickle.loads(before[STATE][0].as_py()) if len(before) else start()
+        days = days.sort_by([("bar", "ascending"), (ORDER, "ascending")])
+        bars = days["bar"].to_numpy()
+        edges = np.flatnonzero(np.append(True, bars[1:] != bars[:-1])) if len(bars) else np.zeros(0, np.int64)
+        rows = []
+        for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(bars)], strict=True):
+            part = days.slice(lo, hi - lo)
+            part = part.filter(pc.is_valid(part[ORDER]))
+            rows.append([None if x is None else float(x) for x in on_bar(state, days["bar"][lo].as_py(), part)])
+        last = [None] * (len(rows) - 1) + [pickle.dumps(state)] if rows else []
+        out = [days[k].take(pa.array(edges)) for k in KEY]
+        return pa.table([*out, *(pa.array([r[i] for r in rows], pa.float64()) for i in range(len(columns))), pa.array(last, pa.binary())], names=[*KEY, *columns, STATE])
+
+    def make(trades: DataFrame, grid: DataFrame | None = None, carry: DataFrame | None = None) -> DataFrame:
+        kept = ["trad_time", "price", "volume", "side", "bid_seq", "offer_seq", ORDER]
+        t = trades.select(*KEY, *kept)
+        if grid is not None:
+            t = grid.select(*KEY).join(t, KEY, "left")
+        t = t.withColumn("day", day_of(F.col("bar")))
+        if carry is None:
+            carry = t.sparkSession.createDataFrame([], t.select("period", "security", "day").schema.add(STATE, "binary"))
+        kinds = ", ".join(f"{k} {t.schema[k].dataType.simpleString()}" for k in KEY)
+        by = ["period", "security", "day"]
+        # days without trades or grid rows only have a state, which stays as it is
+        known = carry.join(t.select(*by).distinct(), by, "left_semi")
+        return t.groupBy(*by).cogroup(known.groupBy(*by)).applyInArrow(run, f"{kinds}, {fields}, {STATE} binary")
+
+    register(name, make)
+    STATEFUL.add(name)
+
+
 def feature(name: str) -> Maker:
     if name not in FEATURES:
         raise ValueError(f"unknown feature {name}")

@@ -40,7 +40,7 @@ def run_features(trades: DataFrame, universe: DataFrame, spec: list[Feature], ba
         if bars is not None:
             ends = B.period_of(bars, periods, phase).select("period", F.col("period_end").alias("bar")).distinct()
             grid = B.dense(traced.sparkSession.createDataFrame([], "period int, security string, bar timestamp_ntz"), universe, ends)
-        out[f.name] = X.feature(f.name)(keyed, grid, **own)
+        out[f.name] = X.feature(f.name)(keyed, grid, **own).drop(X.STATE)
     return out
 
 

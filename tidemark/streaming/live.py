@@ -115,13 +115,21 @@ class Collector(StatefulProcessor):
         pass
 
 
-def closed(trades: DataFrame, universe: DataFrame, periods: list[int], latency_ms: int = 50, bar: Callable[[Column], Column] = B.session_bar, first_open: Callable[[int], int] = B.first_open) -> DataFrame:
-    """The trades of a stream once for each period, handed on when the period has ended: (period, security, bar, ..., seq), where ``seq`` numbers a security's trades as they arrived."""
-    if "source" not in trades.columns:
-        trades = trades.withColumn("source", F.lit(""))
-    t = trades.withColumns({"bar_ms": millis(bar(F.col("trad_time"))), "clock": F.timestamp_millis(millis(F.col("trad_time")))}).withWatermark("clock", f"{LAG_MS} milliseconds")
-    t = B.only_traced(t, universe).select("security", "clock", "source", "bar_ms", *_KEPT)
-    return t.groupBy("security").transformWithStateInPandas(Collector(periods, latency_ms, first_open), CLOSED, "Append", "EventTime")
+def closed(trades: DataFrame | list[DataFrame], universe: DataFrame, periods: list[int], latency_ms: int = 50, bar: Callable[[Column], Column] = B.session_bar, first_open: Callable[[int], int] = B.first_open) -> DataFrame:
+    """The trades of a stream once for each period, handed on when the period has ended: (period, security, bar, ..., seq), where ``seq`` numbers a security's trades as they arrived.
+
+    Of several streams each has a watermark of its own, and the least counts
+    (Spark's default policy): a bar closes once all have passed it, and one
+    that stalls holds it back.
+    """
+    rows = None
+    for t in trades if isinstance(trades, list) else [trades]:
+        if "source" not in t.columns:
+            t = t.withColumn("source", F.lit(""))
+        t = t.withColumns({"bar_ms": millis(bar(F.col("trad_time"))), "clock": F.timestamp_millis(millis(F.col("trad_time")))}).withWatermark("clock", f"{LAG_MS} milliseconds")
+        t = B.only_traced(t, universe).select("security", "clock", "source", "bar_ms", *_KEPT)
+        rows = t if rows is None else rows.unionByName(t)
+    return rows.groupBy("security").transformWithStateInPandas(Collector(periods, latency_ms, first_open), CLOSED, "Append", "EventTime")
 
 
 class LiveFeatures:
@@ -138,9 +146,9 @@ class LiveFeatures:
         plan = publish_plan(spec, X.FEATURES)
         self.periods = {name: [p for p, names in plan.by_period.items() if name in names] for names in plan.by_period.values() for name in names}
 
-    def start(self, trades: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
-        """Run over a streaming frame of trades."""
-        trades.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    def start(self, trades: DataFrame | list[DataFrame], checkpoint: str, **trigger) -> StreamingQuery:
+        """Run over a streaming frame of trades, or over several (one an exchange, say) of which none may lag behind a bar that is handed on."""
+        self.universe.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
         every = sorted({p for periods in self.periods.values() for p in periods})
         rows = closed(trades, self.universe, every, self.latency, self.bar, self.first_open)
         return rows.writeStream.outputMode("append").foreachBatch(self.on_closed).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
@@ -173,7 +181,7 @@ class LiveFeatures:
 
     def _feature(self, name: str, trades: DataFrame, since: datetime | None, until: datetime, day, last: int | None, epoch: int) -> None:
         spark, options, grid = trades.sparkSession, dict(self.options.get(name, {})), None
-        keeps = name in X.BUILT_IN
+        keeps = name in X.BUILT_IN or name in X.STATEFUL
         if keeps and last is not None:
             options["carry"] = spark.read.parquet(self._at(f"carry/{name}", last))
         if self.bars is not None:
@@ -183,7 +191,7 @@ class LiveFeatures:
         got = self._written(X.feature(name)(trades, grid, **options), f"out/{name}", epoch)
         if keeps:
             self._written(X.carried(name, got, trades, options.get("carry"), day), f"carry/{name}", epoch)
-        self.deliver(name, got)
+        self.deliver(name, got.drop(X.STATE))
 
 
 def tumbling(trades: DataFrame, latency: str = "50 milliseconds") -> DataFrame:
