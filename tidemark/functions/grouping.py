@@ -139,6 +139,15 @@ def outer_merge(left: DataFrame, right: DataFrame, key: str, fill: float | None
     return out if fill is None else out.fillna(fill, [c for c in out.columns if c != key])
 
 
+def stacked(frames: list[DataFrame], columns: list[str], distinct: bool = False) -> DataFrame:
+    """The rows of all frames below each other; each gives its columns in the order of ``columns``, by whatever names."""
+    out = None
+    for df in frames:
+        df = df.toDF(*columns)
+        out = df if out is None else out.unionByName(df)
+    return out.distinct() if distinct else out
+
+
 def running(x: Name, keys: list[str], order: list[str]) -> Column:
     """Running total within ``keys``."""
     return F.sum(col(x)).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))

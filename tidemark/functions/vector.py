@@ -43,6 +43,25 @@ def ieee_divide(x: Name, y: Name) -> Column:
     return F.when(y == 0, at_zero).otherwise(F.try_divide(x, y))
 
 
+def is_positive(x: Name, over: float = 0.0) -> Column:
+    """Whether a number is known and larger than ``over``."""
+    return F.coalesce(col(x) > over, F.lit(False))
+
+
+def is_buy(side: Name = "side") -> Column:
+    return col(side) == 1
+
+
+def bands(x: Name, limits: dict[str, Name]) -> dict[str, Column]:
+    """Which band a value lies in: ``limits`` descend; each band lies above its limit and up to the one before, the last one, ``small``, up to the last limit."""
+    out, x = {}, col(x)
+    limits = {n: F.lit(v) if isinstance(v, (int, float)) else col(v) for n, v in limits.items()}
+    names = list(limits)
+    for name, before in zip(names, [None, *names], strict=False):
+        out[name] = x > limits[name] if before is None else (x > limits[name]) & (x <= limits[before])
+    return out | {"small": x <= limits[names[-1]]}
+
+
 def amount(price: Name = "price", volume: Name = "volume") -> Column:
     return col(volume) * col(price)
 

@@ -92,6 +92,16 @@ def only_traced(trades: DataFrame, universe: DataFrame) -> DataFrame:
     return trades.join(universe.select("security"), "security", "left_semi")
 
 
+def after(at: Column, time: str) -> Column:
+    """Whether a time of day, to the microsecond, is later than ``time`` (HH:mm:ss)."""
+    return F.date_format(at, "HH:mm:ss.SSSSSS") > F.lit(f"{time}.000000")
+
+
+def looked_up(rows: DataFrame, universe: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of the universe's securities with ``columns`` of it; one row of the universe a security."""
+    return rows.join(universe.select("security", *columns), "security")
+
+
 def next_bar_if_late(events: DataFrame, keys: list[str], arrival: list[str], bar: str = "bar") -> DataFrame:
     """``collected``: an event that arrives after its bar was closed by a later one goes to that later bar."""
     seen = F.max(bar).over(Window.partitionBy(*keys).orderBy(*arrival).rowsBetween(Window.unboundedPreceding, 0))

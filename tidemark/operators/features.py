@@ -99,7 +99,7 @@ def candles(trades: DataFrame, keys: list[str], price_filter: str = "clean") ->
         trades = trades.filter(ok)
     else:
         trades = trades.withColumns({"volume": F.when(ok, F.col("volume")).otherwise(0.0), "side": F.when(ok, F.col("side")).otherwise(0), "price": F.when(ok, F.col("price")).otherwise(0.0)})
-    buy = F.col("side") == 1
+    buy = V.is_buy()
     sell = ~buy if price_filter == "clean" else ~buy & ok
     amount = V.amount()
     return trades.groupBy(*keys).agg(
@@ -171,9 +171,9 @@ def orders(trades: DataFrame, keys: list[str] = KEY, first_logret: str = "price"
     if "amt" in trades.columns:
         return trades.groupBy(*keys, "buy", "order_no").agg(F.sum("amt").alias("amt"), F.sum("logret").alias("logret"))
     over = Window.partitionBy(*keys).orderBy(ORDER)
-    buy = F.col("side") == 1
+    buy = V.is_buy()
     no = F.when(buy, F.col("bid_seq")).otherwise(F.col("offer_seq"))
-    t = trades.filter(F.col("price") > 0).select(*keys, buy.alias("buy"), no.alias("order_no"), "price", V.amount().alias("_amt"), F.lag("price").over(over).alias("_in"), F.lead(ORDER).over(over).isNull().alias("_is_end"))
+    t = trades.filter(V.is_positive("price")).select(*keys, buy.alias("buy"), no.alias("order_no"), "price", V.amount().alias("_amt"), F.lag("price").over(over).alias("_in"), F.lead(ORDER).over(over).isNull().alias("_is_end"))
     first = F.col("_in").isNull()
     o = t.groupBy(*keys, "buy", "order_no").agg(
         F.sum("_amt").alias("amt"),
@@ -208,7 +208,7 @@ def trade_amount(trades: DataFrame, kind: str, grid: DataFrame | None = None, do
             q = F.percentile("amt", F.lit(list(QUANTILES))).over(over)
             o = o.withColumn("_q", q).withColumns({n: F.col("_q")[i] for i, n in enumerate(("_u", "_b", "_m"))})
     a, u, b, m = (F.col(x) for x in ("amt", "_u", "_b", "_m"))
-    bands = {"ultra": a > u, "big": (a > b) & (a <= u), "mid": (a > m) & (a <= b), "small": a <= m}
+    bands = V.bands(a, {"ultra": u, "big": b, "mid": m})
     agg = {}
     for name, cond in bands.items():
         agg[f"{name}BuyAmt"] = _sum0(_when(cond & F.col("buy"), a))
@@ -223,7 +223,7 @@ def trade_amount(trades: DataFrame, kind: str, grid: DataFrame | None = None, do
 
 def large_orders(trades: DataFrame, p: float, threshold_base: str = "trade") -> DataFrame:
     """Trades of orders whose amount in the bar exceeds the quantile of the distinct trade (or order) amounts."""
-    buy = F.col("side") == 1
+    buy = V.is_buy()
     no = F.when(buy, F.col("bid_seq")).otherwise(F.col("offer_seq"))
     # one exchange, by security and bar (which also serves every period): the order's sum, the distinct amounts and their quantile are windows within it
     t = trades.select(*KEY, "price", "volume", "side", buy.alias("_buy"), no.alias("_no"), V.amount().alias("_amt")).repartition("security", "bar")
@@ -243,7 +243,7 @@ def levels(trades: DataFrame, keys: list[str] = KEY) -> DataFrame:
     """One row a price of each bar: volumes and counts of both sides; of any finer such rows too, so that periods add up minutes."""
     if "Sv" in trades.columns:
         return trades.groupBy(*keys, "price").agg(*(F.sum(c).alias(c) for c in _SIDES))
-    buy = F.col("side") == 1
+    buy = V.is_buy()
     return trades.groupBy(*keys, "price").agg(
         _sum0(_when(~buy, F.col("volume"))).alias("Sv"),
         F.count(_when(~buy, 1)).cast("double").alias("Scjbs"),
@@ -289,7 +289,7 @@ def order_flow(trades: DataFrame, size: str | None = None, grid: DataFrame | Non
 
     A bar with one side only is all NULL and adds nothing to the day's running totals.
     """
-    trades = trades.filter(F.col("price") > 0)
+    trades = trades.filter(V.is_positive("price"))
     if size:
         trades = large_orders(trades, {"big": 0.95, "small": 0.5}[size], threshold_base)
     lv = _level_columns(levels(trades))
@@ -368,7 +368,7 @@ MINUTES: dict[str, Callable[..., DataFrame]] = {
     "trade_amount_dollar": _minute_orders,
     "trade_amount_std": _minute_orders,
     "trade_amount_quantile": _minute_orders,
-    "order_flow_min": lambda t, keys, **_: levels(t.filter(F.col("price") > 0), keys),
+    "order_flow_min": lambda t, keys, **_: levels(t.filter(V.is_positive("price")), keys),
 }
 
 
@@ -389,7 +389,7 @@ def carried(name: str, rows: DataFrame, trades: DataFrame, before: DataFrame | N
     kind = next(k for k in CARRIED if name.startswith(k))
     names, key = CARRIED[kind], ["period", "security", "day"]
     if kind == "trade_amount":
-        rows = trades.filter(F.col("price") > 0)
+        rows = trades.filter(V.is_positive("price"))
         agg = [F.max_by("price", F.struct("bar", ORDER)).alias("last_price")]
     elif kind == "debug_trade":
         agg = [F.max(_when(F.col("term_count") > 0, F.col("term_count"))).alias("term_count")]

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -111,42 +110,60 @@ def universe_split(spark, d):
     return u.select("security", universe.exchange_of(F.col("security")).alias("exchange"), F.coalesce("p_retailprice", F.lit(0.0)).alias("prev_close"))
 
 
-@_add("universe_from_daily", "SELECT security, exchange, CAST(prev_close AS DOUBLE) AS prev_close, row_no FROM (VALUES ('600001', 'SH', 7.5, 0), ('000001', 'SZ', 10.0, 1), ('300002', 'SZ', 0.0, 2)) t(security, exchange, prev_close, row_no)")
+_ID = "lpad(CAST(s_suppkey * 30011 % 1000000 AS VARCHAR), 6, '0')"
+
+
+@_add(
+    "universe_from_daily",
+    f"""WITH u AS (SELECT {_ID} AS security, CASE WHEN left({_ID}, 2) IN ('30', '00') THEN 'SZ' ELSE 'SH' END AS exchange, CAST(CASE WHEN s_nationkey % 5 = 0 THEN 0 ELSE s_acctbal END AS DOUBLE) AS prev_close FROM supplier)
+SELECT *, CAST(row_number() OVER (ORDER BY exchange, security) - 1 AS INT) AS row_no FROM u""",
+)
 def universe_from_daily(spark, d):
-    """One day's closes of a wide table, through JSON and back."""
-    daily = spark.createDataFrame([("2024-01-02", 10.0, 7.5, None), ("2024-01-03", 11.0, 8.0, 3.0)], "day string, `000001` double, `600001` double, `300002` double")
-    got = universe.from_json(spark, universe.to_json(universe.from_daily(daily, "day", "2024-01-02")))
+    """One day's closes of a wide table, one column a supplier, through JSON and back; some closes are missing."""
+    ids = F.lpad((F.col("s_suppkey") * 30011 % 1000000).cast("string"), 6, "0")
+    long = spark.read.parquet(f"{d}/supplier.parquet").select(ids.alias("security"), F.when(F.col("s_nationkey") % 5 != 0, F.col("s_acctbal")).alias("close"))
+    days = long.crossJoin(spark.createDataFrame([("2024-01-02", 1.0), ("2024-01-03", 2.0)], "day string, times double"))
+    wide = days.groupBy("day").pivot("security").agg(F.first(F.col("close") * F.col("times")))
+    got = universe.from_json(spark, universe.to_json(universe.from_daily(wide, "day", "2024-01-02")))
     return got.select("security", "exchange", "prev_close", "row_no")
 
 
-@_add("publish_plan", "SELECT * FROM (VALUES " + ", ".join(f"({p}, '{f}', {i})" for i, (p, f) in enumerate(C.publish_plan(C.SHIPPED).outputs)) + ") t(period, feature, port)")
+@_add("publish_plan", "WITH o AS (SELECT DISTINCT CAST(p_size % 4 * 5 + 1 AS INT) AS period, p_brand AS feature, CAST(right(p_brand, 1) AS INT) AS place FROM part) SELECT period, feature, CAST(10085 + row_number() OVER (ORDER BY period, place, feature) AS INT) AS port FROM o")
 def publish_plan(spark, d):
-    """Outputs of the shipped plan with their port numbers from 0."""
-    spec = C.endpoints(C.publish_plan(C.SHIPPED), 0)
-    return spark.createDataFrame([(x["period"], f, n) for x in spec["trade"] for f, n in zip(x["called_func"], x["port"], strict=True)], "period int, feature string, port int")
+    """One port for each output (period, feature), counted up from the first."""
+    outputs = spark.read.parquet(f"{d}/part.parquet").select((F.col("p_size") % 4 * 5 + 1).cast("int").alias("period"), F.col("p_brand").alias("feature"), F.substring("p_brand", -1, 1).cast("int").alias("place"))
+    return C.ports(outputs.distinct(), 10086)
+
+
+@_add(
+    "arrival_order",
+    """WITH t AS (SELECT l_suppkey, round(l_extendedprice, 2) AS price, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS n FROM lineitem)
+SELECT lpad(CAST(l_suppkey AS VARCHAR), 6, '0') || '.XSHE' AS security, count(*) AS n, count(*) AS numbers, arg_min(price, n) AS first, arg_max(price, n) AS last FROM t GROUP BY 1""",
+)
+def arrival_order(spark, d):
+    """Lines written to many files, read back in the order of the files and of the lines in them; all at one time of day."""
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").repartitionByRange(16, "l_orderkey").sortWithinPartitions("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").select(
+        F.concat_ws(",", F.lit("a"), F.lit("b"), F.lit("c"), "l_orderkey", "l_partkey", F.lpad(F.col("l_suppkey").cast("string"), 6, "0"), F.lit("d"), F.format_string("%.2f", "l_extendedprice"), F.col("l_quantity").cast("string"), F.lit("70"), F.lit("09:30:00.500")).alias("value")
+    )
+    at = sinks.scratch(spark)
+    lines.write.text(at)
+    got = trades.read_trades(spark, {"SZ": at}, "2024-01-02").groupBy("security")
+    return got.agg(F.count("*").alias("n"), F.count_distinct("seq").alias("numbers"), F.min_by("price", "seq").alias("first"), F.max_by("price", "seq").alias("last"))
 
 
 # -- filters, joins, projections ---------------------------------------------
 
 _add("filter_price", "SELECT l_orderkey, l_linenumber, l_discount FROM lineitem WHERE l_discount > 0.05")(
-    lambda s, d: s.read.parquet(f"{d}/lineitem.parquet").filter(F.col("l_discount") > 0.05).select("l_orderkey", "l_linenumber", "l_discount")
+    lambda s, d: s.read.parquet(f"{d}/lineitem.parquet").filter(V.is_positive("l_discount", 0.05)).select("l_orderkey", "l_linenumber", "l_discount")
 )
-_add("filter_side", T + " SELECT security, trad_time, seq, volume FROM t WHERE side = 1")(lambda s, d: _quarters(s, d).filter("side = 1").select("security", "trad_time", "seq", "volume"))
+_add("filter_side", T + " SELECT security, trad_time, seq, volume FROM t WHERE side = 1")(lambda s, d: _quarters(s, d).filter(V.is_buy()).select("security", "trad_time", "seq", "volume"))
 _add("filter_session", "SELECT event_id FROM events WHERE CAST(ts AS TIME) > TIME '09:30:00'")(
-    lambda s, d: s.read.parquet(f"{d}/events.parquet").filter(F.date_format("ts", "HH:mm:ss.SSSSSS") > "09:30:00.000000").select("event_id")
+    lambda s, d: s.read.parquet(f"{d}/events.parquet").filter(B.after(F.col("ts"), B.OPEN)).select("event_id")
 )
 _add(
     "band_filter",
     T + f" SELECT security, {_q6(['sum(CASE WHEN volume > 30 THEN volume ELSE 0 END)', 'sum(CASE WHEN volume > 10 AND volume <= 30 THEN volume ELSE 0 END)', 'sum(CASE WHEN volume <= 10 THEN volume ELSE 0 END)'], ['big', 'mid', 'small'])} FROM t GROUP BY security",
-)(
-    lambda s, d: _r6(
-        _quarters(s, d).groupBy("security").agg(
-            F.sum(F.when(F.col("volume") > 30, F.col("volume")).otherwise(0.0)).alias("big"),
-            F.sum(F.when((F.col("volume") > 10) & (F.col("volume") <= 30), F.col("volume")).otherwise(0.0)).alias("mid"),
-            F.sum(F.when(F.col("volume") <= 10, F.col("volume")).otherwise(0.0)).alias("small"),
-        )
-    )
-)
+)(lambda s, d: _r6(_quarters(s, d).groupBy("security").agg(*(F.sum(F.when(c, F.col("volume")).otherwise(0.0)).alias(n) for n, c in V.bands("volume", {"big": 30, "mid": 10}).items()))))
 
 
 @_add("semi_universe", T + " SELECT security, count(*) AS n FROM t WHERE EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = security AND s_acctbal > 0) GROUP BY security")
@@ -157,7 +174,7 @@ def semi_universe(spark, d):
 
 
 _add("row_lookup", T + " SELECT security, s_name, count(*) AS n FROM t JOIN supplier ON s_suppkey = security GROUP BY ALL")(
-    lambda s, d: _quarters(s, d).groupBy("security").agg(F.count("*").alias("n")).join(s.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("security"), "s_name"), "security").select("security", "s_name", "n")
+    lambda s, d: B.looked_up(_quarters(s, d).groupBy("security").agg(F.count("*").alias("n")), s.read.parquet(f"{d}/supplier.parquet").withColumnRenamed("s_suppkey", "security"), ["s_name"]).select("security", "s_name", "n")
 )
 _add("amount_project", T + f" SELECT security, trad_time, seq, {_q6(['volume * price'], ['amount'])} FROM t")(
     lambda s, d: _r6(_quarters(s, d).select("security", "trad_time", "seq", V.amount().alias("amount")))
@@ -185,7 +202,7 @@ _add("vector_arithmetic", f"SELECT l_orderkey, l_linenumber, l_partkey, l_quanti
     )
 )
 _add("vertical_concat", "SELECT c_custkey AS k, c_acctbal AS v FROM customer UNION ALL SELECT s_suppkey, s_acctbal FROM supplier")(
-    lambda s, d: s.read.parquet(f"{d}/customer.parquet").selectExpr("c_custkey AS k", "c_acctbal AS v").unionByName(s.read.parquet(f"{d}/supplier.parquet").selectExpr("s_suppkey AS k", "s_acctbal AS v"))
+    lambda s, d: G.stacked([s.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_acctbal"), s.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", "s_acctbal")], ["k", "v"])
 )
 
 # -- groups ------------------------------------------------------------------
@@ -525,9 +542,6 @@ def sink_roundtrip(spark, d):
     return _r6(got.withColumn("security", F.col("security").cast("bigint")), ["security", "bar", *CANDLE_COLUMNS])
 
 
-_ONE_BAR = "1996-10-01"
-
-
 _add(
     "time_functions",
     """SELECT event_id, strftime(ts, '%H:%M:%S.%g') AS text, date_trunc('minute', ts) = date_trunc('minute', ts + INTERVAL 20 SECOND) AS same,
@@ -539,23 +553,19 @@ _add(
 )
 
 
-@_add("publish_ipc", T + f" SELECT security, bar, {_q6(['sum(volume * price)', 'CAST(count(*) AS DOUBLE)'], ['amount', 'count'])} FROM t WHERE bar = TIMESTAMP '{_ONE_BAR}' GROUP BY security, bar")
+@_add("publish_ipc", T + f" SELECT security, bar, {_q6(['sum(volume * price)', 'CAST(count(*) AS DOUBLE)'], ['amount', 'count'])} FROM t GROUP BY security, bar")
 def publish_ipc(spark, d):
-    """K2, K5, K6: one bar as the bytes of an Arrow stream, read again."""
-    t = _quarters(spark, d).filter(F.col("bar") == F.lit(_ONE_BAR).cast("timestamp_ntz"))
-    sent: list[bytes] = []
-    sinks.publish(X.debug_trade(t).drop("term_count"), lambda x: sent.append(x) or True)
-    table = pa.ipc.open_stream(sent[0]).read_all()
-    got = spark.createDataFrame(table.set_column(0, "securityid", table["securityid"].cast(pa.binary())))
-    security = F.regexp_replace(F.col("securityid").cast("string"), "\\x00+$", "").cast("bigint")
-    return _r6(got.select(security.alias("security"), F.col("datetime").alias("bar"), "amount", "count"))
+    """K2, K5, K6: every bar packed as an Arrow stream in the task that holds it, and read again as a receiver does."""
+    sent = sinks.packets(X.debug_trade(_quarters(spark, d)).drop("term_count"))
+    got = sinks.unpacked(sent, "amount double, count double")
+    return _r6(got.select(F.col("security").cast("bigint").alias("security"), "bar", "amount", "count"))
 
 
-@_add("completed_bars", T + " SELECT DISTINCT CAST(1 AS INT) AS period, bar FROM t WHERE security % 9 = 0 AND price > 10 INTERSECT SELECT DISTINCT CAST(1 AS INT), bar FROM t WHERE security % 9 = 1 AND price > 10")
+@_add("completed_bars", T + " SELECT DISTINCT CAST(1 AS INT) AS period, bar FROM t WHERE security % 2 = 0 AND price > 10 INTERSECT SELECT DISTINCT CAST(1 AS INT), bar FROM t WHERE security % 2 = 1 AND price > 10")
 def completed_bars(spark, d):
     """The bars that both exchanges' frames have."""
     t = _quarters(spark, d).filter("price > 10")
-    return run.completed([X.debug_trade(t.filter(f"security % 9 = {i}")) for i in (0, 1)])
+    return run.completed([X.debug_trade(t.filter(f"security % 2 = {i}")) for i in (0, 1)])
 
 
 def _spread(trades: DataFrame, grid: DataFrame | None = None) -> DataFrame:
@@ -612,5 +622,90 @@ def tumbling_bars(spark, d):
 @_add("sorted_union", "WITH u AS (SELECT s_nationkey AS k FROM supplier UNION SELECT c_nationkey FROM customer) SELECT k, CAST(row_number() OVER (ORDER BY k DESC) AS INT) AS place FROM u")
 def sorted_union(spark, d):
     """2.8: union, distinct, sort."""
-    s, c = (spark.read.parquet(f"{d}/{t}.parquet").select(F.col(k).alias("k")) for t, k in (("supplier", "s_nationkey"), ("customer", "c_nationkey")))
-    return s.unionByName(c).distinct().withColumn("place", F.row_number().over(Window.orderBy(F.desc("k"))))
+    frames = [spark.read.parquet(f"{d}/{t}.parquet").select(k) for t, k in (("supplier", "s_nationkey"), ("customer", "c_nationkey"))]
+    return G.stacked(frames, ["k"], distinct=True).withColumn("place", F.row_number().over(Window.orderBy(F.desc("k"))))
+
+
+# -- minute tables, days, streams ---------------------------------------------
+
+_EVENTS = f"(SELECT *, CAST(date_trunc('minute', trad_time - INTERVAL 1 MICROSECOND) + INTERVAL 1 MINUTE AS TIMESTAMP) AS minute FROM ({P.DUCK_EVENT_TRADES}))"
+#: Events once for each period, period and user as one security, in the order of minutes and of arrival within them.
+_PERIOD_TRADES = f"""(SELECT p.period || ' ' || e.security AS security, trad_time, price, volume, bid_seq, offer_seq, side, epoch_us(minute) // 60000000 * 8589934592 + seq AS seq,
+  CAST(date_trunc('day', minute - INTERVAL 1 MICROSECOND) + to_minutes(CAST(ceil(date_diff('minute', date_trunc('day', minute - INTERVAL 1 MICROSECOND), minute) / p.period) * p.period AS INT)) AS TIMESTAMP) AS bar
+  FROM {_EVENTS} e, (SELECT unnest([1, 5, 15, 30]) AS period) p)"""
+
+
+def _everyone(trades_: DataFrame) -> DataFrame:
+    return trades_.select("security").distinct()
+
+
+def _period_rows(spark, d, name: str, columns: list[str]) -> DataFrame:
+    t = P.event_trades(spark, d)
+    got = run.run_features(t, _everyone(t), [C.Feature(name, tuple(_PERIODS))], bar=V.bar_end("trad_time"), **{name: {"across_days": True}})[name]
+    return _r6(got.withColumn("security", F.concat_ws(" ", "period", "security")), ["security", "bar", *columns])
+
+
+def _minute_row(name: str, sql: str, columns: list[str], doc: str) -> None:
+    q = lambda spark, d: _period_rows(spark, d, name, columns)
+    q.__doc__ = doc
+    _add(f"minutes_{name}", sql.replace(f"({P.DUCK_TRADES})", _PERIOD_TRADES))(q)
+
+
+_minute_row("trade_amount_std", _amount_sql("std"), TRADE_AMOUNT_COLUMNS, "X5 with FE4: four periods made of one minute table of orders.")
+_minute_row("order_flow_min", _flow_sql(None), ORDER_FLOW_COLUMNS, "X5 with FE6: four periods made of one minute table of price levels.")
+
+_DAY = "CAST(bar - INTERVAL 1 MICROSECOND AS DATE)"
+_LIVE = f"""WITH k AS (SELECT * FROM {_PERIOD_TRADES} WHERE split_part(security, ' ', 1) IN ('1', '5')),
+b AS (SELECT security, bar, round(sum(price * volume), 6) AS amount, CAST(count(*) AS DOUBLE) AS count, arg_max(price, seq) AS close, sum(volume) AS v, bool_or(side = 1) AND bool_or(side <> 1) AS two FROM k GROUP BY ALL),
+r AS (SELECT security, bar, ln(price + 1) - ln(coalesce(lag(price) OVER (PARTITION BY security, {_DAY} ORDER BY seq), 0) + 1) AS lr FROM k),
+o AS (SELECT security, bar, sum(lr) AS lr FROM r GROUP BY ALL)
+SELECT security, bar, amount, count, CAST(row_number() OVER (PARTITION BY security, {_DAY} ORDER BY bar) AS DOUBLE) AS term_count, close AS closeprice_nfq,
+  CASE WHEN two THEN round(sum(v) FILTER (WHERE two) OVER (PARTITION BY security, {_DAY} ORDER BY bar), 6) END AS "CumTradv", round(lr, 6) + 0.0 AS "smallOrderchg"
+FROM b JOIN o USING (security, bar)"""
+
+
+@_add("live_features", _LIVE)
+def live_features(spark, d):
+    """Features of events that come in three runs of a stream, each a restart; histories begin anew each day."""
+    at, t = sinks.scratch(spark), P.event_trades(spark, d)
+    cuts = [c for c in t.select(F.unix_micros(F.col("trad_time").cast("timestamp")).alias("at")).approxQuantile("at", [0.3, 0.7], 0.01)]
+    part = sum(((F.unix_micros(F.col("trad_time").cast("timestamp")) > int(c)).cast("int") for c in cuts), F.lit(0))
+    out: list[str] = []
+
+    def keep(name: str, rows: DataFrame) -> None:
+        out.append(name)
+        rows.write.mode("append").parquet(f"{at}/got/{name}")
+
+    names = ["debug_trade", "order_flow_min", "trade_amount_dollar", "candle_stick"]
+    run_ = live.LiveFeatures(_everyone(t), [C.Feature(n, (1, 5)) for n in names], f"{at}/store", keep, bar=V.bar_end, first_open=lambda ms: (ms // 60_000 + 1) * 60_000)
+    for i in range(len(cuts) + 2):  # the last message, of nobody's, ends the day
+        new = t.filter(part == i) if i <= len(cuts) else t.agg(F.max("trad_time").alias("trad_time")).select(*(F.lit("").alias(c) if c == "security" else (F.col(c) + F.expr("interval 1 day")).alias(c) if c == "trad_time" else F.lit(None).cast(t.schema[c].dataType).alias(c) for c in t.columns))
+        new.write.mode("append").parquet(f"{at}/in")
+        q = run_.start(spark.readStream.schema(t.schema).parquet(f"{at}/in"), f"{at}/checkpoint")
+        q.awaitTermination()
+    key = ["period", "security", "bar"]
+    got = spark.read.parquet(f"{at}/got/debug_trade")
+    for n, c in zip(names[1:], ("CumTradv", "smallOrderchg", "closeprice_nfq"), strict=True):
+        got = got.join(spark.read.parquet(f"{at}/got/{n}").select(*key, c), key, "full_outer")
+    return _r6(got.withColumn("security", F.concat_ws(" ", "period", "security")), ["security", "bar", *DEBUG_COLUMNS, "closeprice_nfq", "CumTradv", "smallOrderchg"])
+
+
+@_add("quantile_heavy", "SELECT l_returnflag AS flag, round(quantile_cont(l_extendedprice, 0.95), 6) AS q FROM lineitem GROUP BY 1")
+def quantile_heavy(spark, d):
+    """Exact quantiles of a few groups that hold all rows."""
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_returnflag").alias("flag"), "l_extendedprice")
+    return _r6(G.quantiles_of_heavy(lines, ["flag"], "l_extendedprice", 0.95))
+
+
+def _bars_with_trades(state, bar, rows):
+    state["n"] += rows.num_rows > 0
+    return [rows.num_rows, state["n"]]
+
+
+@_add("user_feature_state", f"SELECT security, bar, CAST(count(*) AS DOUBLE) AS count, CAST(row_number() OVER (PARTITION BY security, {_DAY} ORDER BY bar) AS DOUBLE) AS term_count FROM {_PERIOD_TRADES} GROUP BY security, bar")
+def user_feature_state(spark, d):
+    """A feature with a state of its own and a vector as result: the running count of a day's bars."""
+    X.register_stateful("catalog_terms", ["count", "term_count"], lambda: {"n": 0}, _bars_with_trades)
+    t = P.event_trades(spark, d)
+    got = run.run_features(t, _everyone(t), [C.Feature("catalog_terms", tuple(_PERIODS))], bar=V.bar_end("trad_time"))["catalog_terms"]
+    return _r6(got.withColumn("security", F.concat_ws(" ", "period", "security")), ["security", "bar", "count", "term_count"])

@@ -39,3 +39,17 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.read.parquet(f"{sf_dir}/events.parquet").createOrReplaceTempView("tidemark_events")
     sql = TICKS_SQL.format(props="CAST(get_json_object(props, '$.k') AS DOUBLE)").replace("FROM events", "FROM tidemark_events")
     return spark.sql(sql)
+
+
+#: ``events`` as trades: prices in tenths, so that levels have several trades; event_id is the order of arrival and of time.
+EVENT_TRADES_SQL = """
+SELECT CAST(user_id AS STRING) AS security, ts AS trad_time, round(value / 20) / 10 + 1 AS price, {props} + 1 AS volume,
+       event_id * 7 % 16 AS bid_seq, event_id * 5 % 16 AS offer_seq, CASE WHEN event_id * 7 % 16 > event_id * 5 % 16 THEN 1 ELSE -1 END AS side, event_id AS seq FROM events
+"""
+DUCK_EVENT_TRADES = EVENT_TRADES_SQL.format(props="CAST(json_extract_string(props, '$.k') AS DOUBLE)").replace("AS STRING", "AS VARCHAR")
+
+
+def event_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as trades of users."""
+    spark.read.parquet(f"{sf_dir}/events.parquet").createOrReplaceTempView("tidemark_events")
+    return spark.sql(EVENT_TRADES_SQL.format(props="CAST(get_json_object(props, '$.k') AS DOUBLE)").replace("FROM events", "FROM tidemark_events"))

@@ -6,6 +6,9 @@ import json
 from dataclasses import dataclass, field
 from pathlib import Path
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
 from tidemark.sources.schemas import FEATURE_COLUMNS
 
 
@@ -105,6 +108,12 @@ def endpoints(plan: Plan, port_begin: int, ip: str = "") -> dict:
     return {"ip": ip, "trade": out, "order": [], "depth": []}
 
 
+def ports(outputs: DataFrame, port_begin: int) -> DataFrame:
+    """(period, feature, port) of a frame of outputs (period, feature, place): ports count up over periods and, within each, places; a table of outputs has some hundreds of rows."""
+    place = F.row_number().over(Window.orderBy("period", "place", "feature")) - 1
+    return outputs.select("period", "feature", (place + port_begin).cast("int").alias("port"))
+
+
 #: The shipped publish list.
 SHIPPED = [
     Feature("candle_stick", (1, 5, 15, 30)),
