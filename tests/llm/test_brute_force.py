@@ -73,6 +73,15 @@ def test_empty_and_odd(none, odd, name):
         assert {(r["doc_id"], r["source"]) for r in got} <= {(d, x) for d, _, _, x in ODD}
 
 
+def test_rows_of_one_document(spark):
+    """Rows that share a doc_id link what either is similar to; ids may be negative, and many rows may share one."""
+    a, b, c = ("w%d " * 9 % tuple(range(i, i + 9)) for i in (0, 100, 200))
+    rows = [(5, a), (11, a), (11, b), (50, b), (60, c), (-3, c), (-3, "other words here only"), (70, c), (70, c), (80, ""), (80, None), (None, a)]
+    got = near.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(5, 5), (11, 5), (50, 5), (60, -3), (-3, -3), (70, -3), (80, 80), (None, None)}
+    assert sorted(r["n_shingles"] for r in got) == sorted([5] * 9 + [1, 0, 0])
+
+
 def thue_morse(n):
     x = "a"
     while len(x) < n:

@@ -89,19 +89,22 @@ def test_bpe(spark, docs):
 
 
 def plain_fingerprint(text):
-    """Paragraph by paragraph, lane by lane: 64 bytes of BLAKE2b, as 4 little-endian words and 256 bits."""
-    units, raw, start = [], text.encode(), 0
-    for i in range(len(raw)):
-        if raw[i] == 10 or i and raw[i] == 32 and raw[i - 1] in b".!?":
-            units.append(raw[start : i + 1])
-            start = i + 1
-    if start < len(raw):
-        units.append(raw[start:])
+    """From the docstring: paragraphs are lines cut after sentence ends, without what closes them; 64 bytes of BLAKE2b each, as 4 little-endian words and 256 bits."""
+    *closed, last = re.split(r"(?<=[.!?]) |\n", text)
+    units = [u.encode() for u in [*closed, *([last] if last else [])]]
+    newlines = text.count("\n")
     small, wide = [0] * 256, [0] * 4
+
+    def word(d, k):
+        return int.from_bytes(d[8 * k : 8 * k + 8], "little")
+
     for u in units:
         d = hashlib.blake2b(u).digest()
-        wide = [(x + int.from_bytes(d[8 * k : 8 * k + 8], "little")) % 2**64 for k, x in enumerate(wide)]
+        wide = [(x + word(d, k)) % 2**64 for k, x in enumerate(wide)]
         small = [(x + (1 if d[32 + k // 8] >> (7 - k % 8) & 1 else -1)) % 2**16 for k, x in enumerate(small)]
+    for n, byte in ((newlines, b"\n"), (len(closed) - newlines, b" ")):
+        d = hashlib.blake2b(byte, person=b"closing").digest()
+        wide = [(x + n * word(d, k)) % 2**64 for k, x in enumerate(wide)]
     return "".join(f"{x:016x}" for x in wide) + "".join(f"{x:04x}" for x in small)
 
 
@@ -143,3 +146,7 @@ def test_fingerprint_algebra():
     assert plain_fingerprint(a + b) == plain_fingerprint(b + a) == fp.added(plain_fingerprint(a), plain_fingerprint(b))
     assert fp.added(plain_fingerprint(a + b), plain_fingerprint(b), -1) == plain_fingerprint(a)
     assert plain_fingerprint("x") != plain_fingerprint("y")
+    of = lambda x: fp.hex_of(*fp._sums_of([x]))[0]
+    for one, two in (("Alpha one\nBeta two", "Beta two\nAlpha one"), ("First. Second.", "Second. First."), ("a\n\nb", "b\n\na")):
+        assert of(one) == of(two) == plain_fingerprint(one)
+    assert len({of(x) for x in ("A. B", "A.\nB", "A. B\n", "A.  B", "A.B", "", "\n", " ")}) == 8

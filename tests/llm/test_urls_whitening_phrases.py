@@ -209,10 +209,10 @@ def texts(seed=2, n=150):
     return docs + [(n, None, "en", "s"), (n, "", None, "s"), (None, "...,,,\n\n", "en", None), (n + 1, common + ". " + common, "en", "s"), (n + 2, common, "xx", "s")] + docs[:20] + [(n + 3, " ", "yy", "s")]
 
 
-@pytest.mark.parametrize(("bits", "shard"), [(phrases.BITS, phrases.SHARD_BYTES), (1 << 8, 300)])  # a full bitmap and tiny shards change nothing
-def test_phrases(spark, bits, shard):
+@pytest.mark.parametrize(("bits", "shard", "most"), [(phrases.BITS, phrases.SHARD_BYTES, phrases.MERGED), (1 << 8, 300, 200), (1 << 16, 1000, 3000)])  # a full bitmap, tiny shards and early hand-over change nothing
+def test_phrases(spark, bits, shard, most):
     docs = texts()
-    got = phrases.collocations(spark.createDataFrame(docs, DOC).repartition(3), least=5, bits=bits, shard_bytes=shard)
+    got = phrases.collocations(spark.createDataFrame(docs, DOC).repartition(3), least=5, bits=bits, shard_bytes=shard, most=most)
     want = plain_phrases(docs, 5)
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"] and len(want) > 100
     assert sorted(map(tuple, got.collect())) == want
@@ -231,7 +231,7 @@ def test_slices(spark):
     t = next(phrases.shared.chunks(pa.array([x[1] for x in texts()])))
     row = phrases._shard(t, ["en"] * len(t))
     names = [x.split()[0] for x in phrases._SHARD.split(", ")]
-    kinds = [pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int32()), *[pa.binary()] * 4]
+    kinds = [pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int32()), *[pa.binary()] * 3]
     s = phrases.Shard({n: pa.scalar(x, k) for n, x, k in zip(names, row, kinds, strict=True)})
     full = [np.full(8, 255, np.uint8)] * 3
     got = []

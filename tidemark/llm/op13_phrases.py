@@ -3,7 +3,7 @@
 Documents are cut into shards of about ``SHARD_BYTES`` of text.  In a shard
 every word stands at a position, and one position stays free between pieces,
 so no run of positions crosses a piece or a document.  A word of a language
-has a bitmap of its positions, kept as its non-zero words of 32 bits.  A
+has a bitmap of its positions, kept as its non-zero bytes.  A
 phrase's bitmap is that of its first words, shifted by one, AND that of its
 last; its popcount is the phrase's count in the shard, and counts add up over
 shards.  Phrases grow depth-first: a slice of first words is extended to full
@@ -43,15 +43,20 @@ TOP = 2000
 CONTAINED = 80
 SCALE = 2_000_000
 NO_LANG = "und"
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Bits of the bitmap of frequent phrases of one length.
 BITS = 1 << 27
 #: ANDs done at once.
-ANDS = 1 << 21
+ANDS = 1 << 19
+#: Hashes of phrases that a task adds up before it hands them on.
+MERGED = 1 << 20
 #: Bytes that end a piece, and those that part words.
 ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
+#: Low bits of a hash by which counts are added up; of phrases that share them all are kept if their sum is frequent.
+HASH_BITS = 40
+_LOW = np.uint64((1 << HASH_BITS) - 1)
 _SLAB = 1 << 15
-_SHARD = "words array<string>, langs array<string>, of array<int>, hashes binary, starts binary, blocks binary, bits binary"
+_SHARD = "words array<string>, langs array<string>, of array<int>, starts binary, blocks binary, bits binary"
 
 
 def _flags(which: bytes) -> np.ndarray:
@@ -97,6 +102,17 @@ def positions(t: shared.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return starts, ends, text, np.arange(len(starts)) + np.cumsum(new)
 
 
+def _planes(x: np.ndarray, n: int) -> bytes:
+    """The low ``n`` bytes of whole numbers, all first bytes, then all second ones: what is small compresses well."""
+    return x.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :n].T.tobytes()
+
+
+def _unplaned(data, n: int, kind) -> np.ndarray:
+    out = np.zeros((len(data) // n, np.dtype(kind).itemsize), np.uint8)
+    out[:, :n] = np.frombuffer(data, np.uint8).reshape(n, -1).T
+    return out.reshape(-1).view(kind)
+
+
 def _or_by_key(key: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(key, kind="stable")
     key, bits = key[order], bits[order]
@@ -104,8 +120,14 @@ def _or_by_key(key: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return key[at], np.bitwise_or.reduceat(bits, at) if len(at) else bits
 
 
+def _word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, langs: list[str], of: np.ndarray) -> np.ndarray:
+    """Hashes of words of languages."""
+    salts = np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in langs], np.uint64)
+    return shared.mixed(shared.span_hashes(buf, starts, ends) ^ salts[of])
+
+
 def _shard(t: shared.Texts, langs: list[str]) -> tuple | None:
-    """The bitmaps of a shard: its words with their languages and hashes, and for each its non-zero blocks."""
+    """The bitmaps of a shard: its words with their languages, and for each its non-zero blocks, as differences."""
     low = shared.Texts(shared.lowered(t.buf), t.starts, t.ends, t.first)
     starts, ends, text, at = positions(low)
     if not len(starts):
@@ -113,14 +135,13 @@ def _shard(t: shared.Texts, langs: list[str]) -> tuple | None:
     names = sorted(set(langs))
     number = {x: i for i, x in enumerate(names)}
     lang = np.array([number[x] for x in langs])[text]
-    salts = np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in names], np.uint64)
-    h = shared.mixed(shared.span_hashes(low.buf, starts, ends) ^ salts[lang])
+    h = _word_hashes(low.buf, starts, ends, names, lang)
     hashes, first, word = np.unique(h, return_index=True, return_inverse=True)
-    width = int(at[-1] // 32) + 1
-    key, bits = _or_by_key(word.astype(np.int64) * width + at // 32, np.uint32(1) << (at % 32).astype(np.uint32))
+    width = int(at[-1] >> 3) + 1
+    key, bits = _or_by_key(word.astype(np.int64) * width + (at >> 3), np.uint8(1) << (at & 7).astype(np.uint8))
     words = [low.buf[a:b].tobytes().decode() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
     of = np.searchsorted(key // width, np.arange(len(hashes) + 1))
-    return words, names, lang[first].tolist(), hashes.tobytes(), of.astype(np.int64).tobytes(), (key % width).astype(np.int32).tobytes(), bits.tobytes()
+    return words, names, lang[first].tolist(), np.diff(of).astype(np.int32).tobytes(), _planes(np.diff(key % width, prepend=0), 4), bits.tobytes()
 
 
 def _shards(limit: int):
@@ -132,7 +153,7 @@ def _shards(limit: int):
                     row = _shard(part, lang[part.first : part.first + len(part)])
                     if row:
                         names = [x.split()[0] for x in _SHARD.split(", ")]
-                        kinds = [pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int32()), *[pa.binary()] * 4]
+                        kinds = [pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int32()), *[pa.binary()] * 3]
                         yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=names)
 
     return run
@@ -143,8 +164,11 @@ class Shard:
 
     def __init__(self, row: dict[str, pa.Scalar]):
         self.words, self.langs, self.of = row["words"].values, row["langs"].values, row["of"].values.to_numpy().astype(np.int64)
-        for name, kind in (("hashes", np.uint64), ("starts", np.int64), ("blocks", np.int32), ("bits", np.uint32)):
-            setattr(self, name, np.frombuffer(row[name].as_buffer(), kind))
+        spelled = next(shared.chunks(self.words, 1 << 62))
+        self.hashes = _word_hashes(spelled.buf, spelled.starts, spelled.ends, row["langs"].as_py(), self.of)
+        self.starts = np.append(0, np.cumsum(np.frombuffer(row["starts"].as_buffer(), np.int32)))
+        self.blocks = np.cumsum(_unplaned(row["blocks"].as_buffer(), 4, np.int32), dtype=np.int32)
+        self.bits = np.frombuffer(row["bits"].as_buffer(), np.uint8)
 
     def counts(self) -> np.ndarray:
         """Of each word the popcount of its bitmap."""
@@ -152,96 +176,95 @@ class Shard:
 
 
 class _Grown:
-    """Phrases of one length: the words of each, its count, and its bitmap's blocks (``of``, ``blocks``, ``bits``)."""
+    """Phrases of one length: the words of each, its count, its bitmap's bytes (``of``, ``blocks``, ``bits``), and what makes up its hash and that of its last words."""
 
-    def __init__(self, words, counts, of, blocks, bits):
-        self.words, self.counts, self.of, self.blocks, self.bits = words, counts, of, blocks, bits
+    def __init__(self, words, counts, of, blocks, bits, whole, last):
+        self.words, self.counts, self.of, self.blocks, self.bits, self.whole, self.last = words, counts, of, blocks, bits, whole, last
 
-    def only(self, keep: np.ndarray) -> _Grown:
-        number = np.cumsum(keep) - 1
-        at = keep[self.of]
-        return _Grown([w[keep] for w in self.words], self.counts[keep], number[self.of[at]], self.blocks[at], self.bits[at])
+    def hashes(self) -> np.ndarray:
+        return shared.mixed(self.whole)
 
 
 def marked(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = (h % np.uint64(len(bitmap) * 8)).astype(np.int64)
+    at = (h & np.uint64(len(bitmap) * 8 - 1)).astype(np.int64)  # the length is a power of two
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
+class _Words:
+    """The frequent words of a shard: which stand in a block, and what each adds to a phrase's hash by its place."""
+
+    def __init__(self, shard: Shard, frequent: np.ndarray, longest: int):
+        self.n = len(shard.hashes)
+        of = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(shard.starts))
+        keep = marked(frequent, shard.hashes)[of]
+        self.of, self.blocks, self.bits = of[keep], shard.blocks[keep], shard.bits[keep]
+        by_block = np.argsort(self.blocks, kind="stable")
+        self.in_word, self.in_bits = self.of[by_block], self.bits[by_block]
+        n_blocks = int(self.blocks.max()) + 2 if len(self.blocks) else 1
+        self.start = np.searchsorted(self.blocks[by_block], np.arange(n_blocks + 1))
+        self.size = np.diff(self.start)
+        self.places = [_place(shard.hashes, j) for j in range(longest)]
+
+
 def grown(shard: Shard, frequent: list[np.ndarray], longest: int, ands: int = ANDS) -> Iterator[_Grown]:
     """Phrases of 2 to ``longest`` words that may be frequent; depth-first by slices of first words.
 
-    ``frequent`` holds the bitmaps of frequent phrases of 1, 2, ... words.
+    ``frequent`` holds the bitmaps of frequent phrases of 1, 2, ... words; a
+    phrase longer than they go needs frequent words at either end.
     """
-    may = marked(frequent[0], shard.hashes)
-    of = np.repeat(np.arange(len(shard.hashes)), np.diff(shard.starts))
-    keep = may[of]
-    of, blocks, bits = of[keep], shard.blocks[keep], shard.bits[keep]
-    # which words stand in a block
-    by_block = np.argsort(blocks, kind="stable")
-    in_word, in_bits = of[by_block], bits[by_block]
-    n_blocks = int(blocks.max()) + 2 if len(blocks) else 1
-    from_ = np.searchsorted(blocks[by_block], np.arange(n_blocks + 1))
-    size = np.diff(from_)
-    work = np.cumsum(size[blocks])
+    w = _Words(shard, frequent[0], longest)
+    work = np.cumsum(w.size[w.blocks])
     lo = 0
-    while lo < len(of):
+    while lo < len(w.of):
         hi = int(np.searchsorted(work, (work[lo - 1] if lo else 0) + ands, "right"))
-        hi = int(np.searchsorted(of, of[min(max(hi, lo + 1), len(of)) - 1], "right"))  # whole words
-        ids, local = np.unique(of[lo:hi], return_inverse=True)
-        level = _Grown([ids], None, local, blocks[lo:hi], bits[lo:hi])
+        hi = int(np.searchsorted(w.of, w.of[min(max(hi, lo + 1), len(w.of)) - 1], "right"))  # whole words
+        ids, local = np.unique(w.of[lo:hi], return_inverse=True)
+        level = _Grown([ids], None, local, w.blocks[lo:hi], w.bits[lo:hi], w.places[0][ids], np.zeros(len(ids), np.uint64))
         for k in range(2, longest + 1):
-            level = _extended(shard, level, in_word, in_bits, from_, size, ands)
-            if k > 2 and len(level.counts):  # the last words, too, must be frequent
-                level = level.only(marked(frequent[k - 2], _hash(shard, level.words[1:])))
-            if len(level.counts):
-                yield level
-            if k == longest or not len(level.counts):
+            level = _extended(w, level, frequent[k - 1] if k <= len(frequent) else None, frequent[k - 2] if k > 2 else None, ands)
+            if not len(level.counts):
                 break
-            level = level.only(marked(frequent[k - 1], _hash(shard, level.words)))
+            yield level
         lo = hi
 
 
-def _hash(shard: Shard, words: list[np.ndarray]) -> np.ndarray:
-    total = np.zeros(len(words[0]), np.uint64)
-    for j, w in enumerate(words):
-        total += _place(shard.hashes[w], j)
-    return shared.mixed(total)
-
-
-def _extended(shard: Shard, level: _Grown, in_word, in_bits, from_, size, ands: int) -> _Grown:
-    """Every phrase with every word that follows it: shift, AND, popcount."""
-    over = level.bits >> np.uint32(31)
+def _extended(w: _Words, level: _Grown, whole: np.ndarray | None, last: np.ndarray | None, ands: int) -> _Grown:
+    """Every phrase with every word that follows it: shift, AND, popcount; only those whose hash ``whole`` marks, and whose last words' ``last`` does."""
+    k = len(level.words)
+    over = level.bits >> np.uint8(7)
     carried = np.flatnonzero(over)
     of = np.concatenate([level.of, level.of[carried]])
     blocks = np.concatenate([level.blocks, level.blocks[carried] + 1])
-    bits = np.concatenate([level.bits << np.uint32(1), over[carried]])
-    keep = (bits != 0) & (blocks < len(size))
+    bits = np.concatenate([level.bits << np.uint8(1), over[carried]])
+    keep = np.flatnonzero(bits)
     of, blocks, bits = of[keep], blocks[keep], bits[keep]
-    n = size[blocks]
+    n = w.size[blocks]
     ends = np.cumsum(n)
     found, lo = [], 0
     while lo < len(of):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + ands, "right")))
+        done = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, done + ands, "right")))
         each = np.repeat(np.arange(lo, hi), n[lo:hi])
-        other = np.arange(len(each)) + np.repeat(from_[blocks[lo:hi]] - (ends[lo:hi] - n[lo:hi] - (ends[lo - 1] if lo else 0)), n[lo:hi])
-        both = bits[each] & in_bits[other]
+        other = np.arange(len(each)) + (w.start[blocks[lo:hi]] - (ends[lo:hi] - n[lo:hi] - done))[each - lo]
+        both = bits[each] & w.in_bits[other]
         hit = np.flatnonzero(both)
-        each = each[hit]
-        found.append((of[each], in_word[other[hit]], blocks[each], both[hit]))
+        each, word, both = each[hit], w.in_word[other[hit]], both[hit]
+        for bitmap, sums, place in ((whole, level.whole, k), (last, level.last, k - 1)):
+            if bitmap is not None:
+                may = np.flatnonzero(marked(bitmap, shared.mixed(sums[of[each]] + w.places[place][word])))
+                each, word, both = each[may], word[may], both[may]
+        found.append((of[each], word, blocks[each], both))
         lo = hi
-    if not found:
-        none = np.zeros(0, np.int64)
-        return _Grown([none] * (len(level.words) + 1), none, none, none, np.zeros(0, np.uint32))
-    of, word, blocks, bits = (np.concatenate(x) for x in zip(*found, strict=True))
-    n_words = len(shard.hashes)
-    key = of.astype(np.int64) * n_words + word
+    none = np.zeros(0, np.int64)
+    of, word, blocks, bits = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (none, none, none, np.zeros(0, np.uint8))
+    key = of.astype(np.int64) * w.n + word
     order = np.argsort(key, kind="stable")
     key, blocks, bits = key[order], blocks[order], bits[order]
     at = np.flatnonzero(np.diff(key, prepend=-1) != 0)
-    counts = np.add.reduceat(np.bitwise_count(bits).astype(np.int64), at) if len(at) else at
+    counts = np.add.reduceat(np.bitwise_count(bits).astype(np.int64), at) if len(at) else none
     of = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(key))))
-    return _Grown([*(w[key[at] // n_words] for w in level.words), key[at] % n_words], counts, of, blocks, bits)
+    first, word = key[at] // w.n, key[at] % w.n
+    return _Grown([*(x[first] for x in level.words), word], counts, of, blocks, bits, level.whole[first] + w.places[k][word] if k < len(w.places) else None, level.last[first] + w.places[k - 1][word])
 
 
 def _rows(batches) -> Iterator[Shard]:
@@ -250,48 +273,126 @@ def _rows(batches) -> Iterator[Shard]:
             yield Shard({n: batch.column(j)[i] for j, n in enumerate(batch.schema.names)})
 
 
-def _signed(h: np.ndarray) -> pa.Array:
-    return pa.array(h.view(np.int64))
+def _merged(h: list[np.ndarray], f: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    h, f = np.concatenate([*h, np.zeros(0, np.uint64)]), np.concatenate([*f, np.zeros(0, np.int64)])
+    order = np.argsort(h)
+    h = h[order]
+    at = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+    return h[at], np.add.reduceat(f[order], at) if len(at) else f
 
 
-def _words(batches):
-    for s in _rows(batches):
-        n, lang = s.counts(), s.langs.take(pa.array(s.of))
-        yield pa.RecordBatch.from_arrays([lang, s.words, _signed(s.hashes), pa.array(n)], names=["lang", "phrase", "h", "f"])
-        total = np.bincount(s.of, weights=n, minlength=len(s.langs)).astype(np.int64)  # under the empty word: all of the language
-        yield pa.RecordBatch.from_arrays([s.langs, pa.array([""] * len(total)), pa.array([0] * len(total), pa.int64()), pa.array(total)], names=["lang", "phrase", "h", "f"])
+def _part(h: np.ndarray, parts: int) -> np.ndarray:
+    """Which of ``parts`` a hash's low bits fall in, in their order."""
+    return ((h & _LOW).astype(np.int64) * parts) >> HASH_BITS
 
 
-def _hashed(frequent: list[np.ndarray], longest: int):
-    """(h, f) of phrases of ``longest`` words."""
+def _hashed(frequent: list[np.ndarray], longest: int, parts: int, most: int = MERGED):
+    """(part, h, f): hashes of phrases of ``longest`` words with their counts, packed by part; added up over the shards of a task as far as ``most`` of them go."""
+
+    def found(s: Shard):
+        if longest == 1:
+            yield s.hashes & _LOW, s.counts()
+        else:
+            yield from ((level.hashes() & _LOW, level.counts) for level in grown(s, frequent, longest) if len(level.words) == longest)
+
+    def packed(h: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+        edges = np.flatnonzero(np.diff(_part(h, parts), prepend=-1))
+        spans = list(zip(edges, np.append(edges[1:], len(h)), strict=True))
+        rows = [(int(_part(h[a : a + 1], parts)[0]), _planes(np.diff(h[a:b].astype(np.int64), prepend=0), 5), _planes(f[a:b], 8)) for a, b in spans]
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["part", "h", "f"])
 
     def run(batches):
+        h, f, size = [], [], 0
         for s in _rows(batches):
-            for level in grown(s, frequent, longest):
-                if len(level.words) == longest:
-                    yield pa.RecordBatch.from_arrays([_signed(_hash(s, level.words)), pa.array(level.counts)], names=["h", "f"])
+            for x, n in found(s):
+                h, f, size = [*h, x], [*f, n], size + len(x)
+                if size > most:
+                    x, n = _merged(h, f)
+                    full = len(x) > most // 2
+                    if full:
+                        yield packed(x, n)
+                    h, f, size = ([], [], 0) if full else ([x], [n], len(x))
+        x, n = _merged(h, f)
+        if len(x):
+            yield packed(x, n)
 
     return run
 
 
-def _spelled(frequent: list[np.ndarray], longest: int):
-    """(lang, phrase, f) of phrases of 2 to ``longest`` words."""
+def _often(least: int):
+    """(h) of a part's hashes with ``least`` or more in all."""
+
+    def run(table: pa.Table) -> pa.Table:
+        h = [np.cumsum(_unplaned(x.as_buffer(), 5, np.int64)).astype(np.uint64) for x in table["h"]]
+        x, n = _merged(h, [_unplaned(x.as_buffer(), 8, np.int64) for x in table["f"]])
+        return pa.table([x[n >= least].astype(np.int64)], ["h"])
+
+    return run
+
+
+_NAMES = ["lang", "phrase", "f"]
+
+
+def _spelled(frequent: list[np.ndarray], longest: int, parts: int, most: int = MERGED):
+    """(part, rows): phrases of 1 to ``longest`` words with their counts, packed by part and added up as in ``_hashed``; under the empty phrase all words of the language."""
+
+    def found(s: Shard) -> Iterator[pa.Table]:
+        n, word = s.counts(), np.flatnonzero(marked(frequent[0], s.hashes))
+        yield pa.table([s.langs.take(pa.array(s.of[word])), s.words.take(pa.array(word)), n[word], _part(s.hashes[word], parts)], [*_NAMES, "part"])
+        total = np.bincount(s.of, weights=n, minlength=len(s.langs)).astype(np.int64)
+        yield pa.table([s.langs, pa.array([""] * len(total)), total, np.zeros(len(total), np.int64)], [*_NAMES, "part"])
+        for level in grown(s, frequent, longest):
+            text = pc.binary_join_element_wise(*(s.words.take(pa.array(w)) for w in level.words), " ")
+            yield pa.table([s.langs.take(pa.array(s.of[level.words[0]])), text, level.counts, _part(level.hashes(), parts)], [*_NAMES, "part"])
+
+    def merged(tables: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(tables).group_by(["part", "lang", "phrase"], use_threads=False).aggregate([("f", "sum")]).rename_columns(["part", *_NAMES]).select([*_NAMES, "part"])
+
+    def packed(t: pa.Table) -> pa.RecordBatch:
+        t = t.sort_by([("part", "ascending"), ("lang", "ascending"), ("phrase", "ascending")])
+        part = t["part"].to_numpy()
+        edges = np.flatnonzero(np.diff(part, prepend=-1))
+        rows = [_ipc(t.slice(a, b - a).select(_NAMES)) for a, b in zip(edges.tolist(), np.append(edges[1:], len(part)).tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(part[edges], pa.int32()), pa.array(rows, pa.binary())], names=["part", "rows"])
 
     def run(batches):
+        tables, size = [], 0
         for s in _rows(batches):
-            for level in grown(s, frequent, longest):
-                k = len(level.words)
-                if k <= len(frequent):
-                    level = level.only(marked(frequent[k - 1], _hash(s, level.words)))
-                text = pc.binary_join_element_wise(*(s.words.take(pa.array(w)) for w in level.words), " ")
-                yield pa.RecordBatch.from_arrays([s.langs.take(pa.array(s.of[level.words[0]])), text, pa.array(level.counts)], names=["lang", "phrase", "f"])
+            for t in found(s):
+                tables.append(t)
+                size += t.num_rows
+            if size > most // 2:
+                t = merged(tables)
+                full = t.num_rows > most // 4
+                if full:
+                    yield packed(t)
+                tables, size = ([], 0) if full else ([t], t.num_rows)
+        if tables:
+            yield packed(merged(tables))
+
+    return run
+
+
+def _ipc(t: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(t.combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
+def _often_spelled(least: int):
+    """(lang, phrase, f) of a part's phrases with ``least`` or more in all, and of the empty ones."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in table["rows"]])
+        t = rows.group_by(_NAMES[:2], use_threads=False).aggregate([("f", "sum")]).rename_columns(_NAMES)
+        return t.filter(pc.or_(pc.greater_equal(t["f"], least), pc.equal(t["phrase"], "")))
 
     return run
 
 
 def _bitmap(hashes: DataFrame, bits: int = BITS) -> np.ndarray:
     """A bitmap of ``bits`` bits with those of ``hashes`` (h) set; it comes in slabs of 4 KB."""
-    # an unsigned remainder: the low bits
     at = F.col("h").bitwiseAND(F.lit(bits - 1))
     slabs = hashes.select(F.floor(at / _SLAB).cast("int").alias("slab"), (at % _SLAB).alias("at")).groupBy("slab").agg(F.bitmap_construct_agg("at").alias("set"))
     out = np.zeros(bits // 8, np.uint8)
@@ -300,31 +401,30 @@ def _bitmap(hashes: DataFrame, bits: int = BITS) -> np.ndarray:
     return out
 
 
-def frequencies(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, bits: int = BITS, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
+def frequencies(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, bits: int = BITS, shard_bytes: int = SHARD_BYTES, most: int = MERGED) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, f) of the words and phrases that occur ``least`` times or more, and (lang, n) of all word occurrences."""
     docs = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    shards = shared.stored(shared.mapped(docs, _shards(shard_bytes), _SHARD))
-    words = shards.mapInArrow(_words, "lang string, phrase string, h long, f long").groupBy("lang", "phrase", "h").agg(F.sum("f").alias("f"))
-    words = shared.stored(words.filter((F.col("f") >= least) | (F.col("phrase") == "")))
-    totals, words = words.filter(F.col("phrase") == "").select("lang", F.col("f").alias("n")), words.filter(F.col("phrase") != "")
-    frequent = [_bitmap(words, bits)]
-    for k in range(2, longest):
-        found = shards.mapInArrow(_hashed(frequent, k), "h long, f long").groupBy("h").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
+    # a row is a shard: small row groups, looked at after each row, keep few of them in memory
+    small = {"parquet.block.size": str(shard_bytes), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1", "compression": "zstd"}
+    shards = shared.stored(shared.mapped(docs, _shards(shard_bytes), _SHARD), **small)
+    frequent: list[np.ndarray] = []
+    parts = shared.partitions(docs.sparkSession)
+    for k in range(1, longest + 1):
+        found = shards.mapInArrow(_hashed(frequent, k, parts, most), "part int, h binary, f binary").groupBy("part").applyInArrow(_often(least), "h long")
         with shared.freeing(docs.sparkSession):
             frequent.append(_bitmap(found, bits))
-    phrases = shards.mapInArrow(_spelled(frequent, longest), "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
-    out = shared.stored(words.select("lang", "phrase", "f").unionByName(phrases))
+    out = shared.stored(shards.mapInArrow(_spelled(frequent, longest, parts, most), "part int, rows binary").groupBy("part").applyInArrow(_often_spelled(least), "lang string, phrase string, f long"))
     shared.removed(shards)
-    return out, totals
+    return out.filter(F.col("phrase") != ""), out.filter(F.col("phrase") == "").select("lang", F.col("f").alias("n"))
 
 
 def _joined(words: Column, start: Column | int, n: Column | int) -> Column:
     return F.array_join(F.slice(words, start, n), " ")
 
 
-def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, contained: int = CONTAINED, bits: int = BITS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, contained: int = CONTAINED, bits: int = BITS, shard_bytes: int = SHARD_BYTES, most: int = MERGED) -> DataFrame:
     """Each language's ``top`` phrases of ``docs`` (text, lang): lang, rank, phrase, a, l, r, n, score."""
-    known, totals = frequencies(docs, least, longest, bits, shard_bytes)
+    known, totals = frequencies(docs, least, longest, bits, shard_bytes, most)
     w = F.col("w")
     found = known.withColumn("w", F.split("phrase", " ", -1)).filter(F.size(w) > 1).withColumnRenamed("f", "a")
     # longer candidates hold shorter ones

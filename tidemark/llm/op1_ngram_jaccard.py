@@ -28,7 +28,8 @@ that has very many, so no token and no leader meets in one task.
 Defined cases: a null or empty text, or one without words, has the empty set
 and no links; with fewer words than a shingle the whole sequence is one
 shingle; equal sets are one class; rows that share a doc_id are one
-document; a row without doc_id keeps a null component; an empty table gives
+document, linked by what either text is similar to, each with the size of
+its own set; a row without doc_id keeps a null component; an empty table gives
 an empty result; extra columns are ignored.  Tokens are 64-bit hashes, sets
 are told apart by 128 bits.
 """
@@ -261,6 +262,29 @@ class _Join:
 def similar(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of ``docs`` (doc_id, text); linked are sets of similarity num / den or more."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    again = shared.stored(docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1"))
+    if again.isEmpty():
+        return _similar(docs, words, num, den)
+    # rows of one document are compared under ids of their own, below all others, and linked with each other afterwards
+    least = docs.agg(F.least(F.min("doc_id"), F.lit(0).cast("long"))).first()[0]
+    own = shared.stored(shared.join_by_key(docs, again, ["doc_id"], "rows").withColumn("own", F.lit(least - 1) - F.monotonically_increasing_id()))
+    single = docs.join(again, "doc_id", "left_anti")
+    got = shared.stored(_similar(single.unionByName(own.select(F.col("own").alias("doc_id"), "text")), words, num, den).withColumnRenamed("doc_id", "own"))
+    rows = shared.stored(got.join(own.select("own", "doc_id"), "own", "left").select(F.coalesce("doc_id", "own").alias("doc_id"), "n_shingles", F.col("component_id").alias("node")))
+    # the components that share a document, linked with the smallest of them
+    shares = rows.join(again, "doc_id", "left_semi").select("doc_id", "node").distinct()
+    links = shares.join(shares.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").select(F.col("node").alias("a"), "b")
+    labels = components(links)
+    sizes = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("size")).join(labels, "node", "left")
+    sizes = shared.stored(sizes.select("node", "first", "size", F.coalesce("comp", "node").alias("comp")))
+    ends = sizes.groupBy("comp").agg(F.min("first").alias("component_id"))
+    named = shared.stored(sizes.join(ends, "comp").select("node", "size", "component_id"))
+    out = shared.join_by_key(rows.filter(F.col("node").isNotNull()), named, ["node"], "size").select("doc_id", "n_shingles", "component_id")
+    return out.unionByName(rows.filter(F.col("node").isNull()).select("doc_id", "n_shingles", F.col("node").alias("component_id")))
+
+
+def _similar(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """``similar`` for ids that occur once (or are null)."""
     sig = shared.stored(shared.mapped(docs, _signatures(words, num, den), "doc_id long, n int, d1 long, d2 long, ext array<long>"))
     ids = shared.stored(sig.select("doc_id", "n", "d1", "d2"))
     reps = sig.filter((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.first("ext").alias("ext"))

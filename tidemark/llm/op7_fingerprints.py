@@ -1,7 +1,8 @@
 """Document fingerprints by a homomorphic multiset hash of paragraphs.
 
-A text is the multiset of its paragraphs (lines, cut after sentence ends).
-Each paragraph is hashed with BLAKE2b to 512 bits: four wide lanes of 64 bits
+A text is the multiset of its paragraphs (lines, cut after sentence ends),
+without the newline or blank that closes each; how many of either there are
+is added to the wide lanes only.  Each paragraph is hashed with BLAKE2b to 512 bits: four wide lanes of 64 bits
 and 256 lanes of +1 or -1.  The fingerprint is the sum over the paragraphs,
 of the wide lanes modulo 2**64, of the others modulo 2**16.  So the order of
 paragraphs doesn't matter, and inserting or deleting one adds or subtracts
@@ -44,11 +45,11 @@ RANGE_BYTES, MAX_RANGES = 8 << 20, 1 << 15
 TOGETHER = 128
 
 
-def unit_bounds(t: shared.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends (bytes) of the paragraphs of all texts, and the number of each text's first (one more entry at the end)."""
+def unit_bounds(t: shared.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends (bytes) of the paragraphs of all texts, which byte closes each (0: none), and the number of each text's first (one more entry at the end)."""
     buf = t.buf
     if not len(buf):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(t) + 1, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(len(t) + 1, np.int64)
     cut = buf == 10
     after = np.isin(buf, np.frombuffer(ENDS, np.uint8))
     cut[1:] |= (buf[1:] == 32) & after[:-1]  # the space after a sentence end closes its unit
@@ -58,7 +59,8 @@ def unit_bounds(t: shared.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     begin[len(buf)] = False
     starts = np.flatnonzero(begin)
     ends = np.append(starts[1:], len(buf))
-    return starts, ends, np.append(np.searchsorted(starts, t.starts), len(starts))
+    closed = cut[ends - 1]
+    return starts, ends - closed, np.where(closed, buf[ends - 1], 0).astype(np.uint8), np.append(np.searchsorted(starts, t.starts), len(starts))
 
 
 def vectors(digests: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +73,7 @@ def vectors(digests: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def sums(t: shared.Texts) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints of all texts of a chunk."""
-    starts, ends, first = unit_bounds(t)
+    starts, ends, closing, first = unit_bounds(t)
     small, wide = np.zeros((len(t), LANES), np.uint16), np.zeros((len(t), WIDE), np.uint64)
     if len(starts):
         raw = t.buf.tobytes()
@@ -79,6 +81,9 @@ def sums(t: shared.Texts) -> tuple[np.ndarray, np.ndarray]:
         some = np.flatnonzero(first[1:] > first[:-1])
         small[some] = np.add.reduceat(a.view(np.uint16), first[:-1][some], axis=0)
         wide[some] = np.add.reduceat(b, first[:-1][some], axis=0)
+        for byte in (10, 32):
+            n = np.add.reduceat((closing == byte).astype(np.uint64), first[:-1][some])
+            wide[some] += n[:, None] * vectors(hashlib.blake2b(bytes([byte]), person=b"closing").digest())[1]
     return small, wide
 
 

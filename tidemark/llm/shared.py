@@ -62,11 +62,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
         return df.select("*").checkpoint()  # a new plan, made while freeing is on
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write to a Parquet table in the shared folder and read that back, so later plans can prune columns."""
+def stored(df: DataFrame, **options: str) -> DataFrame:
+    """Write to a Parquet table in the shared folder and read that back, so later plans can prune columns; ``options`` are the writer's."""
     path = f"{shared_dir(df.sparkSession)}/t-{uuid.uuid4().hex}"
     with freeing(df.sparkSession):
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
