@@ -11,7 +11,7 @@ length before the next one is begun, which bounds the memory.
 
 Only what can be frequent is extended.  After each length the counts of all
 shards are summed, and the phrases that reach ``least`` mark their hash in a
-bitmap of ``BITS`` bits, the same size however many there are; a phrase is
+bitmap of ``BITS`` bits, no larger however many there are; a phrase is
 extended only if its first and its last words are marked.  A mark too many
 costs time, never a wrong count: in the end phrases are counted by their
 text.  Words are told apart by 64-bit hashes within a shard.
@@ -286,10 +286,10 @@ def _part(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h & _LOW).astype(np.int64) * parts) >> HASH_BITS
 
 
-def _hashed(frequent: list[np.ndarray], longest: int, parts: int, most: int = MERGED):
+def _hashed(bitmaps: list[bytes], bits: int, longest: int, parts: int, most: int = MERGED):
     """(part, h, f): hashes of phrases of ``longest`` words with their counts, packed by part; added up over the shards of a task as far as ``most`` of them go."""
 
-    def found(s: Shard):
+    def found(s: Shard, frequent: list[np.ndarray]):
         if longest == 1:
             yield s.hashes & _LOW, s.counts()
         else:
@@ -302,9 +302,9 @@ def _hashed(frequent: list[np.ndarray], longest: int, parts: int, most: int = ME
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["part", "h", "f"])
 
     def run(batches):
-        h, f, size = [], [], 0
+        frequent, h, f, size = _opened(bitmaps, bits), [], [], 0
         for s in _rows(batches):
-            for x, n in found(s):
+            for x, n in found(s, frequent):
                 h, f, size = [*h, x], [*f, n], size + len(x)
                 if size > most:
                     x, n = _merged(h, f)
@@ -333,10 +333,10 @@ def _often(least: int):
 _NAMES = ["lang", "phrase", "f"]
 
 
-def _spelled(frequent: list[np.ndarray], longest: int, parts: int, most: int = MERGED):
+def _spelled(bitmaps: list[bytes], bits: int, longest: int, parts: int, most: int = MERGED):
     """(part, rows): phrases of 1 to ``longest`` words with their counts, packed by part and added up as in ``_hashed``; under the empty phrase all words of the language."""
 
-    def found(s: Shard) -> Iterator[pa.Table]:
+    def found(s: Shard, frequent: list[np.ndarray]) -> Iterator[pa.Table]:
         n, word = s.counts(), np.flatnonzero(marked(frequent[0], s.hashes))
         yield pa.table([s.langs.take(pa.array(s.of[word])), s.words.take(pa.array(word)), n[word], _part(s.hashes[word], parts)], [*_NAMES, "part"])
         total = np.bincount(s.of, weights=n, minlength=len(s.langs)).astype(np.int64)
@@ -356,9 +356,9 @@ def _spelled(frequent: list[np.ndarray], longest: int, parts: int, most: int = M
         return pa.RecordBatch.from_arrays([pa.array(part[edges], pa.int32()), pa.array(rows, pa.binary())], names=["part", "rows"])
 
     def run(batches):
-        tables, size = [], 0
+        frequent, tables, size = _opened(bitmaps, bits), [], 0
         for s in _rows(batches):
-            for t in found(s):
+            for t in found(s, frequent):
                 tables.append(t)
                 size += t.num_rows
             if size > most // 2:
@@ -391,14 +391,18 @@ def _often_spelled(least: int):
     return run
 
 
-def _bitmap(hashes: DataFrame, bits: int = BITS) -> np.ndarray:
-    """A bitmap of ``bits`` bits with those of ``hashes`` (h) set; it comes in slabs of 4 KB."""
+def _bitmap(hashes: DataFrame, bits: int = BITS) -> bytes:
+    """A bitmap of ``bits`` bits with those of ``hashes`` (h) set, compressed; it comes in slabs of 4 KB."""
     at = F.col("h").bitwiseAND(F.lit(bits - 1))
     slabs = hashes.select(F.floor(at / _SLAB).cast("int").alias("slab"), (at % _SLAB).alias("at")).groupBy("slab").agg(F.bitmap_construct_agg("at").alias("set"))
     out = np.zeros(bits // 8, np.uint8)
     for r in slabs.collect():  # at most bits / 2**15 rows
         out[r["slab"] * _SLAB // 8 : (r["slab"] + 1) * _SLAB // 8] = np.frombuffer(r["set"], np.uint8)[: len(out)]
-    return out
+    return pa.compress(out.tobytes(), "zstd", asbytes=True)
+
+
+def _opened(bitmaps: list[bytes], bits: int) -> list[np.ndarray]:
+    return [np.frombuffer(pa.decompress(x, bits // 8, "zstd"), np.uint8) for x in bitmaps]
 
 
 def frequencies(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, bits: int = BITS, shard_bytes: int = SHARD_BYTES, most: int = MERGED) -> tuple[DataFrame, DataFrame]:
@@ -407,13 +411,13 @@ def frequencies(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, bit
     # a row is a shard: small row groups, looked at after each row, keep few of them in memory
     small = {"parquet.block.size": str(shard_bytes), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1", "compression": "zstd"}
     shards = shared.stored(shared.mapped(docs, _shards(shard_bytes), _SHARD), **small)
-    frequent: list[np.ndarray] = []
+    frequent: list[bytes] = []
     parts = shared.partitions(docs.sparkSession)
     for k in range(1, longest + 1):
-        found = shards.mapInArrow(_hashed(frequent, k, parts, most), "part int, h binary, f binary").groupBy("part").applyInArrow(_often(least), "h long")
+        found = shards.mapInArrow(_hashed([*frequent], bits, k, parts, most), "part int, h binary, f binary").groupBy("part").applyInArrow(_often(least), "h long")
         with shared.freeing(docs.sparkSession):
             frequent.append(_bitmap(found, bits))
-    out = shared.stored(shards.mapInArrow(_spelled(frequent, longest, parts, most), "part int, rows binary").groupBy("part").applyInArrow(_often_spelled(least), "lang string, phrase string, f long"))
+    out = shared.stored(shards.mapInArrow(_spelled([*frequent], bits, longest, parts, most), "part int, rows binary").groupBy("part").applyInArrow(_often_spelled(least), "lang string, phrase string, f long"))
     shared.removed(shards)
     return out.filter(F.col("phrase") != ""), out.filter(F.col("phrase") == "").select("lang", F.col("f").alias("n"))
 
