@@ -2,7 +2,17 @@
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir)
 and returns a DataFrame that is written as Parquet and read again as the next
-stage's ``docs``.  All but the last return the columns of ``documents``.
+stage's ``docs``.  All but the last return the columns of ``documents``;
+other columns of ``docs`` are left out.
+
+Defined cases, stage by stage.  A null or empty text has no letters, so the
+language stage drops its row, whatever its lang; rows with a null doc_id,
+lang or source are kept like others.  Line dedup leaves rows without a doc_id
+as they are, and rows that share a doc_id count as one document.  Of near
+duplicates the smallest doc_id stays, with all rows that have it; rows
+without a doc_id have no duplicates and stay.  The mix counts a null source
+as one of its own, the last.  An empty table gives an empty result with the
+same columns.
 """
 
 from __future__ import annotations

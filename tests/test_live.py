@@ -187,3 +187,25 @@ def test_user_feature_with_state(spark, tmp_path):
     feed.send([("none", at("20:00:00", "2024-01-03"), 1, 1, 1, 2, 1)])
     mine, built_in = ([("x", *rest) for name, *rest in feed.all if name == n] for n in ("my_trade", "debug_trade"))
     assert by_name(mine) == by_name(built_in) and len(mine) > 100
+
+
+def test_silent_minutes(spark, tmp_path):
+    """With silent minutes the live bars are those of ``gap_merged``."""
+    spec = [config.Feature("debug_trade", (1, 5)), config.Feature("candle_stick", (1, 5))]
+    spine = B.spine(spark, DAY).filter("bar_no <= 24")
+    silent = {"09:33", "09:34", "09:38", "09:41", "09:43", "09:44", "09:49"}
+    rows = [r for r in some_trades(400, seed=7) if r[1] < at("09:53:30") and (r[1] + dt.timedelta(seconds=59, milliseconds=999)).strftime("%H:%M") not in silent]
+    feed = Feed(spark, tmp_path, spec, spine, merge_gaps=True)
+    for lo, hi in ((0, 40), (40, 80), (80, len(rows))):
+        feed.send(rows[lo:hi])
+    feed.send([("none", at("20:00:00"), 1, 1, 1, 2, 1)])
+    batch = spark.createDataFrame([(s, "SZ", t, float(p), float(v), b, o, side, i) for i, (s, t, p, v, side, b, o) in enumerate(rows)], TRADE_SCHEMA)
+    batch = B.only_traced(batch, traced(spark)).withColumn("bar", B.session_bar(F.col("trad_time")))
+    merged = batch.join(B.gap_merged(spine, batch.select("bar")), "bar").filter("fires_at IS NOT NULL").drop("bar")
+    last = merged.agg(F.max("fires_at")).first()[0]
+    want = []
+    for name, df in run_features(merged, traced(spark), spec, spine, F.col("fires_at")).items():
+        want += [(name, tuple(df.columns), tuple(r)) for r in df.filter(F.col("bar") <= F.lit(last)).collect()]
+    got = [x for x in feed.all if x[2][x[1].index("bar")] <= last]
+    assert by_name(got) == by_name(want) and len(want) > 100
+    assert merged.filter("fires_at > date_trunc('minute', trad_time - interval 1 microsecond) + interval 1 minute AND hour(trad_time) = 9 AND minute(trad_time) > 31").count() > 0

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import vector as V
+from tidemark.sources import feed
 from tidemark.sources.schemas import DEPTH_SCHEMA, ORDER_SCHEMA
 
 #: Which comma-separated field holds what, the suffix of ids, and the marks of records to keep or drop.
@@ -128,6 +129,8 @@ def _sourced(lines: DataFrame, kind: str) -> DataFrame:
     value = F.col("value").cast("string").alias("value")
     if kind == "kafka":  # a security's messages should share a partition
         return lines.select(value, F.concat_ws(" ", "topic", F.lpad(F.col("partition").cast("string"), 6, "0")).alias("source"), F.col("offset").alias("seq"))
+    if kind == feed.NAME:
+        return lines.select(value, F.col("channel").alias("source"), F.col("offset").alias("seq"))
     # streams can't number rows, so tasks count them
     if kind == "text":
         at = [F.col("_metadata.file_path").alias("_file_path"), F.col("_metadata.file_block_start").alias("_file_block_start"), F.lpad(F.unix_micros("_metadata.file_modification_time").cast("string"), 18, "0").alias("_written")]
@@ -138,17 +141,19 @@ def _sourced(lines: DataFrame, kind: str) -> DataFrame:
 
 
 def stream_trades(spark: SparkSession, sources: dict[str, dict], day: str) -> DataFrame:
-    """A streaming frame of trades.  ``sources``: for each exchange a format and its options (text folder, kafka, socket).
+    """A streaming frame of trades.  ``sources``: for each exchange a format and its options (text folder, kafka, tidemark_feed, socket).
 
     Within a micro-batch trades come in the order of (``source``, ``seq``): the
     file, by the time it was written, and the place in it, or the topic's
-    partition and the offset.  Other formats keep no offsets; their rows count
+    partition (the feed's channel) and the offset.  Other formats keep no offsets; their rows count
     partition by partition.
     """
     out = None
     for exchange, spec in sources.items():
         options = dict(spec)
         kind = options.pop("format")
+        if kind == feed.NAME:
+            feed.register(spark)
         lines = spark.readStream.format(kind).options(**LIMITS.get(kind, {}) | options).load()
         part = PARSERS[exchange](_sourced(lines, kind), F.lit(day).cast("date"), F.col("seq"))
         out = part if out is None else out.unionByName(part)

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from tidemark.functions import vector as V
 from tidemark.operators import bars as B
 from tidemark.operators import features as X
 from tidemark.sources.config import Feature, publish_plan
@@ -137,22 +138,29 @@ class LiveFeatures:
 
     ``bar`` gives a time's minute bar and ``first_open`` the first bar that
     ends after a time.  With ``bars`` (bar, bar_no) every security of the
-    universe has a row in every bar up to the last one that closed.
+    universe has a row in every bar up to the last one that closed.  With
+    ``merge_gaps`` a minute after a silent one doesn't fire, and its trades
+    are collected with the next that does, as ``bars.gap_merged`` has it;
+    trades wait in a table until then, or until the longest period has ended.
     """
 
-    def __init__(self, universe: DataFrame, spec: list[Feature], store: str, deliver: Deliver, bars: DataFrame | None = None, bar: Callable[[Column], Column] = B.session_bar, latency_ms: int = 50, first_open: Callable[[int], int] = B.first_open, **options):
+    def __init__(self, universe: DataFrame, spec: list[Feature], store: str, deliver: Deliver, bars: DataFrame | None = None, bar: Callable[[Column], Column] = B.session_bar, latency_ms: int = 50, first_open: Callable[[int], int] = B.first_open, merge_gaps: bool = False, **options):
         self.universe, self.store, self.deliver, self.bars, self.bar = universe, store, deliver, bars, bar
-        self.latency, self.first_open, self.options = latency_ms, first_open, options
+        self.latency, self.first_open, self.merge_gaps, self.options = latency_ms, first_open, merge_gaps, options
+        if merge_gaps and bars is None:
+            raise ValueError("merge_gaps needs the day's bars")
         plan = publish_plan(spec, X.FEATURES)
         self.periods = {name: [p for p, names in plan.by_period.items() if name in names] for names in plan.by_period.values() for name in names}
 
     def start(self, trades: DataFrame | list[DataFrame], checkpoint: str, **trigger) -> StreamingQuery:
         """Run over a streaming frame of trades, or over several (one an exchange, say) of which none may lag behind a bar that is handed on."""
         self.universe.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-        every = sorted({p for periods in self.periods.values() for p in periods})
-        rows = closed(trades, self.universe, every, self.latency, self.bar, self.first_open)
+        rows = closed(trades, self.universe, [1] if self.merge_gaps else self._every(), self.latency, self.bar, self.first_open)
         return rows.writeStream.outputMode("append").foreachBatch(self.on_closed).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
+    def _every(self) -> list[int]:
+        return sorted({p for periods in self.periods.values() for p in periods})
+
     def _at(self, what: str, epoch: int) -> str:
         return f"{self.store}/{what}/epoch={epoch}"
 
@@ -173,12 +181,31 @@ class LiveFeatures:
         trades = self._written(rows, "closed", epoch)
         until, day = trades.agg(F.max("bar"), F.min(X.day_of(F.col("bar")))).first()
         if until is not None:
+            if self.merge_gaps:
+                trades = self._merged(trades, since, until, last, epoch)
             for name, periods in self.periods.items():
                 self._feature(name, trades.filter(F.col("period").isin(periods)), since, until, day, last, epoch)
             since, last = until, epoch
         done = spark.createDataFrame([(since, last)], "until timestamp_ntz, last long")
         done.write.mode("overwrite").parquet(self._at("done", epoch))
 
+    def _merged(self, trades: DataFrame, since: datetime | None, until: datetime, last: int | None, epoch: int) -> DataFrame:
+        """The trades of the periods that have ended by now, each in the minute that its own is collected with."""
+        spark = trades.sparkSession
+        held, active = trades.select("security", F.col("bar").alias("minute"), *_KEPT), trades.select("bar").distinct()
+        if last is not None:
+            held = held.unionByName(spark.read.parquet(self._at("held", last)))
+            active = active.unionByName(spark.read.parquet(self._at("active", last))).distinct()
+        active = self._written(active, "active", epoch)
+        fires = B.gap_merged(self.bars.filter(F.col("bar") <= F.lit(until)), active)
+        # some hundred bars a day
+        rows = held.join(F.broadcast(fires.withColumnRenamed("bar", "minute")), "minute", "left")
+        later = V.period_end("fires_at", max(self._every())) > F.lit(until)
+        self._written(rows.filter(F.col("fires_at").isNull() | later).select(*held.columns), "held", epoch)
+        each = rows.filter(F.col("fires_at").isNotNull()).withColumn("period", F.explode(F.lit(self._every()))).withColumn("bar", V.period_end("fires_at", F.col("period")))
+        each = each.filter((F.col("bar") <= F.lit(until)) & (F.lit(since is None) | (F.col("bar") > F.lit(since).cast("timestamp_ntz"))))
+        return self._written(each.select("period", "security", "bar", *_KEPT), "merged", epoch)
+
     def _feature(self, name: str, trades: DataFrame, since: datetime | None, until: datetime, day, last: int | None, epoch: int) -> None:
         spark, options, grid = trades.sparkSession, dict(self.options.get(name, {})), None
         keeps = name in X.BUILT_IN or name in X.STATEFUL
