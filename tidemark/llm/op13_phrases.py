@@ -361,9 +361,9 @@ def _spelled(bitmaps: list[bytes], bits: int, longest: int, parts: int, most: in
             for t in found(s, frequent):
                 tables.append(t)
                 size += t.num_rows
-            if size > most // 2:
+            if size > most:
                 t = merged(tables)
-                full = t.num_rows > most // 4
+                full = t.num_rows > most // 2
                 if full:
                     yield packed(t)
                 tables, size = ([], 0) if full else ([t], t.num_rows)
