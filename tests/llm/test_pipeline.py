@@ -53,3 +53,22 @@ def test_stages(outputs):
     assert len(tokens) == len(mixed)
     for r in tokens:
         assert r["ids"] == tok.encode(own[r["doc_id"]]["text"], add_special_tokens=False).ids
+
+
+def test_stages_on_empty_and_odd_tables(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, extra string"
+    columns = [x.split()[0] for x in schema.split(", ")][:5]
+    empty = spark.createDataFrame([], schema)
+    for name, stage in cp.STAGES:
+        got = stage(spark, empty, SF)
+        assert got.count() == 0 and set(got.columns) >= set(columns) - ({"text"} if name == cp.STAGES[-1][0] else set()), name
+    words = "the quick brown fox jumps over the lazy dog near the river bank today"
+    rows = [(1, words, "en", "a", 1, "x"), (1, words, "en", "a", 1, "x"), (2, words + ".", "en", None, None, "y"), (None, words + " again", None, None, 3, None), (None, words, "en", "b", 4, None), (3, None, "en", "a", 5, "z"), (4, "", None, "a", 6, "z"), (5, "123 456", "en", "b", 7, "z")]
+    odd = spark.createDataFrame(rows, schema)
+    kept = cp.language_id(spark, odd, SF)
+    assert sorted(map(str, kept.collect())) == sorted(str(r) for r in odd.select(*columns).collect() if r["text"] and "quick" in r["text"])
+    deduped = {(r["doc_id"], r["text"]) for r in cp.line_dedup(spark, kept, SF).collect()}
+    assert deduped == {(1, words), (2, words + "."), (None, words + " again"), (None, words)}
+    single = cp.ngram_jaccard(spark, kept, SF).collect()
+    assert sorted(str((r["doc_id"], r["text"])) for r in single) == sorted(map(str, [(1, words), (1, words), (None, words + " again"), (None, words)]))
+    assert {r["text"] for r in cp.mix(spark, kept, SF).collect()} <= {r["text"] for r in kept.collect()}

@@ -128,7 +128,8 @@ def scan(versions: DataFrame, rules=RULES, ledger: Ledger | None = None) -> Data
     known = ledger.rows().filter((F.size("found") > 0) & F.col("rule").isin(keys))
     place = F.create_map(*(F.lit(x) for i, k in enumerate(keys) for x in (k, i)))
     renumbered = F.transform("found", lambda x: F.struct(x["start"].alias("start"), F.element_at(place, F.col("rule")).alias("kind"), x["end"].alias("end")))
-    per_blob = known.groupBy("blob").agg(F.flatten(F.collect_list(renumbered)).alias("found"))
+    # two scans at once may both have added a pair; its spans count once
+    per_blob = known.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list(renumbered))).alias("found"))
     out = addressed.select("row", "blob").join(per_blob, "blob", "left")
     return out.select(*(F.col("row").getField(c).alias(c) for c in rest), "blob", F.coalesce("found", F.array().cast(_SPAN)).alias("found"))
 
