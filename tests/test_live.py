@@ -209,3 +209,34 @@ def test_silent_minutes(spark, tmp_path):
     got = [x for x in feed.all if x[2][x[1].index("bar")] <= last]
     assert by_name(got) == by_name(want) and len(want) > 100
     assert merged.filter("fires_at > date_trunc('minute', trad_time - interval 1 microsecond) + interval 1 minute AND hour(trad_time) = 9 AND minute(trad_time) > 31").count() > 0
+
+
+def test_many_small_days_share_a_task(spark):
+    """Days of many securities pass through one call a task, each with its own state, whatever the Arrow batches' bounds."""
+    from tidemark.operators import features as X
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def count(state, bar, rows):
+        state["n"] += rows.num_rows
+        calls.add(1)
+        return [rows.num_rows, state["n"]]
+
+    X.register_stateful("my_counts", ["count", "total"], lambda: {"n": 0}, count)
+    rows = [(1, f"S{i % 40:02d}", at(f"10:{i % 7 + 1:02d}:00", day), at("10:00:00", day), 1.0, 1.0, 1, 1, 1, i) for day in (DAY, "2024-01-03") for i in range(700)]
+    df = spark.createDataFrame(rows, "period int, security string, bar timestamp_ntz, trad_time timestamp_ntz, price double, volume double, side int, bid_seq long, offer_seq long, seq long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        plan = X.FEATURES["my_counts"](df)
+        got = plan.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, totals = {}, {}
+    for _, s, b, *_ in sorted(rows, key=lambda r: r[2]):
+        want[s, b] = want.get((s, b), 0) + 1
+    for s, b in sorted(want):
+        totals[s, b] = totals.get((s, b.date()), 0) + want[s, b]
+        totals[s, b.date()] = totals[s, b]
+    assert {(r["security"], r["bar"]): (r["count"], r["total"]) for r in got} == {k: (n, totals[k]) for k, n in want.items()} and calls.value == len(want)
+    assert sum(r[X.STATE] is not None for r in got) == 80  # one a day and security
+    assert "CoGroup" not in plan._jdf.queryExecution().toString()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +44,24 @@ def transform(df: DataFrame, keys: list[str], value: str, order: list[str], kind
     return df.join(per, on).drop(*(f"_{k}" for k in keys))
 
 
+#: Rows that one task sorts or groups; more of them make more tasks.
+TASK_ROWS = 200_000
+
+
+def tasks(rows: int) -> int:
+    """How many tasks so many rows ask for."""
+    return math.ceil(rows / TASK_ROWS)
+
+
+def exchanged(df: DataFrame, keys: list[str], n: int | None = None) -> DataFrame:
+    """``df`` parted by ``keys``, into ``n`` tasks (else as many as its rows, counted first, ask for) if the session's own number is less.
+
+    So a task's share stays the same however large a table gets.
+    """
+    n = tasks(df.count()) if n is None else n
+    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(*keys)
+
+
 def quantile(x: Name, p) -> Column:
     """Exact, linear over (n - 1) p; 0 for no values."""
     return F.coalesce(F.percentile(col(x), p), F.lit(0.0))
