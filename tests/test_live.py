@@ -240,3 +240,98 @@ def test_many_small_days_share_a_task(spark):
     assert {(r["security"], r["bar"]): (r["count"], r["total"]) for r in got} == {k: (n, totals[k]) for k, n in want.items()} and calls.value == len(want)
     assert sum(r[X.STATE] is not None for r in got) == 80  # one a day and security
     assert "CoGroup" not in plan._jdf.queryExecution().toString()
+
+
+class FakeState:
+    """A state store in memory that counts its calls."""
+
+    def __init__(self):
+        self.states, self.timers, self.calls = {}, set(), 0
+
+    def _state(self, name):
+        held, me = self.states.setdefault(name, {}), self
+
+        class State:
+            def exists(self):
+                me.calls += 1
+                return () in held
+
+            def get(self):
+                me.calls += 1
+                return held[()]
+
+            def update(self, value):
+                me.calls += 1
+                held[()] = value
+
+            def getValue(self, key):
+                me.calls += 1
+                return held[key]
+
+            def updateValue(self, key, value):
+                me.calls += 1
+                held[key] = value
+
+            def containsKey(self, key):
+                me.calls += 1
+                return key in held
+
+            def removeKey(self, key):
+                me.calls += 1
+                del held[key]
+
+            def iterator(self):
+                me.calls += 1
+                return iter(held.items())
+
+        return State()
+
+    def getValueState(self, name, schema):
+        return self._state(name)
+
+    def getMapState(self, name, *schema):
+        return self._state(name)
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.discard(at)
+
+
+class Now:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+    getExpiryTimeInMs = getCurrentWatermarkInMs
+
+
+def test_calls_of_the_collector_go_with_micro_batches():
+    """Many securities and bars need few timers and calls to the state, and every trade is handed on once a period."""
+    import pandas as pd
+
+    day = 19_000 * live.LAG_MS
+    store, collector = FakeState(), live.Collector([1, 5], 50, lambda ms: (ms // 60_000 + 1) * 60_000)
+    collector.init(store)
+    out, sent = [], []
+    for n in range(4):  # micro-batches of a quarter of an hour, the last trades of each early
+        new = pd.DataFrame({"security": [f"S{i % 30}" for i in range(600)], "source": "", "seq": range(600), "bar_ms": [day + (n * 15 + i % 15 + 1) * 60_000 for i in range(600)]})
+        new = new.assign(trad_time=pd.Timestamp("2022-01-01"), price=1.0, volume=1.0, side=1, bid_seq=1, offer_seq=1)
+        now = 0 if n == 0 else day + n * 15 * 60_000 - live.LAG_MS
+        sent.append(new)
+        list(collector.handleInputRows((0,), iter([new]), Now(now)))
+        end = day + (n * 15 + 15) * 60_000 + 51 - live.LAG_MS
+        for at_ in sorted(x for x in store.timers if x < end):
+            out += list(collector.handleExpiredTimer((0,), Now(end), Now(at_)))
+            store.timers.discard(at_)
+    got, want = pd.concat(out), pd.concat(sent)
+    for p, part in got.groupby("period"):
+        ends = pd.to_datetime(live._period_end(want["bar_ms"], int(p)), unit="ms")
+        assert part.groupby(["security", "bar"]).size().to_dict() == want.groupby(["security", ends.rename("bar")]).size().to_dict()
+    assert (got.groupby(["period", "security"])["seq"].nunique() == 80).all() and not store.timers and not store.states["rows"]
+    assert store.calls < 100

@@ -1,11 +1,11 @@
 """Features over a stream of trades, with state by security.
 
-A stateful processor keeps each security's trades until their bars close and
-numbers them in order of arrival.  A bar closes once event time has passed
+A stateful processor keeps the trades of buckets of securities until their
+bars close and numbers them in order of arrival.  A bar closes once event time has passed
 its end by the latency; a trade that comes later goes to the first bar still
-open.  New trades are added to the state as one chunk a bar, so a micro-batch
-costs in proportion to its own rows, and a timer at the end of every period
-hands on the period's trades.
+open.  New trades are added to the state in chunks, so a micro-batch costs in
+proportion to its own rows, and a timer at the end of the next period hands
+on the trades of all that have ended by then.
 
 Each micro-batch then runs the batch plan over the trades handed on, and over
 nothing else.  What a bar needs of those before it (last close, last price,
@@ -51,73 +51,112 @@ def millis(at: Column) -> Column:
     return ((days * 24 + F.hour(at)) * 60 + F.minute(at)) * 60_000 + F.floor(F.extract(F.lit("SECOND"), at) * 1000).cast("long")
 
 
-def _period_end(bar: int, minutes: int) -> int:
-    """As ``vector.period_end``, in milliseconds."""
+def _period_end(bar, minutes: int):
+    """As ``vector.period_end``, in milliseconds; of a number or a series of them."""
     day = (bar - 1) // LAG_MS * LAG_MS
     return day - (day - bar) // (minutes * 60_000) * (minutes * 60_000)
 
 
 def _packed(rows: pd.DataFrame) -> bytes:
-    table, sink = pa.Table.from_pandas(rows[_KEPT], preserve_index=False), pa.BufferOutputStream()
+    table, sink = pa.Table.from_pandas(rows[["security", "bar_ms", *_KEPT]], preserve_index=False), pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as writer:
         writer.write_table(table)
     return sink.getvalue().to_pybytes()
 
 
+#: Securities share the state of so many keys; a checkpoint holds for the number it was made with.
+BUCKETS = 64
+#: Trades of one chunk of a state.
+CHUNK_ROWS = 10_000
+
+
 class Collector(StatefulProcessor):
-    """A security's trades by bar, kept until the longest period that holds the bar has ended."""
+    """The trades of a bucket of securities, kept until the longest period that holds them has ended.
+
+    A micro-batch adds chunks in the order of bars, with the first and last
+    bar of each beside them, and sets one timer at most: calls go with chunks
+    and micro-batches, not with bars and securities.
+    """
 
     def __init__(self, periods: list[int], latency_ms: int, first_open: Callable[[int], int]):
         self.periods, self.latency, self.first_open = sorted(periods), latency_ms, first_open
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "n long")
-        self.parts = handle.getMapState("parts", "bar long", "n int")
-        self.rows = handle.getMapState("rows", "bar long, part int", "rows binary")
+        #: trades and chunks so far, up to where periods were handed on, and the timer that is set (-1: none)
+        self.at = handle.getValueState("at", "n long, parts long, done long, wake long")
+        self.parts = handle.getMapState("parts", "part long", "lo long, hi long")
+        self.rows = handle.getMapState("rows", "part long", "rows binary")
+
+    def _begin(self) -> list[int]:
+        return list(self.at.get()) if self.at.exists() else [0, 0, 0, -1]
+
+    def _keep(self, part: int, rows: pd.DataFrame) -> None:
+        """Store rows in the order of their bars."""
+        self.rows.updateValue((part,), (_packed(rows),))
+        self.parts.updateValue((part,), (int(rows["bar_ms"].iloc[0]), int(rows["bar_ms"].iloc[-1])))
+
+    def _timer(self, end: int) -> int:
+        return end + self.latency - LAG_MS
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows)).sort_values(["source", "seq"], kind="stable")
-        n = self.seen.get()[0] if self.seen.exists() else 0
+        n, parts, done, wake = self._begin()
         new["seq"] = range(n, n + len(new))
-        self.seen.update((n + len(new),))
-        bar, now = new["bar_ms"], timerValues.getCurrentWatermarkInMs()
+        now = timerValues.getCurrentWatermarkInMs()
         if now > 0:  # bars that end up to newest - latency are closed
-            bar = bar.clip(lower=self.first_open(now + LAG_MS - self.latency))
-        for b, own in new.groupby(bar):
-            b = int(b)
-            part = self.parts.getValue((b,))[0] if self.parts.containsKey((b,)) else 0
-            self.rows.updateValue((b, part), (_packed(own),))
-            self.parts.updateValue((b,), (part + 1,))
-            if not part:
-                for end in {_period_end(b, p) for p in self.periods}:
-                    self.handle.registerTimer(end + self.latency - LAG_MS)
+            new["bar_ms"] = new["bar_ms"].clip(lower=self.first_open(now + LAG_MS - self.latency))
+        new = new.sort_values("bar_ms", kind="stable")
+        for i in range(0, len(new), CHUNK_ROWS):
+            self._keep(parts, new.iloc[i : i + CHUNK_ROWS])
+            parts += 1
+        first = self._timer(min(_period_end(int(new["bar_ms"].iloc[0]), p) for p in self.periods))
+        if wake == -1 or first < wake:
+            if wake != -1:
+                self.handle.deleteTimer(wake)
+            self.handle.registerTimer(first)
+            wake = first
+        self.at.update((n + len(new), parts, done, wake))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        end = expiredTimerInfo.getExpiryTimeInMs() + LAG_MS - self.latency
-        parts, read, out = {b: n for (b,), (n,) in self.parts.iterator()}, {}, []
-        for p in self.periods:
-            for b in sorted(x for x in parts if _period_end(x, p) == end):
-                if b not in read:
-                    read[b] = [pa.ipc.open_stream(self.rows.getValue((b, i))[0]).read_pandas() for i in range(parts[b])]
-                out += [x.assign(period=p) for x in read[b]]
-        for b, n in parts.items():
-            if max(_period_end(b, p) for p in self.periods) <= end:
-                for i in range(n):
-                    self.rows.removeKey((b, i))
-                self.parts.removeKey((b,))
-        if out:
-            got = pd.concat(out)
-            got["security"], got["bar"] = key[0], pd.Timestamp(end, unit="ms")
-            yield got[[x.split()[0] for x in CLOSED.split(", ")]]
+        n, parts, done, wake = self._begin()
+        fired = expiredTimerInfo.getExpiryTimeInMs()
+        limit = max(done, timerValues.getCurrentWatermarkInMs() - self.latency + LAG_MS)  # what ends before it has ended, of all securities
+        following = []
+        for (part,), (lo, hi) in list(self.parts.iterator()):
+            if any(_period_end(lo, p) < limit and _period_end(hi, p) >= done for p in self.periods):
+                held = pa.ipc.open_stream(self.rows.getValue((part,))[0]).read_pandas()
+                for p in self.periods:
+                    end = _period_end(held["bar_ms"], p)
+                    own = (end >= done) & (end < limit)
+                    if own.any():
+                        got = held[own].assign(period=p, bar=pd.to_datetime(end[own], unit="ms"))
+                        yield got[[x.split()[0] for x in CLOSED.split(", ")]]
+                left = held[sum(_period_end(held["bar_ms"], p) >= limit for p in self.periods) > 0]
+                if not len(left):
+                    self.rows.removeKey((part,))
+                    self.parts.removeKey((part,))
+                    continue
+                if 2 * len(left) < len(held):
+                    self._keep(part, left)
+                lo, hi = int(left["bar_ms"].iloc[0]), int(left["bar_ms"].iloc[-1])
+            for p in self.periods:
+                end = _period_end(max(lo, limit), p)
+                if end <= _period_end(hi, p):
+                    following.append(end)
+        wake = -1
+        if following:
+            wake = max(self._timer(min(following)), fired + 1)  # the timer that fired is deleted after this
+            self.handle.registerTimer(wake)
+        self.at.update((n, parts, limit, wake))
 
     def close(self) -> None:
         pass
 
 
 def closed(trades: DataFrame | list[DataFrame], universe: DataFrame, periods: list[int], latency_ms: int = 50, bar: Callable[[Column], Column] = B.session_bar, first_open: Callable[[int], int] = B.first_open) -> DataFrame:
-    """The trades of a stream once for each period, handed on when the period has ended: (period, security, bar, ..., seq), where ``seq`` numbers a security's trades as they arrived.
+    """The trades of a stream once for each period, handed on when the period has ended: (period, security, bar, ..., seq), where ``seq`` puts a security's trades in the order in which they arrived.
 
     Of several streams each has a watermark of its own, and the least counts
     (Spark's default policy): a bar closes once all have passed it, and one
@@ -130,7 +169,8 @@ def closed(trades: DataFrame | list[DataFrame], universe: DataFrame, periods: li
         t = t.withColumns({"bar_ms": millis(bar(F.col("trad_time"))), "clock": F.timestamp_millis(millis(F.col("trad_time")))}).withWatermark("clock", f"{LAG_MS} milliseconds")
         t = B.only_traced(t, universe).select("security", "clock", "source", "bar_ms", *_KEPT)
         rows = t if rows is None else rows.unionByName(t)
-    return rows.groupBy("security").transformWithStateInPandas(Collector(periods, latency_ms, first_open), CLOSED, "Append", "EventTime")
+    bucket = F.pmod(F.xxhash64("security"), F.lit(BUCKETS)).cast("int")
+    return rows.withColumn("bucket", bucket).groupBy("bucket").transformWithStateInPandas(Collector(periods, latency_ms, first_open), CLOSED, "Append", "EventTime")
 
 
 class LiveFeatures:
