@@ -18,3 +18,11 @@ def test_quantiles_of_heavy_groups(spark, distinct):
         want = {(r["g"], r["h"]): r["q"] for r in df.groupBy("g", "h").agg(x.alias("q")).filter("q IS NOT NULL").collect()}
         assert got == pytest.approx(want, rel=1e-12) and len(got) == 18
     assert G.quantiles_of_heavy(df.filter("false"), ["g"], "x", 0.5).count() == 0
+
+
+def test_statistics_of_constant_groups(spark):
+    """Groups in which one side is constant have no correlation, and no error in ANSI mode."""
+    rows = [("y", float(i), 5.0) for i in range(4)] + [("x", 2.0, float(i)) for i in range(4)] + [("one", 1.0, 1.0)] + [("both", float(i), 3.0 * i) for i in range(4)]
+    got = spark.createDataFrame(rows, "g string, x double, y double").groupBy("g").agg(G.correlation("y", "x").alias("r"), G.slope("y", "x").alias("b"))
+    got = {r["g"]: (r["r"], r["b"]) for r in got.collect()}
+    assert got == {"y": (None, None), "x": (None, None), "one": (None, None), "both": (pytest.approx(1.0), pytest.approx(3.0))}

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.vector import Name, col
+from tidemark.functions.vector import Name, col, safe_divide
 from tidemark.sources.sinks import scratch
 
 KINDS = ("count", "sum", "max", "min", "first", "last", "mean")
@@ -140,12 +140,13 @@ def std(x: Name) -> Column:
 
 def correlation(x: Name, y: Name) -> Column:
     """Pearson correlation; NULL where either is constant."""
-    return F.when((F.var_samp(col(x)) > 0) & (F.var_samp(col(y)) > 0), F.corr(col(x), col(y)))
+    # F.corr is worked out for every group before a condition around it counts, and divides by zero in ANSI mode
+    return safe_divide(F.covar_samp(col(x), col(y)), F.stddev_samp(col(x)) * F.stddev_samp(col(y)))
 
 
 def slope(y: Name, x: Name) -> Column:
-    """Least-squares slope of y over x; NULL where y is constant or there is one row."""
-    return F.when(F.var_samp(col(y)) > 0, F.regr_slope(col(y), col(x)))
+    """Least-squares slope of y over x; NULL where either is constant or there is one row."""
+    return F.when(F.var_samp(col(y)) > 0, safe_divide(F.covar_samp(col(y), col(x)), F.var_samp(col(x))))
 
 
 def at_max(out: Name, by: Name, largest: Name) -> Column:
