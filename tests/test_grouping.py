@@ -26,3 +26,22 @@ def test_statistics_of_constant_groups(spark):
     got = spark.createDataFrame(rows, "g string, x double, y double").groupBy("g").agg(G.correlation("y", "x").alias("r"), G.slope("y", "x").alias("b"))
     got = {r["g"]: (r["r"], r["b"]) for r in got.collect()}
     assert got == {"y": (None, None), "x": (None, None), "one": (None, None), "both": (pytest.approx(1.0), pytest.approx(3.0))}
+
+
+def test_quantiles_beside_rows_are_those_of_duckdb(spark):
+    """To the last bit, as rows are compared with them."""
+    import random
+
+    import duckdb
+
+    r = random.Random(3)
+    rows = [(g, float(r.randrange(1, 550))) for g in range(400) for _ in range(r.randrange(1, 40))] + [(0, None)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (g INT, x DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", rows)
+    df = spark.createDataFrame(rows, "g int, x double")
+    for distinct in (False, True):
+        got = G.with_quantiles(df, ["g"], "x", {"a": 0.95, "b": 0.99}, distinct).groupBy("g").agg(F.max("a"), F.max("b"), F.count("*")).collect()
+        of = "DISTINCT " if distinct else ""
+        want = con.execute(f"SELECT g, quantile_cont({of}x, 0.95), quantile_cont({of}x, 0.99), count(*) FROM t GROUP BY g").fetchall()
+        assert sorted(map(tuple, got)) == sorted(want) and len(want) == 400

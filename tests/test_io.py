@@ -218,3 +218,17 @@ def test_packed(spark):
     for a, b in ((1, 16), (256, 0), (-1, 0), (0, -1)):
         with pytest.raises(Exception, match="not in"):
             spark.createDataFrame([(a, b)], "a long, b long").select(V.packed(("a", 8), ("b", 4))).collect()
+
+
+def test_queries_round_as_their_sql_does(spark):
+    """Values whose digits end in 5 at the seventh place."""
+    import duckdb
+
+    from tidemark.plans.catalog import _r6
+
+    xs = [n / 640 for n in range(1, 4000)] + [-n / 128e4 for n in range(1, 2000)] + [None, 1e300]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (i INT, x DOUBLE)")
+    con.execute("INSERT INTO t SELECT unnest(?), unnest(?)", [list(range(len(xs))), xs])
+    got = sorted(map(tuple, _r6(spark.createDataFrame(list(enumerate(xs)), "i int, x double")).collect()))
+    assert got == con.execute("SELECT i, round(x, 6) + 0.0 FROM t ORDER BY i").fetchall()

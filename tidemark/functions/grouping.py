@@ -72,6 +72,38 @@ def quantile_distinct(x: str, p: float, places: int = 8) -> Column:
     return F.expr(f"percentile(DISTINCT round(nanvl({x}, cast(null as double)), {places}), {p})")
 
 
+def _halves(x: Column) -> tuple[Column, Column]:
+    """A double as the sum of two with half as many digits each."""
+    big = x * F.lit(134217729.0)
+    high = big - (big - x)
+    return high, x - high
+
+
+def interpolated(lo: Column, hi: Column, part: Column) -> Column:
+    """lo (1 - part) + hi part, of which the first product isn't rounded by itself: a fused multiplication and addition, as in DuckDB, whose limits orders may equal."""
+    rest = F.lit(1.0) - part
+    a, b = lo * rest, hi * part
+    (lo_high, lo_low), (rest_high, rest_low) = _halves(lo), _halves(rest)
+    lost = lo_high * rest_high - a + lo_high * rest_low + lo_low * rest_high + lo_low * rest_low
+    both = a + b
+    of_b = both - a
+    return both + (a - (both - of_b) + (b - of_b) + lost)
+
+
+def with_quantiles(df: DataFrame, keys: list[str], value: str, ps: dict[str, float], distinct: bool = False) -> DataFrame:
+    """Columns with the exact quantiles of each group (of its ``distinct`` values) beside its rows, from ranks in windows; NULL doesn't count."""
+    in_order, everything = Window.partitionBy(*keys).orderBy(F.col(value).asc_nulls_last()), Window.partitionBy(*keys)
+    place = F.when(F.col(value).isNotNull(), (F.dense_rank() if distinct else F.row_number()).over(in_order))
+    got = df.withColumn("_place", place).withColumn("_many", F.max("_place").over(everything))
+    at = {n: (F.col("_many") - 1) * F.lit(p) for n, p in ps.items()}
+    ends = {}
+    for n, x in at.items():
+        ends |= {f"_{end}{n}": F.max(F.when(F.col("_place") == f(x) + 1, F.col(value))).over(everything) for end, f in (("lo", F.floor), ("hi", F.ceil))}
+    got = got.withColumns(ends)
+    got = got.withColumns({n: interpolated(F.col(f"_lo{n}"), F.col(f"_hi{n}"), x - F.floor(x)) for n, x in at.items()})
+    return got.drop("_place", "_many", *ends)
+
+
 def quantile_mod(x: str, p: float) -> Column:
     """Index n p counted from 1: the mean of two neighbours at a whole index, else the next value.  Holds the group in memory, so for bars, not for whole tables."""
     v = f"array_sort(collect_list({x}))"
