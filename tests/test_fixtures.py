@@ -133,3 +133,15 @@ def test_bands_add_up(spark):
             assert sum(parts) == pytest.approx(total[r["security"], r["bar"]])
     for r in X.order_flow(t).filter("Sv IS NOT NULL").collect():
         assert r["MinDeltaStrength"] <= r["DeltaStrength_avg"] <= r["MaxDeltaStrength"] and 1 <= r["POC"] <= 11
+
+
+@pytest.mark.parametrize("name", ["order_flow_min", "order_flow_min_small", "trade_amount_dollar"])
+def test_tasks_go_with_rows(batches, monkeypatch, name):
+    """More trades make more tasks, not larger ones, with the same rows."""
+    from tidemark.functions import grouping as G
+
+    rows = lambda df: sorted(str(r) for r in df.collect())
+    few = rows(X.FEATURES[name](batches))
+    monkeypatch.setattr(G, "TASK_ROWS", 30)
+    many = X.FEATURES[name](batches)
+    assert many.rdd.getNumPartitions() == 30 and rows(many) == few

@@ -54,12 +54,18 @@ def tasks(rows: int) -> int:
 
 
 def exchanged(df: DataFrame, keys: list[str], n: int | None = None) -> DataFrame:
-    """``df`` parted by ``keys``, into ``n`` tasks (else as many as its rows, counted first, ask for) if the session's own number is less.
+    """``df`` parted by ``keys`` into ``n`` tasks, else as many as its rows, counted first, ask for.
 
-    So a task's share stays the same however large a table gets.
+    So a task's share stays the same however large a table gets; adaptive
+    execution, which goes by compressed bytes, leaves such an exchange alone.
     """
     n = tasks(df.count()) if n is None else n
-    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(*keys)
+    return spread(df, keys, n) if n > 1 else df.repartition(*keys)
+
+
+def spread(df: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """``df`` parted by ``keys`` into ``n`` tasks; as it is, where one task is enough for its rows."""
+    return df.repartition(max(n, df.sparkSession.sparkContext.defaultParallelism), *keys) if n > 1 else df
 
 
 def quantile(x: Name, p) -> Column:

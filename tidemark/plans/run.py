@@ -6,6 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import grouping as G
 from tidemark.operators import bars as B
 from tidemark.operators import features as X
 from tidemark.sources.config import Feature, publish_plan
@@ -28,11 +29,15 @@ def run_features(trades: DataFrame, universe: DataFrame, spec: list[Feature], ba
     if keep is not None:
         traced = traced.repartition("security", "minute").persist(keep)
     out: dict[str, DataFrame] = {}
+    many: int | None = None
     for f in spec:
         periods = [p for p, names in plan.by_period.items() if f.name in names]
         if not f.open or not periods:
             continue
-        own, rows = options.get(f.name, {}), traced
+        own, rows = dict(options.get(f.name, {})), traced
+        if f.name in X.BUILT_IN and f.name.startswith(("trade_amount", "order_flow")) and "tasks" not in own:
+            many = trades.count() if many is None else many
+            own["tasks"] = G.tasks(many * len(periods))
         if f.name in X.MINUTES and len(periods) > 1 and period_input == "accumulated":
             rows = X.MINUTES[f.name](traced, ["security", "minute"], **own)
         keyed = B.keyed(rows, periods, F.col("minute"), phase, bars, period_input)
