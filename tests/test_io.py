@@ -232,3 +232,20 @@ def test_queries_round_as_their_sql_does(spark):
     con.execute("INSERT INTO t SELECT unnest(?), unnest(?)", [list(range(len(xs))), xs])
     got = sorted(map(tuple, _r6(spark.createDataFrame(list(enumerate(xs)), "i int, x double")).collect()))
     assert got == con.execute("SELECT i, round(x, 6) + 0.0 FROM t ORDER BY i").fetchall()
+
+
+def test_universe_wider_than_a_schema(spark):
+    """Closes in maps, one row a day and block, give what a column a security does; more than a pivot may have columns."""
+    ids = ["600000", "000001", "300002", "123456", "000003", "600001"]
+    closes = [1.0, None, 3.0, float("nan"), 5.0, 6.0]
+    ordered = sorted(zip(ids, closes, strict=True))
+    columns = spark.createDataFrame([("2024-01-02", *(c for _, c in ordered)), ("2024-01-03", *(9.0 for _ in ordered))], "day string, " + ", ".join(f"`{i}` double" for i, _ in ordered))
+    maps = spark.createDataFrame([("2024-01-02", dict(ordered[k : k + 2])) for k in (4, 0, 2)] + [("2024-01-03", {"777777": 1.0})], "day string, closes map<string,double>")
+    want = [("123456", "SH", 0.0, 0), ("600000", "SH", 1.0, 1), ("600001", "SH", 6.0, 2), ("000001", "SZ", 0.0, 3), ("000003", "SZ", 5.0, 4), ("300002", "SZ", 3.0, 5)]
+    for daily in (columns, maps):
+        u = universe.from_daily(daily, "day", "2024-01-02")
+        for got in (u, universe.from_json_parts(universe.to_json_parts(u)), universe.from_json(spark, universe.to_json(u))):
+            assert sorted((tuple(r) for r in got.collect()), key=lambda r: r[3]) == want
+    many = spark.range(12_000).selectExpr("'2024-01-02' AS day", "lpad(cast(id AS string), 6, '0') AS id").groupBy("day", F.substring("id", 1, 3)).agg(F.map_from_entries(F.collect_list(F.struct("id", F.lit(1.0)))).alias("closes"))
+    got = universe.from_json_parts(universe.to_json_parts(universe.from_daily(many.select("day", "closes"), "day", "2024-01-02")))
+    assert got.agg(F.count("*"), F.count_distinct("row_no"), F.max("row_no")).first() == (12_000, 12_000, 11_999)
