@@ -124,6 +124,25 @@ def test_periods_add_up_minutes(spark):
     many.sparkSession.catalog.clearCache()
 
 
+def test_equal_orders_of_other_minutes(spark):
+    """Two sales of the same three trades, dealt otherwise to the minutes, equal their mean: both are small."""
+    dealt = {1: ((10.1, 1), (20.2, 1), (30.3, 3)), 2: ((10.1, 1), (20.2, 3), (30.3, 3))}
+    assert (10.1 + 20.2) + 30.3 != 10.1 + (20.2 + 30.3)
+    rows = [("000001.XSHE", dt.datetime(2024, 1, 2, 9, 30) + dt.timedelta(minutes=m, seconds=-30), p, 1.0, 0, no, -1, m * 100 + no * 10 + i) for no, each in dealt.items() for i, (p, m) in enumerate(each)]
+    many = spark.createDataFrame(rows, "security string, trad_time timestamp_ntz, price double, volume double, bid_seq long, offer_seq long, side int, seq long")
+    got = run_features(many, many.select("security").distinct(), [config.Feature("trade_amount_std", (1, 5))])["trade_amount_std"].filter("period = 5").first()
+    assert (got["smallSellAmt"], got["midSellAmt"], got["bigSellAmt"], got["ultraSellAmt"]) == (pytest.approx(121.2), 0, 0, 0)
+
+
+def test_amounts_on_a_grid(spark):
+    from tidemark.functions import grouping as G
+
+    xs = [1e308, float("inf"), float("nan"), None, 0.1, -12345.678901]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", *(c.alias(n) for n, c in zip("ab", G.on_grid(F.col("x")), strict=True))).collect()
+    assert [str(r["x"]) for r in got] == [str(r["a"] if r["b"] is None else r["a"] + r["b"]) for r in got]
+    assert all(r["b"] == 0 or abs(r["b"]) <= 2**-17 for r in got if r["b"] is not None)
+
+
 def test_sinks(spark, tmp_path):
     bars = B.spine(spark, DAY).filter("bar_no = 4")
     got = run_features(all_trades(spark), small_universe(spark), [config.Feature("order_flow_min", (1,))], bars)["order_flow_min"]

@@ -78,6 +78,21 @@ def quantile_distinct(x: str, p: float, places: int = 8) -> Column:
     return F.expr(f"percentile(DISTINCT round(nanvl({x}, cast(null as double)), {places}), {p})")
 
 
+#: Steps of a unit on which sums up to 2^37 are exact.
+GRID = 65536.0
+
+
+def on_grid(x: Column) -> tuple[Column, Column]:
+    """A double as the nearest multiple of 1 / ``GRID`` and what is left.
+
+    The sums of the former are exact, and those of the latter too small for
+    their order to count, so the sum of both sums is the nearest double to the
+    total whatever was added first.
+    """
+    near = F.when(F.abs(x) < 2.0**53, F.rint(x * F.lit(GRID)) / F.lit(GRID)).otherwise(x)
+    return near, F.nanvl(x - near, F.lit(0.0))  # infinite ones have no rest
+
+
 def _halves(x: Column) -> tuple[Column, Column]:
     """A double as the sum of two with half as many digits each."""
     big = x * F.lit(134217729.0)
