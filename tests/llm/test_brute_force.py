@@ -254,6 +254,23 @@ def test_passages(spark):
     assert {d for (d, _), gone in got.items() if gone} == {2, 3, 5, 6}
 
 
+def test_rare_passages_of_hot_anchors_are_sorted_out_once(spark, monkeypatch):
+    """What is left of them is read several times, so it is written first: no plan that reads it looks for known ones again."""
+    monkeypatch.setattr(sub.shared, "HOT_SHARE", 1 << 30)
+    monkeypatch.setattr(sub, "KNOWN", 5)
+    plans, real = [], sub._not_first
+
+    def not_first(rows, first, keys):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return real(rows, first, keys)
+
+    monkeypatch.setattr(sub, "_not_first", not_first)
+    many = [(i, " ".join([f"a{x}" for x in range(70)] + [f"b{i // 2}"] * 5)) for i in range(40)]
+    got = sub.passages(spark.createDataFrame(many, "doc_id long, text string").withColumn("tie", F.lit(0).cast("long")))
+    assert got.select("doc_id").distinct().count() == 39
+    assert plans and not any("Join" in p for p in plans)
+
+
 def test_flight_keeps_totals():
     rng = np.random.default_rng(1)
     size = [float(x) for x in rng.integers(1, 900, 400)]

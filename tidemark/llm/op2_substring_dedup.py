@@ -250,7 +250,11 @@ def passages(docs: DataFrame) -> DataFrame:
     first = _firsts(each, ["h"])
     is_known = F.col("n") * KNOWN > (first.agg(F.sum("n")).first()[0] or 0)
     known = first.filter(is_known).collect()  # no more than KNOWN rows
-    spans = _not_first(each.join(F.broadcast(first.filter(is_known).select("h")), "h", "left_anti"), first.filter(~is_known), ["h"])
+    if known:
+        rare = shared.stored(each.join(F.broadcast(first.filter(is_known).select("h")), "h", "left_anti"))
+        shared.removed(each)
+        each = rare
+    spans = _not_first(each, first.filter(~is_known), ["h"])
     if known:
         spans = spans.unionByName(shared.mapped(runs_of_hot, _spans_of_known(known), _SPANS))
     spans = shared.stored(spans)
